@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from quillstone.llm.mixing import op1_mixing
+from quillstone.llm.simhash import op6_simhash
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op6_simhash": op6_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
