@@ -198,10 +198,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str], pick: str | None = None) -> DataFrame:
-    """`docs` (without text) and the clause features; `pick` names the column that picks the lexicon."""
+def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str], pick: str | None = None, keep_text: bool = False) -> DataFrame:
+    """`docs` (without text, unless kept) and the clause features; `pick` names the column that picks the lexicon."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
-    schema = StructType([f for f in docs.schema.fields if f.name != "text"])
+    schema = StructType([f for f in docs.schema.fields if keep_text or f.name != "text"])
     for n in names:
         schema = schema.add(n, DoubleType())
 
@@ -210,7 +210,7 @@ def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str]
         for pdf in batches:
             which = pdf[pick] if pick else [0] * len(pdf)
             rows = [clause_features(t, books[k]) for t, k in zip(pdf["text"], which)]
-            out = pdf.drop(columns="text")
+            out = pdf.copy() if keep_text else pdf.drop(columns="text")
             for n, col in zip(names, np.array(rows).reshape(-1, len(names)).T):
                 out[n] = col
             yield out
@@ -252,13 +252,13 @@ def train(labelled: DataFrame, rows: int = 20_000, stems_most: int = 20_000, lex
     return Model(learned, mean.tolist(), scale.tolist(), w.tolist())
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` without text, with score (0 to 1) and predicted (1 from 0.5).
+def score_toxicity(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """`docs`, without text unless kept, with score (0 to 1) and predicted (1 from 0.5).
 
     Null and empty texts have no clause and get the score of that. Repeated rows score alike;
     an empty table gives an empty one; input columns of the added names are replaced.
     """
-    out = featured(docs.drop("score", "predicted"), [model.learned], FEATURES)
+    out = featured(docs.drop("score", "predicted", *FEATURES), [model.learned], FEATURES, keep_text=keep_text)
     z = F.lit(model.weights[-1])
     for name, w, m, s in zip(FEATURES, model.weights, model.mean, model.scale):
         z = z + F.lit(w) * (F.col(name) - F.lit(m)) / F.lit(s)
