@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import SCENARIOS
-from quillstone.operators.aggregates import degraded_macro
+from quillstone.operators.aggregates import ratio
 
 DEGRADED = ("dropout", "far_field", "noise", "reverb")
 
@@ -40,8 +40,9 @@ def sft_violations(metrics: DataFrame, baseline: DataFrame, gate: dict[str, floa
 
 def macro_delta(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row: the degraded macro rate and its rise over the baseline's."""
-    a = degraded_macro(metrics, DEGRADED).select("degraded_macro_cer")
-    b = degraded_macro(baseline, DEGRADED).select(F.col("degraded_macro_cer").alias("_base"))
+    mean = ratio(F.sum("micro_cer"), F.lit(len(DEGRADED)))
+    a = metrics.where(F.col("scenario").isin(*DEGRADED)).agg(mean.alias("degraded_macro_cer"))
+    b = baseline.where(F.col("scenario").isin(*DEGRADED)).agg(mean.alias("_base"))
     return a.join(F.broadcast(b), F.lit(True)).select("degraded_macro_cer", (F.col("degraded_macro_cer") - F.col("_base")).alias("macro_delta"))
 
 
