@@ -133,7 +133,7 @@ def sample_texts(docs: DataFrame, rows: int = 300) -> dict[str, list[str]]:
     docs = docs.where("lang is not null and text is not null and length(text) >= 40")
     counts = docs.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
-    taken = docs.join(F.broadcast(counts), "lang").where(draw <= rows / F.col("count"))
+    taken = docs.join(counts, "lang").where(draw <= rows / F.col("count"))
     out: dict[str, list[str]] = {}
     for lang, text in taken.select("lang", F.substring("text", 1, 20_000)).orderBy("lang", F.xxhash64("text")).limit(100 * rows).collect():
         out.setdefault(lang, []).append(text)

@@ -116,8 +116,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         for c, clause in enumerate(query):
             for a, grams in enumerate(clause):
                 asked += [(g, rule.kind, len(query), c, a, len(grams)) for g in sorted(grams)]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(asked, "trigram string, kind string, clauses int, clause int, alt int, need int")
+    names = ["trigram", "kind", "clauses", "clause", "alt", "need"]
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x)]) for x in asked])
+    wanted = docs.sparkSession.range(1).select(F.inline(rows))
     found = postings(docs, sorted({x[0] for x in asked})).distinct()
     # the rules' own trigrams: a table that only the rule set makes larger
     met = found.join(F.broadcast(wanted), "trigram").groupBy("key", "kind", "clauses", "clause", "alt", "need").agg(F.count("*").alias("n"))
