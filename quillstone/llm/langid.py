@@ -166,7 +166,7 @@ def predict_language(docs: DataFrame, models: Models) -> DataFrame:
                             best = int(np.argmin(c))
                             rest = np.delete(c, best)
                             pred[r], score[r] = m.langs[best], float(np.clip(1 - c[best] / rest.min(), 0, 1)) if len(rest) else 1.0
-            yield pdf.assign(lang_pred=pred, score=score)
+            yield pdf.assign(lang_pred=np.array(pred, object), score=score)
 
     return docs.mapInPandas(each, schema)
 

@@ -166,7 +166,8 @@ def _count_stems(sample: DataFrame, only: set[str] | None) -> DataFrame:
                 for s in found if shared.value is None else found & shared.value:
                     counts[s, fold, toxic] = counts.get((s, fold, toxic), 0) + 1
         keys = list(counts)
-        yield pd.DataFrame({"stem": [k[0] for k in keys], "fold": [k[1] for k in keys], "toxic": [k[2] for k in keys], "n": list(counts.values())})
+        if keys:
+            yield pd.DataFrame({"stem": [k[0] for k in keys], "fold": [k[1] for k in keys], "toxic": [k[2] for k in keys], "n": list(counts.values())})
 
     part = sample.mapInPandas(each, "stem string, fold int, toxic int, n long")
     return part.groupBy("stem", "fold", "toxic").agg(F.sum("n").alias("n"))
