@@ -51,9 +51,11 @@ def _pivotal(rows: list[list], seed: int) -> None:
     """Round the fractions p of rows [key, size, copies, p, open] in place; one may stay open.
 
     Two open rows exchange words until one fraction is 0 or 1: the direction is drawn so that
-    each fraction keeps its expectation, and the sum of size * p never changes.
+    each fraction keeps its expectation, and the sum of size * p never changes. A row that is
+    left open against smaller ones hands its remainder down to them.
     """
     rows.sort(key=lambda r: (-r[1], r[0]))
+    base = [r[2] for r in rows]
     hand = None
     for row in rows:
         if hand is None:
@@ -73,6 +75,33 @@ def _pivotal(rows: list[list], seed: int) -> None:
             else:
                 left.append(r)
         hand = left[0] if left else None
+    if hand is not None and rows[-1][1] < hand[1]:
+        _hand_down(rows, base, hand, random.Random(f"{seed}:{hand[0]}").random() < hand[3])
+
+
+def _hand_down(rows: list[list], base: list[int], hand: list, up: bool) -> None:
+    """Close the open row `hand` against rows already closed, so that a small one is left open.
+
+    Going up it takes the words that it lacks from rows that were rounded up, going down it
+    gives those it has to rows that were rounded down; the largest that still fit change whole,
+    and the smallest that exceeds the rest reopens with what is left. The sum stays.
+    """
+    rest = hand[1] * (1 - hand[3] if up else hand[3])
+    can = [r for r, b in zip(rows, base) if r is not hand and r[1] < hand[1] and r[2] - b == int(up)]
+    for r in can:
+        if 0 < r[1] <= rest:
+            r[2] += -1 if up else 1
+            rest -= r[1]
+            r[4] = None
+    hand[2] += int(up)
+    hand[3], hand[4] = 0.0, False
+    if rest > 1e-9 * hand[1]:
+        last = next((r for r in reversed(can) if r[4] is False and r[1] > rest), hand)
+        last[2] -= int(up)
+        last[3] = 1 - rest / last[1] if up else rest / last[1]
+        last[4] = True
+    for r in can:
+        r[4] = bool(r[4])
 
 
 def pivotal_tree(units: DataFrame, chunk: int, fan_in: int, seed: int) -> DataFrame:
