@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-#: Words of a lower-cased text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words of a text in any case.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from quillstone.llm.decontaminate import Words, shingles
+
+#: Words of a text whose letters A-Z are in lower case.
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 @dataclass(frozen=True)
@@ -41,17 +46,52 @@ MORE = (
 )
 
 
-def gram(words: Column, i: Column, k: int) -> Column:
-    """Hash of k words from position i (from 0)."""
-    return F.xxhash64(*[F.get(words, i + n) for n in range(k)])
+def words_of(text: str | None) -> list[str]:
+    """Words of a text with A-Z, and no other letters, in lower case."""
+    return WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def hashed(words: list[str], book: Words) -> np.ndarray:
+    return np.fromiter(map(book.__getitem__, words), np.uint64, len(words))
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
-    """Rows (h, template, tpos, size, least, label, twords): as many as the library has words."""
-    rows = [(t, x.words.split(" "), float(x.least), x.label) for t, x in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, twords array<string>, least double, label string")
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("twords") - k), lambda i: gram(F.col("twords"), i, k))).alias("tpos", "h")
-    return table.select("template", "least", "label", F.size("twords").alias("size"), "twords", at)
+    """Rows (h, template, tpos, size, least, label, said): as many as the library has words."""
+    rows, book = [], Words()
+    for t, x in enumerate(templates):
+        words = x.words.split(" ")
+        for at, h in enumerate(shingles(hashed(words, book), k).view(np.int64).tolist()):
+            rows.append((h, t, at, len(words), float(x.least), x.label, " ".join(words[at : at + k]) + " "))
+    return spark.createDataFrame(rows, "h long, template int, tpos int, size int, least double, label string, said string")
+
+
+def rolling_grams(docs: DataFrame, k: int, piece: int = 1_000_000) -> DataFrame:
+    """Rows (doc_id, key, line, starts, grams): a text's words, where each begins in `line`, and
+    the hash of the k words from each on. Texts of fewer words are left out.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Words(100_000)
+        for pdf in batches:
+            size = np.cumsum([len(t or "") for t in pdf["text"]])
+            for _, part in pdf.groupby(size // piece):
+                out = []
+                for doc, key, text in zip(part["doc_id"].astype(object), part["key"], part["text"]):
+                    words = words_of(text)
+                    if len(words) >= k:
+                        ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)) + 1)
+                        starts = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+                        out.append((None if pd.isna(doc) else int(doc), key, " ".join(words) + " ", starts, shingles(hashed(words, book), k).view(np.int64)))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "key", "line", "starts", "grams"]).astype({"doc_id": "Int64"})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return rows.mapInPandas(each, "doc_id long, key long, line string, starts array<int>, grams array<long>")
+
+
+@F.pandas_udf(LongType())
+def word_count(text: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(t)) for t in text], dtype="int64")
 
 
 def license_spans(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE, k: int = 2) -> DataFrame:
@@ -64,14 +104,10 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE
     parameter of fixed size, so its side of the join is sent to every task.
     Rows alike in doc_id and text have one set of spans. Null texts count as empty.
     """
-    spark = docs.sparkSession
-    low = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
-    low = low.where(F.size("words") >= k)
-    grams = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: gram(F.col("words"), i, k))
-    rolled = low.select("doc_id", "key", "words", F.posexplode(grams).alias("pos", "h"))
-    hits = rolled.join(F.broadcast(template_grams(spark, templates, k)), "h")
+    rolled = rolling_grams(docs, k).select("doc_id", "key", "line", "starts", F.posexplode("grams").alias("pos", "h"))
+    hits = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h")
     # the words decide, not their hash
-    hits = hits.where(F.slice("words", F.col("pos") + 1, k) == F.slice("twords", F.col("tpos") + 1, k))
+    hits = hits.where(F.col("line").substr(F.get("starts", "pos") + 1, F.length("said")) == F.col("said"))
     votes = hits.groupBy("doc_id", "key", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("tpos"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("label").alias("label")
     )
@@ -114,7 +150,7 @@ def op8_licenses(spark, sf_dir: str) -> DataFrame:
         F.max("share").alias("score"),
     )
     words = docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words")
+        "doc_id", F.xxhash64("doc_id", "text").alias("key"), word_count("text").alias("n_words")
     )
     return words.join(per, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
