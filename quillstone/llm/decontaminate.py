@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, lean
 
 TOKEN = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
@@ -24,7 +24,7 @@ FILTER_BITS = 1 << 22
 class Words(dict):
     """Hash of each word, forgotten beyond `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -154,7 +154,7 @@ def windows(docs: DataFrame, filters: tuple) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "start", "size", "content", "fp", "hashes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        each, "doc_id long, start int, size int, content long, fp long, hashes array<long>"
+        lean(each), "doc_id long, start int, size int, content long, fp long, hashes array<long>"
     )
 
 

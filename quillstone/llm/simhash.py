@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import WORD, components, cut
+from quillstone.llm.common import WORD, components, cut, lean
 
 BITS = 64
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fps = np.array([fingerprint(t) for t in pdf[text]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({key: pdf[key].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(each, f"{key} long, fp long")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(lean(each), f"{key} long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, pieces: int = 6, block: i
         if size:
             yield flush(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(each, "a long, b long")
+    return dealt.mapInPandas(lean(each), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4) -> DataFrame:

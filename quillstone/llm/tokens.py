@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,11 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import rangecoder
-from quillstone.llm.common import running_total, scratch
+from quillstone.llm.common import lean, running_total, scratch
 
 #: A single blank between two characters that aren't white space always begins a piece of the
 #: byte-level pre-tokenizer, so the parts between such blanks are encoded on their own.
-BORDER = re.compile(r" (?<=\S )(?=\S)")
+BORDER = re.compile(r"(?<=\S)(?= \S)")
+
+
+@functools.cache
+def loaded(path: str):
+    """The tokenizer, read once a worker; it runs on the task's own thread, as the cores are Spark's."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 class Encoder:
@@ -26,55 +40,36 @@ class Encoder:
     At most `most` parts are remembered; beyond that the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, most: int = 150_000):
+        self.tokenizer = loaded(path)
         self.most = most
         self._forget()
 
     def _forget(self) -> None:
-        self.known: tuple[dict, dict] = ({}, {})  # parts that begin a text, and others
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.n = self.end = 0
+        self.known: dict[str, int] = {}  # parts, with the blank that they follow
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _add(self, parts: list[str]) -> None:
-        for got in self.tokenizer.encode_batch(parts, add_special_tokens=False):
-            ids = got.ids
-            while self.end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            self.flat[self.end : self.end + len(ids)] = ids
-            self.start[self.n], self.size[self.n] = self.end, len(ids)
-            self.n, self.end = self.n + 1, self.end + len(ids)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum()))])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        if self.n > self.most:
+        if len(self.known) > self.most:
             self._forget()
-        first, other = self.known
-        new: list[str] = []
-        index: list[int] = []
-        parts = []
-        for text in texts:
-            cut = BORDER.split(text) if text else []
-            parts.append(len(cut))
-            for k, part in enumerate(cut):
-                book = other if k else first
-                at = book.get(part)
-                if at is None:
-                    at = book[part] = self.n + len(new)
-                    new.append(" " + part if k else part)
-                index.append(at)
+        cut = [BORDER.split(t) if t else [] for t in texts]
+        parts = list(chain.from_iterable(cut))
+        new = [p for p in dict.fromkeys(parts) if p not in self.known]
         if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self._add(new)
-        at = np.array(index, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         size = self.size[at]
-        total = int(size.sum())
-        ids = self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(total)]
-        ends = np.cumsum(np.r_[0, size])[np.cumsum(np.r_[0, parts])]
+        ids = self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ends = np.cumsum(np.r_[0, size])[np.cumsum(np.array([0, *map(len, cut)]))]
         return ids, np.diff(ends)
 
 
@@ -131,7 +126,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
             yield flush()
 
     schema = "shard int, frame int, doc_ids array<long>, sizes array<long>, n_ids long, payload binary"
-    rows.mapInPandas(each, schema).write.mode("errorifexists").option("compression", "none").parquet(path)
+    rows.mapInPandas(lean(each), schema).write.mode("errorifexists").option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +148,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     frames = spark.read.parquet(path)
     places = running_total(frames.select("shard", "frame", "n_ids"), [F.col("shard"), F.col("frame")], {"ids": F.col("n_ids")})
-    got = frames.select("shard", "frame", "doc_ids", "sizes", "payload").mapInPandas(each, "shard int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    got = frames.select("shard", "frame", "doc_ids", "sizes", "payload").mapInPandas(lean(each), "shard int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
     placed = got.join(places.select("shard", "frame", "before_ids"), ["shard", "frame"])
     return placed.select("doc_id", (F.col("before_ids") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

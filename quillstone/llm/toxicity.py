@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from quillstone.llm.common import lean
+
 # The grammar's word classes. Learned entries join the insults.
 INSULTS = (
     "asshole bastard bitch clown coward cretin degenerate disgusting dumb fool freak garbage idiot imbecile "
@@ -104,7 +106,7 @@ def stems(word: str) -> list[str]:
 class Lexicon(dict):
     """word -> (symbol, weight), worked out once a word and forgotten beyond `most` words."""
 
-    def __init__(self, learned: dict[str, float], most: int = 300_000):
+    def __init__(self, learned: dict[str, float], most: int = 150_000):
         super().__init__()
         self.learned, self.most = learned, most
         self.fixed = {w: (INSULT, 2.0) for w in INSULTS} | {w: (THREAT, 2.0) for w in THREATS}
@@ -169,7 +171,7 @@ def _count_stems(sample: DataFrame, only: set[str] | None) -> DataFrame:
         if keys:
             yield pd.DataFrame({"stem": [k[0] for k in keys], "fold": [k[1] for k in keys], "toxic": [k[2] for k in keys], "n": list(counts.values())})
 
-    part = sample.mapInPandas(each, "stem string, fold int, toxic int, n long")
+    part = sample.mapInPandas(lean(each), "stem string, fold int, toxic int, n long")
     return part.groupBy("stem", "fold", "toxic").agg(F.sum("n").alias("n"))
 
 
@@ -216,7 +218,7 @@ def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str]
                 out[n] = col
             yield out
 
-    return docs.mapInPandas(each, schema)
+    return docs.mapInPandas(lean(each), schema)
 
 
 FEATURES = ["_total", "_rate", "_top", "_words"]
