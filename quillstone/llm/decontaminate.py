@@ -182,7 +182,8 @@ def hamming_pairs(found: DataFrame, items: DataFrame) -> DataFrame:
     index = items.select("item_id", "size", "fp").mapInPandas(spread, "size int, b int, v int, item_id long, ifp long")
     asks = found.select("content", "size", "fp").dropDuplicates(["content"])
     asks = asks.select("content", "size", "fp", F.posexplode(F.array(*[_block("fp", b) for b in range(BLOCKS)])).alias("b", "v"))
-    met = asks.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
+    # the index has thousands of rows an item, which its statistics don't tell: never broadcast it
+    met = asks.join(index.hint("merge"), ["size", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     return met.select("content", "item_id").distinct()
 
 
