@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from quillstone.llm.common import cut
+
 LETTER = re.compile(r"[^\W\d_]")
 PAD = 255
 
@@ -131,7 +133,9 @@ def sample_texts(docs: DataFrame, rows: int = 300) -> dict[str, list[str]]:
     The share of each language that is read follows from its count, so no group is collected.
     """
     docs = docs.where("lang is not null and text is not null and length(text) >= 40")
-    counts = docs.groupBy("lang").count()
+    counts = cut(docs.groupBy("lang").count())
+    if counts.limit(10_001).count() <= 10_000:  # else the join shuffles
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
     taken = docs.join(counts, "lang").where(draw <= rows / F.col("count"))
     out: dict[str, list[str]] = {}
