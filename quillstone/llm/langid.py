@@ -117,12 +117,11 @@ def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray
             sym = columns[pos, :m]
             nxt = step[state[:m] * models.width + sym]
             ended = nxt == 0
-            n[:m] += ended
+            n[:m] += ended | (state[:m] == 1)  # a phrase begins here
             again = np.flatnonzero(ended)
             fresh = step[models.width + sym[again].astype(np.int32)]
             nxt[again] = np.where(fresh == 0, 1, fresh)
             state[:m] = nxt
-        n += filled[order] > 0
         np.add.at(out[:, k], owner[order], n)
     return out
 
