@@ -42,15 +42,16 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42, step: int = 16384)
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, fp long): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, fp long): the fingerprint's 64 bits as a signed long; the long columns `also` go along."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t) for t in pdf[text]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({key: pdf[key].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({key: pdf[key].astype("Int64"), **{c: pdf[c] for c in also}, "fp": fps})
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(lean(each), f"{key} long, fp long")
+    longs = "".join(f"{c} long, " for c in (key, *also))
+    return docs.select(F.col(key).cast("long").alias(key), *also, text).mapInPandas(lean(each), f"{longs}fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -210,6 +211,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, pieces: int = 6, block: i
     return dealt.mapInPandas(lean(each), "a long, b long")
 
 
+def rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """`nodes` of distinct fp with `root`, one fingerprint of each component of links within `radius`."""
+    roots = components(fingerprint_links(nodes.select("fp"), radius))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
     """Rows (doc_id, fp long, component_id): one for each row of `docs`.
 
@@ -220,28 +227,30 @@ def simhash_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = rooted(nodes, radius)
     lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut(known.join(lows, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of `docs` that stand for their group: those with its smallest doc_id.
+    """The rows of `docs` that stand for their group: one of each group.
 
-    Rows that share that doc_id are copies too and one of them stays, by the hash of the text.
-    Of the groups that have no doc_id at all, one row stays in the same way.
+    It is the row with the smallest doc_id, rows without one last, and among equals the smallest
+    hash of the text. A row is known by its doc_id and that hash, so equal doc_ids, or none, in
+    several groups don't meet; of rows equal in both one stays.
     """
-    groups = cut(simhash_groups(docs, radius).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")))
-    lows = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lows = cut(lows.groupBy(F.col("doc_id").alias("_kept")).agg(F.sum("n").alias("n")))
-    once, more = lows.where("n = 1").drop("n"), lows.where("n > 1").drop("n")
-    on = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    prints = fingerprints(docs.withColumn("_hash", F.xxhash64("text")), also=("_hash",))
+    copies = prints.groupBy("fp", "doc_id", "_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), "_hash", "n"))
+    nodes = cut(copies.groupBy("fp").agg(first.alias("first")))
+    firsts = cut(rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    once, more = firsts.where("n = 1"), firsts.where("n > 1")
+    on = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_hash"))
     kept = docs.join(once, on, "left_semi")
     if not more.isEmpty():
         rows = docs.join(more, on, "left_semi").select(F.struct("*").alias("_row"))
-        one = rows.groupBy("_row.doc_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+        one = rows.groupBy("_row.doc_id", F.xxhash64("_row.text")).agg(F.first("_row").alias("_row"))
         kept = kept.unionByName(one.select("_row.*"))
     return kept
 

@@ -116,3 +116,10 @@ def test_one_of_repeated_rows_stays(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (4, "a b c d e f")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [tuple(r) for r in kept] == [(1, "a b c d e f")]
+
+
+def test_groups_without_doc_id_keep_a_row_each(spark):
+    texts = [f"{w} one {w} two {w} three {w} four {w}" for w in ("red", "green", "blue", "gold")]
+    rows = [(None, texts[0], "a"), (None, texts[0], "b"), (None, texts[1], "c"), (None, texts[2], "d"), (8, texts[2], "e"), (8, texts[3], "f")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in kept) == sorted([(texts[0], 0), (texts[1], 0), (texts[2], 8), (texts[3], 8)])
