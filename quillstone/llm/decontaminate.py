@@ -215,11 +215,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows without doc_id go only together."""
+    """The rows of `docs` whose doc_id holds no benchmark item; rows without doc_id go only together.
+
+    `clean_rows` judges each row by its own text.
+    """
     hit = contamination(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` whose own text holds no benchmark item, whatever doc_id they share or lack.
+
+    A row is known by a 64-bit hash of its doc_id and text; rows equal in both go or stay together.
+    """
+    key = F.xxhash64("doc_id", "text")
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, key == F.col("_hit"), "left_anti")
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

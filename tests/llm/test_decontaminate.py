@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline as cp
 from quillstone.llm import decontaminate as dc
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -95,3 +96,20 @@ def test_edges(spark):
     none = items.limit(0)
     assert dc.contamination(docs, none).count() == 0 and dc.decontaminate(docs, none).count() == len(rows)
     assert dc.contamination(docs.limit(0), items).count() == 0
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_doc_id(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, item, "a"), (None, "clean", "b"), (None, None, "c"), (3, f"Say: {item}!", "d"), (3, "again", "e"), (3, "again", "f"), (4, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.source for r in dc.clean_rows(docs, items).collect()) == ["b", "c", "e", "f", "g"]
+    assert dc.clean_rows(docs, items.limit(0)).count() == len(rows)
+
+
+def test_the_pipeline_stage_keeps_clean_rows(spark, tmp_path):
+    item = "one two three four five six seven eight"
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean"), (3, item), (3, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    assert sorted(r.text for r in cp.drop_leaks(spark, docs, str(tmp_path)).collect()) == ["again", "clean"]
