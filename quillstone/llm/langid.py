@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,22 +16,29 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from quillstone.llm.common import cut
 
 LETTER = re.compile(r"[^\W\d_]")
-PAD = 255
+PAD = 65535
+
+
+@dataclass
+class Automaton:
+    """Transitions in one table: state s goes on symbol c by slot base[s] + c, if that slot is owned by s."""
+
+    base: np.ndarray  # int32[states]
+    slots: np.ndarray  # int64: owner << 32 | next state; -1 where free
 
 
 @dataclass
 class Models:
-    """Symbols of the alphabet by UTF-16 unit, and one dense automaton for each language."""
+    """Symbols of all characters of the samples by UTF-16 unit, and one automaton for each language."""
 
     langs: list[str]
-    symbols: np.ndarray  # uint8[65536]; 0 for characters outside the alphabet
-    width: int
-    steps: list[np.ndarray]  # int32[states * width]; 0 where the text has no such continuation
+    symbols: np.ndarray  # uint16[65536]; 0 for characters that no sample holds
+    steps: list[Automaton]
     scale: list[float]  # bits that a phrase costs
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings of `text`; state 0 is none, 1 the start."""
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """Edges of the smallest automaton of all substrings of `text`; state 0 is none, 1 the start."""
     go: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in text.tolist():
@@ -57,6 +64,12 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
                     go[p][c] = twin
                     p = link[p]
         last = new
+    return go
+
+
+def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
+    """The transitions as a dense table of `width` symbols."""
+    go = transitions(text)
     table = np.zeros((len(go), width), np.int32)
     for s, edges in enumerate(go):
         for c, t in edges.items():
@@ -64,30 +77,77 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def packed(text: np.ndarray, width: int, tries: int = 48) -> Automaton:
+    """The transitions with the rows of all states laid over each other, for any number of symbols.
+
+    Rows go by size, each to the first of some drawn places where its slots are free, else behind
+    the others. A table has a few slots a character of text, however wide the alphabet.
+    """
+    go = transitions(text)
+    draw = random.Random(1)
+    slots = [-1] * (2 * sum(map(len, go)) + 1)
+    base = np.zeros(len(go), np.int64)
+    for s in sorted(range(len(go)), key=lambda s: -len(go[s])):
+        edges = go[s]
+        if not edges:
+            continue
+        low = min(edges)
+        span = max(edges) - low
+        for _ in range(tries):
+            at = int(draw.random() * (len(slots) - span)) if span < len(slots) else len(slots)
+            if at == len(slots) or all(slots[at + c - low] < 0 for c in edges):
+                break
+        else:
+            at = len(slots)
+        if at + span >= len(slots):
+            slots.extend([-1] * (at + span + 1 - len(slots)))
+        for c, t in edges.items():
+            slots[at + c - low] = s << 32 | t
+        base[s] = at - low
+    room = np.full(width, -1, np.int64)  # any base plus any symbol is a slot
+    return Automaton((base + width).astype(np.int32), np.concatenate([room, np.array(slots, np.int64), room]))
+
+
 def clean(text: str) -> str:
     """Lower case, every run of characters that aren't letters one space."""
     return re.sub(r"[\W\d_]+", " ", text.lower())
 
 
-def train(texts: dict[str, list[str]], chars: int = 24_000, alphabet: int = 63) -> Models:
-    """Models of each language's first `chars` characters of cleaned sample text."""
+def train(texts: dict[str, list[str]], chars: int = 24_000) -> Models:
+    """Models of about `chars` characters of each language's cleaned sample text.
+
+    Each text gives its beginning; what short texts leave goes to longer ones. Every character of the runs is a symbol of its own. A language without letters has no
+    model. A phrase costs a pointer into the language's text and a symbol, so that little text,
+    which is pointed into cheaply, doesn't make up for phrases of single characters.
+    """
     joined = {}
     for lang, parts in sorted(texts.items()):
-        share = max(64, chars // max(1, len(parts)))
-        joined[lang] = " ".join(clean(p)[:share] for p in parts)[:chars]
-    common = Counter(c for t in joined.values() for c in t if ord(c) < 65536)
-    symbols = np.zeros(65536, np.uint8)
-    for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:alphabet]):
-        symbols[ord(c)] = k + 1
-    width = alphabet + 1
-    steps = [suffix_automaton(_units(t, symbols), width) for t in joined.values()]
-    return Models(list(joined), symbols, width, steps, [float(np.log2(max(2, len(t)))) for t in joined.values()])
+        runs, left = [], chars
+        cleaned = sorted((clean(p) for p in parts), key=len)
+        for k, p in enumerate(cleaned):
+            runs.append(p[: max(64, left // (len(cleaned) - k))])
+            left -= len(runs[-1])
+        if LETTER.search(text := " ".join(runs)):
+            joined[lang] = text
+    units = {k: np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for k, t in joined.items()}
+    symbols = np.zeros(65536, np.uint16)
+    known = np.unique(np.concatenate([np.zeros(0, np.uint16), *units.values()]))
+    symbols[known] = np.arange(1, len(known) + 1)
+    steps = [packed(symbols[u], len(known) + 1) for u in units.values()]
+    literal = np.log2(len(known) + 1)
+    return Models(list(joined), symbols, steps, [float(np.log2(max(2, len(u))) + literal) for u in units.values()])
 
 
 def _units(text: str, symbols: np.ndarray) -> np.ndarray:
     return symbols[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
 
 
+def _follow(step: Automaton, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """The states that follow, 0 where the text has no such continuation."""
+    slot = step.slots[step.base[state] + sym]
+    return np.where(slot >> 32 == state, slot & 0xFFFFFFFF, 0).astype(np.int32)
+
+
 def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray:
     """Phrases [text, language] of the greedy parse of each text into longest matches.
 
@@ -97,7 +157,7 @@ def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray
     coded = [_units(t, models.symbols) for t in texts]
     counts = [-(-len(c) // segment) for c in coded]
     owner = np.repeat(np.arange(len(texts)), counts)
-    grid = np.full((len(owner), segment), PAD, np.uint8)
+    grid = np.full((len(owner), segment), PAD, np.uint16)
     at = 0
     for c, n in zip(coded, counts):
         grid[at : at + n].reshape(-1)[: len(c)] = c
@@ -108,6 +168,8 @@ def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray
     live = np.searchsorted(-filled[order], -np.arange(segment), side="left")
     out = np.zeros((len(texts), len(models.langs)))
     for k, step in enumerate(models.steps):
+        every = np.arange(int(models.symbols.max()) + 1)
+        start = _follow(step, np.ones(len(every), np.int32), every)
         state = np.ones(len(owner), np.int32)
         n = np.zeros(len(owner), np.int32)
         for pos in range(segment):
@@ -115,11 +177,11 @@ def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray
             if not m:
                 break
             sym = columns[pos, :m]
-            nxt = step[state[:m] * models.width + sym]
+            nxt = _follow(step, state[:m], sym)
             ended = nxt == 0
             n[:m] += ended | (state[:m] == 1)  # a phrase begins here
             again = np.flatnonzero(ended)
-            fresh = step[models.width + sym[again].astype(np.int32)]
+            fresh = start[sym[again]]
             nxt[again] = np.where(fresh == 0, 1, fresh)
             state[:m] = nxt
         np.add.at(out[:, k], owner[order], n)

@@ -69,3 +69,18 @@ def test_edges(spark):
     nothing = langid.predict_language(spark.createDataFrame(rows, schema), langid.train({})).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert langid.sample_texts(spark.createDataFrame([(None, "en"), ("x" * 50, None)], "text string, lang string")) == {}
+
+
+def test_every_character_of_the_samples_is_a_symbol():
+    draw = np.random.default_rng(3)
+    texts = {"en": TEXTS["en"]}
+    for k, lang in enumerate(("ja", "th", "zh")):
+        letters = [chr(c) for c in range(0x4E00 + 700 * k, 0x4E00 + 700 * k + 600)]
+        texts[lang] = ["".join(draw.choice(letters, 200)) for _ in range(30)]
+    models = langid.train(texts)
+    asked = [texts[lang][i][40:160] + texts["en"][0][:20] for lang in ("ja", "th", "zh") for i in range(5)]
+    got = langid.phrases(asked, models)
+    assert [models.langs[k] for k in (got * models.scale).argmin(axis=1)] == ["ja"] * 5 + ["th"] * 5 + ["zh"] * 5
+    for k, lang in enumerate(models.langs):
+        source = " ".join(sorted(map(langid.clean, texts[lang]), key=len))
+        assert got[:, k].tolist() == [parse(t, source) for t in asked]
