@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,10 +114,17 @@ def clean(text: str) -> str:
     return re.sub(r"[\W\d_]+", " ", text.lower())
 
 
+def _run(text: str, length: int) -> str:
+    """`length` characters of `text` from a place that its hash chooses; all of a shorter text."""
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text) - length + 1)
+    return text[at : at + length]
+
+
 def train(texts: dict[str, list[str]], chars: int = 24_000) -> Models:
     """Models of about `chars` characters of each language's cleaned sample text.
 
-    Each text gives its beginning; what short texts leave goes to longer ones. Every character of the runs is a symbol of its own. A language without letters has no
+    Each text gives a run of it, from anywhere in the text; what short texts leave goes to longer
+    ones. Every character of the runs is a symbol of its own. A language without letters has no
     model. A phrase costs a pointer into the language's text and a symbol, so that little text,
     which is pointed into cheaply, doesn't make up for phrases of single characters.
     """
@@ -125,7 +133,7 @@ def train(texts: dict[str, list[str]], chars: int = 24_000) -> Models:
         runs, left = [], chars
         cleaned = sorted((clean(p) for p in parts), key=len)
         for k, p in enumerate(cleaned):
-            runs.append(p[: max(64, left // (len(cleaned) - k))])
+            runs.append(_run(p, max(64, left // (len(cleaned) - k))))
             left -= len(runs[-1])
         if LETTER.search(text := " ".join(runs)):
             joined[lang] = text
@@ -188,19 +196,24 @@ def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray
     return out
 
 
-def sample_texts(docs: DataFrame, rows: int = 300) -> dict[str, list[str]]:
-    """Up to about `rows` texts of each language, by a hash of the row: the bound of what is fitted.
+def sample_texts(docs: DataFrame, rows: int = 300, chars: int = 24_000) -> dict[str, list[str]]:
+    """About `rows` distinct texts of each language, or all of fewer, by a hash of the text.
 
-    The share of each language that is read follows from its count, so no group is collected.
+    The share of each language that is read follows from its count, so no group is collected. Of
+    a text comes a run of twice its part of `chars` from anywhere in it: what a language brings
+    to the driver is bounded, the number of languages is not.
     """
-    docs = docs.where("lang is not null and text is not null and length(text) >= 40")
-    counts = cut(docs.groupBy("lang").count())
+    docs = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64("text", F.lit(7)))
+    counts = cut(docs.groupBy("lang").agg(F.approx_count_distinct("_h").alias("count")))
     if counts.limit(10_001).count() <= 10_000:  # else the join shuffles
         counts = F.broadcast(counts)
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.pmod(F.col("_h"), F.lit(1_000_003)) / 1_000_003.0
     taken = docs.join(counts, "lang").where(draw <= rows / F.col("count"))
+    size = F.ceil(2 * chars / F.least(F.lit(rows), F.greatest(F.lit(1), F.col("count")))).cast("int")
+    at = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
+    runs = taken.select("lang", "_h", F.substring("text", at, size).alias("run")).groupBy("lang", "_h").agg(F.min("run").alias("run"))
     out: dict[str, list[str]] = {}
-    for lang, text in taken.select("lang", F.substring("text", 1, 20_000)).orderBy("lang", F.xxhash64("text")).limit(100 * rows).collect():
+    for lang, _, text in sorted(map(tuple, runs.collect())):
         out.setdefault(lang, []).append(text)
     return out
 

@@ -84,3 +84,18 @@ def test_every_character_of_the_samples_is_a_symbol():
     for k, lang in enumerate(models.langs):
         source = " ".join(sorted(map(langid.clean, texts[lang]), key=len))
         assert got[:, k].tolist() == [parse(t, source) for t in asked]
+
+
+def test_every_language_is_sampled_however_many_or_short(spark):
+    rows = [(f"l{k:03d}", f"wort {chr(0x4E00 + k)}") for k in range(150)] * 3
+    got = langid.sample_texts(spark.createDataFrame(rows, "lang string, text string"), rows=1)
+    assert got == {lang: [text] for lang, text in rows}
+
+
+def test_samples_reach_beyond_a_shared_header(spark):
+    header = "this file is free software under the terms of the licence " * 8
+    bodies = {"de": "der hund und die katze sitzen auf der matte ", "en": "the dog and the cat sit on the mat all day "}
+    rows = [(lang, f"{header}{body * 40}{chr(97 + k % 26)}{chr(97 + k // 26)}") for lang, body in bodies.items() for k in range(300)]
+    models = langid.train(langid.sample_texts(spark.createDataFrame(rows, "lang string, text string")))
+    got = langid.phrases([bodies["de"], bodies["en"]], models)
+    assert [models.langs[k] for k in got.argmin(axis=1)] == ["de", "en"]
