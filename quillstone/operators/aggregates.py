@@ -205,7 +205,8 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
     """(comparison, delta, low, high): the ratio b - a over refs and its 2.5 and 97.5 percentiles.
 
     Clusters are resampled by NumPy's generator in cluster order. A comparison's clusters are one
-    group: it has one row a cluster, as `cluster_sums` makes it.
+    group: it has one row a cluster, as `cluster_sums` makes it. Draws are made some at a time, in
+    the order of one array of them all, so memory grows with the clusters alone.
     """
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -213,8 +214,9 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
         x, y, r = (pdf[c].to_numpy(float) for c in (a, b, refs))
         n = len(pdf)
         deltas = []
-        pick = np.random.default_rng(seed).integers(0, n, size=(draws, n))
-        for rows in np.array_split(pick, max(1, draws * n // 5_000_000)):
+        generator, step = np.random.default_rng(seed), max(1, 5_000_000 // n)
+        for at in range(0, draws, step):
+            rows = generator.integers(0, n, size=(min(step, draws - at), n))
             deltas.append((y[rows].sum(axis=1) - x[rows].sum(axis=1)) / r[rows].sum(axis=1))
         low, high = np.percentile(np.concatenate(deltas), [2.5, 97.5])
         return pd.DataFrame({comparison: [pdf[comparison].iloc[0]], "delta": [(y.sum() - x.sum()) / r.sum()], "low": [low], "high": [high]})

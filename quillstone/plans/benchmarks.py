@@ -235,4 +235,4 @@ def bootstrap_hash_variant(spark, sf_dir):
 def bootstrap_numpy(spark, sf_dir):
     rows = scored(spark, sf_dir).select("source_id", F.col("edit_count").alias("a"), F.greatest(F.lit(0), F.col("edit_count") - F.col("line") % 3).alias("b"), F.col("reference_char_count").alias("refs"))
     sums = A.cluster_sums(rows, "source_id", ["a", "b"], "refs").withColumn("comparison", F.lit("later - base"))
-    return A.bootstrap_numpy(sums, "comparison", "source_id", "a", "b", "refs", draws=500)
+    return A.bootstrap_numpy(sums, "comparison", "source_id", "a", "b", "refs")

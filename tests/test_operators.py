@@ -158,6 +158,23 @@ def test_bootstrap_matches_numpy(spark):
     assert got.delta == pytest.approx((b.sum() - a.sum()) / r.sum()) and (got.low, got.high) == pytest.approx(tuple(np.percentile(d, [2.5, 97.5])))
 
 
+def test_bootstrap_draws_in_parts_as_numpy_at_once(spark, monkeypatch):
+    from quillstone.plans import benchmarks
+
+    n, draws = 40_001, 260
+    rows = spark.range(n).selectExpr("'c' AS k", "id AS s", "CAST(id % 4 AS double) AS a", "CAST(id % 3 AS double) AS b", "10.0D + id % 7 AS refs")
+    got = A.bootstrap_numpy(rows, "k", "s", "a", "b", "refs", draws, 7).first()
+    i = np.arange(n)
+    pick = np.random.default_rng(7).integers(0, n, size=(draws, n))
+    d = ((i % 3)[pick].sum(1) - (i % 4)[pick].sum(1)) / (10.0 + i % 7)[pick].sum(1)
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(d, [2.5, 97.5])))
+
+    asked = {}
+    monkeypatch.setattr(A, "bootstrap_numpy", lambda *a, draws=2000, **k: asked.update(draws=draws))
+    benchmarks.bootstrap_numpy(spark, "/root/testdata/sf0.001")
+    assert asked == {"draws": 2000}
+
+
 def test_aligned_mask(spark):
     rows = [("g", 0, 1.0, [1, 2, 3, 9], False), ("g", 1, 0.5, [1, 5, 3, 9], False), ("g", 2, 1.0, [1, 2, 3, 9], False), ("g", 3, 0.2, [1, 2, 7, 9], False), ("g", 4, 0.1, [1, 2, 9], False), ("h", 0, 1.0, [1, 2], True)]
     df = spark.createDataFrame(rows, "group string, candidate_index int, reward double, label_ids array<int>, punctuated boolean")
