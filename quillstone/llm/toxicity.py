@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,21 +17,37 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from quillstone.llm.common import lean
 
-# The grammar's word classes. Learned entries join the insults.
+# The grammar's word classes before anything is learned. Labels add words to each
+# class, and take out those that labelled rows show to be harmless.
 INSULTS = (
     "asshole bastard bitch clown coward cretin degenerate disgusting dumb fool freak garbage idiot imbecile "
     "jerk loser lowlife maggot moron parasite pathetic pig retard scum stupid trash vermin wimp worthless"
 ).split()
 THREATS = "beat burn crush cut destroy die drown hang harm hit hunt hurt kill murder punch shoot smash stab strangle".split()
-TARGETS = "he her him his she that their them these they this those u ur you your yours yourself".split()
-NEGATIONS = "ain't barely cannot doesn't don't hardly isn't never nobody no none not nothing wasn't without won't".split()
-REPORTS = "accused alleged claimed quote quoted replied reported said saying says shouted told wrote".split()
+TARGETS = (
+    "he her him his she that their them these they this those u ur you your yours yourself "
+    "dein deine dich dir du ihr euch eure ihn tu toi te vous ton votre tú ti usted ustedes vosotros"
+).split()
+NEGATIONS = (
+    "ain't barely cannot doesn't don't hardly isn't never nobody no none not nothing wasn't without won't "
+    "nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna"
+).split()
+REPORTS = (
+    "accused alleged claimed quote quoted replied reported said saying says shouted told wrote "
+    "sagte schrieb behauptete dit écrit affirmé dijo escribió afirmó"
+).split()
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
 #: Symbols of the grammar.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 ALPHABET = range(8)
 SCORED = (INSULT, THREAT)
+#: The longest piece of a word that the lexicon weighs, beside whole words, and its least weight.
+LONGEST, LEAST = 8, 1.5
+#: From this weight on a word alone nearly decides.
+SURE = 2.5
+#: Rows that must have a piece before its own counts may speak for it.
+OFTEN = 12
 
 
 @dataclass(frozen=True)
@@ -98,9 +116,13 @@ def compose(*parts: Transducer) -> Grammar:
 GRAMMAR = compose(insults(), threats(), targets(), negations(), reports())
 
 
-def stems(word: str) -> list[str]:
-    """The lexicon's keys of a word: beginnings of 3 to 8 letters, and the whole, marked."""
-    return [word[:k] for k in range(3, min(8, len(word)) + 1)] + [word + "$"]
+def pieces(word: str, longest: int = LONGEST) -> set[str]:
+    """The lexicon's keys of a word: its substrings up to a length, its ends marked ^ and $."""
+    marked = f"^{word}$"
+    out = {marked[k : k + n] for n in range(1, longest + 1) for k in range(len(marked) - n + 1)} - {"^", "$"}
+    if len(marked) > longest:
+        out.add(marked)
+    return out
 
 
 class Lexicon(dict):
@@ -108,10 +130,15 @@ class Lexicon(dict):
 
     def __init__(self, learned: dict[str, float], most: int = 150_000):
         super().__init__()
-        self.learned, self.most = learned, most
+        learned = learned if isinstance(learned, Learned) else Learned(learned)
+        self.pieces, self.most = dict(learned), most
+        self.lengths = sorted({len(g) for g in learned if len(g) <= LONGEST})
         self.fixed = {w: (INSULT, 2.0) for w in INSULTS} | {w: (THREAT, 2.0) for w in THREATS}
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.fixed |= {w: (symbol, 0.0) for w in words}
+        for word in learned.harmless:
+            self.fixed.pop(word, None)
+        self.fixed |= learned.classes
         for mark in ".!?;:\n":
             self.fixed[mark] = (END, 0.0)
         for mark in '"“”«»':
@@ -119,9 +146,16 @@ class Lexicon(dict):
 
     def __missing__(self, word: str):
         got = self.fixed.get(word, (OTHER, 0.0))
-        best = max((self.learned.get(s, 0.0) for s in stems(word)), default=0.0)
-        if best > 0 and got[0] in (OTHER, INSULT):
-            got = (INSULT, max(best, got[1]))
+        if got[0] in (OTHER, INSULT) and self.pieces:
+            marked, get = f"^{word}$", self.pieces.get
+            best = get(marked, 0.0)
+            for n in self.lengths:
+                for k in range(len(marked) - n + 1):
+                    w = get(marked[k : k + n])
+                    if w is not None and w > best:
+                        best = w
+            if best > 0:
+                got = (INSULT, max(best, got[1]))
         if len(self) >= self.most:
             self.clear()
         self[word] = got
@@ -129,81 +163,324 @@ class Lexicon(dict):
 
 
 def clause_features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """[log of all clause scores, log of them per 100 words, largest clause score, log of words]."""
+    """Logs of what all clauses score by sure words and by all words, of the largest clause, and of all per 100 words."""
     tokens = TOKEN.findall((text or "").lower())
     marks = [lexicon[t] for t in tokens]
-    n = len(tokens)
-    total = top = clause = 0.0
-    if any(s == INSULT or s == THREAT for s, _ in marks):
+    sure = total = top = clause = 0.0
+    if any(w for _, w in marks):
         state = 0
         move, weight = GRAMMAR.move, GRAMMAR.weight
         for symbol, w in marks:
             at = state * 8 + symbol
             if w:
-                clause += w * weight[at]
+                gain = w * weight[at]
+                clause += gain
+                if w >= SURE:
+                    sure += gain
             elif symbol == END and clause:
                 total, top, clause = total + clause, max(top, clause), 0.0
             state = move[at]
         total, top = total + clause, max(top, clause)
-    return [math.log1p(total), math.log1p(100 * total / (n + 20)), top, math.log1p(n)]
+    return [math.log1p(sure), math.log1p(total), math.log1p(top), math.log1p(100 * total / (len(tokens) + 20))]
+
+
+class Learned(dict):
+    """What labels teach the grammar: weighted pieces of words (the items), words of the other
+    classes, and fixed words that are harmless."""
+
+    def __init__(self, pieces: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
+        super().__init__(pieces or {})
+        self.classes: dict[str, tuple[int, float]] = {}
+        self.harmless = harmless
 
 
 @dataclass
 class Model:
-    learned: dict[str, float]
-    mean: list[float]
-    scale: list[float]
-    weights: list[float]
+    learned: Learned
+    weights: list[float]  # of FEATURES, none negative, and the constant
+
+
+def _summed(counts: dict, names: list[str]) -> pd.DataFrame:
+    rows = [(*k, n) for k, n in counts.items()]
+    return pd.DataFrame(rows, columns=[*names, "n"])
+
 
+def _folded(labelled: DataFrame) -> DataFrame:
+    """Rows (text, toxic, fold), one of each group that shares its smallest five-word shingle.
 
-def _count_stems(sample: DataFrame, only: set[str] | None) -> DataFrame:
-    """Rows (stem, fold, toxic, n): documents of the sample that have a stem."""
-    shared = sample.sparkSession.sparkContext.broadcast(only)
+    Near copies mostly share it: they would prove each other's chance words in the other fold.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            low = []
+            for text in pdf["text"]:
+                words = TOKEN.findall((text or "").lower())
+                runs = (" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+                low.append(min(zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs))
+            yield pdf.assign(low=np.array(low, np.int64))
+
+    rows = labelled.repartition(_tasks(labelled)).mapInPandas(lean(each), "text string, toxic int, low long")
+    one = rows.groupBy("low", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    return one.select("one.text", "toxic", (F.col("low") % 2).cast("int").alias("fold")).repartition(_tasks(labelled), "text")
+
+
+def _count_words(sample: DataFrame) -> DataFrame:
+    """Rows (word, fold, toxic, n): in how many of the sample's rows a word stands."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict = {}
+        counts: Counter = Counter()
         for pdf in batches:
             for text, fold, toxic in zip(pdf["text"], pdf["fold"], pdf["toxic"]):
-                found = {s for w in set(TOKEN.findall((text or "").lower())) if len(w) > 1 for s in stems(w)}
-                for s in found if shared.value is None else found & shared.value:
-                    counts[s, fold, toxic] = counts.get((s, fold, toxic), 0) + 1
-        keys = list(counts)
-        if keys:
-            yield pd.DataFrame({"stem": [k[0] for k in keys], "fold": [k[1] for k in keys], "toxic": [k[2] for k in keys], "n": list(counts.values())})
-
-    part = sample.mapInPandas(lean(each), "stem string, fold int, toxic int, n long")
-    return part.groupBy("stem", "fold", "toxic").agg(F.sum("n").alias("n"))
-
-
-def _weigh(counts: pd.DataFrame, size: dict[int, int], most: int) -> dict[str, float]:
-    """Stems and their log-odds for toxic rows, one standard error below the estimate, from 1 up."""
-    wide = counts.pivot_table(index="stem", columns="toxic", values="n", aggfunc="sum", fill_value=0)
-    pos, neg = (wide[c].to_numpy(float) if c in wide else np.zeros(len(wide)) for c in (1, 0))
-    odds = np.log((pos + 0.5) / (size.get(1, 0) + 1)) - np.log((neg + 0.5) / (size.get(0, 0) + 1))
-    low = odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    ok = (low >= 1) & (pos >= max(3, 0.004 * size.get(1, 0)))
-    order = np.argsort(-low[ok], kind="stable")[:most]
-    return {s: float(w) for s, w in zip(wide.index[ok][order], low[ok][order])}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights, the constant last, by Newton steps on the penalised likelihood."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str], pick: str | None = None, keep_text: bool = False) -> DataFrame:
+                counts.update((w, fold, toxic) for w in set(TOKEN.findall((text or "").lower())) if w[0].isalpha())
+                if len(counts) > 1_000_000:
+                    yield _summed(counts, ["word", "fold", "toxic"])
+                    counts.clear()
+        if counts:
+            yield _summed(counts, ["word", "fold", "toxic"])
+
+    part = sample.select("text", "fold", "toxic").mapInPandas(lean(each), "word string, fold int, toxic int, n long")
+    return part.groupBy("word", "fold", "toxic").agg(F.sum("n").alias("n"))
+
+
+#: Counts of one piece: words of clean rows of fold 0 and 1, each as often as rows have it, then of toxic ones.
+SIDES = ["c0", "c1", "t0", "t1"]
+
+
+def _pieces_of(words: list[str], n: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Pieces of words with the sums of the words' counts n [word, side]."""
+    marked = [f"^{w}$" for w in words]
+    line = "".join(marked)
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.cumsum(size)[owner] - np.arange(len(code))  # characters from here to the word's end
+    h = np.zeros(len(code), np.uint64)
+    for k in range(1, LONGEST + 1):
+        h[: len(h) - k + 1] = h[: len(h) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + (code[k - 1 :] + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+        at = np.flatnonzero((left >= k) & ((k > 1) | ((left > 1) & (left < size[owner]))))
+        if not len(at):  # Arrow has no form for a frame without rows
+            continue
+        mixed = (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+        _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+        sums = {c: np.bincount(which, n[owner[at], j]).astype(np.int64) for j, c in enumerate(SIDES)}
+        yield pd.DataFrame({"piece": [line[a : a + k] for a in at[first].tolist()], **sums})
+    whole = np.flatnonzero(size > LONGEST)
+    if len(whole):
+        yield pd.DataFrame({"piece": [marked[j] for j in whole], **{c: n[whole, j] for j, c in enumerate(SIDES)}})
+
+
+def _count_pieces(words: DataFrame, size: dict, least: float = 1.0) -> pd.DataFrame:
+    """Pieces of the words of toxic rows with `SIDES`, if their log-odds reach `least` in some fold or both."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= 150_000:
+                rows = pd.concat(held)
+                held.clear()
+                yield from _pieces_of(rows["word"].tolist(), rows[SIDES].to_numpy(np.int64))
+        if held:
+            rows = pd.concat(held)
+            yield from _pieces_of(rows["word"].tolist(), rows[SIDES].to_numpy(np.int64))
+
+    flag = lambda t, f: F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("n")).otherwise(0))
+    wide = words.groupBy("word").agg(*[flag(t, f).alias(f"{'ct'[t]}{f}") for t in (0, 1) for f in (0, 1)])
+    wide = wide.repartition(_tasks(words), "word")
+    part = wide.mapInPandas(lean(each), "piece string, " + ", ".join(f"{c} long" for c in SIDES))
+    total = part.groupBy("piece").agg(*[F.sum(c).alias(c) for c in SIDES])
+    enough = F.lit(False)
+    for folds in ((0,), (1,), (0, 1)):
+        pos, neg = (sum((F.col(f"{x}{f}") for f in folds), F.lit(0)) for x in "tc")
+        n_pos, n_neg = (max(1, sum(size.get((f, t), 0) for f in folds)) for t in (1, 0))
+        enough = enough | ((pos >= 1) & (pos * F.lit(n_neg / n_pos) >= (neg + 0.1) * math.exp(least)))
+    return total.where(enough).toPandas()
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work on the sample, whose size is bounded: what looks small to Spark is slow in Python."""
+    return max(2, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _classes(piece: pd.Series, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """The kind of a piece: its length, how many toxic rows have it, and how rare it is in clean ones."""
+    length = np.minimum(piece.str.len().to_numpy(), LONGEST + 1)
+    often = np.minimum(np.floor(np.log2(np.maximum(pos, 1))), 7).astype(np.int64)
+    odds = np.log(np.maximum(pos, 1e-9) / n_pos) - np.log((neg + 0.02) / n_neg)
+    pure = np.where(neg == 0, 9, np.clip(np.floor(odds), -1, 8)).astype(np.int64)
+    return np.where(pos > 0, (length * 8 + often) * 16 + pure + 1, 0)
+
+
+def _purest(counts: pd.DataFrame, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Which pieces mark toxic rows more purely than any shorter piece inside them.
+
+    The others say nothing of their own: where they stand, the shorter piece stands as well.
+    """
+    ratio: dict[str, float] = {}
+    keep = np.zeros(len(counts), bool)
+    pieces_of = counts["piece"].to_numpy()
+    for at in np.argsort(counts["piece"].str.len().to_numpy(), kind="stable"):
+        if pos[at] > 0:
+            g, own = pieces_of[at], neg[at] / pos[at]
+            inner = min(ratio.get(g[1:], math.inf), ratio.get(g[:-1], math.inf))
+            if len(g) > LONGEST + 1:
+                inner = min((ratio.get(g[k : k + LONGEST], math.inf) for k in range(len(g) - LONGEST + 1)), default=math.inf)
+            keep[at] = own < inner
+            ratio[g] = min(own, inner)
+    return keep
+
+
+def _kinds(counts: pd.DataFrame, size: dict) -> dict[tuple, dict[str, tuple[int, float]]]:
+    """For fold 0, fold 1 and both: the purest pieces found there with their kinds, and, if they
+    are frequent, their own log-odds a standard error below."""
+    n = lambda fs, t: max(1.0, float(sum(size.get((f, t), 0) for f in fs)))
+    out = {}
+    for folds in ((0,), (1,), (0, 1)):
+        pos, neg = (sum(counts[f"{x}{f}"] for f in folds).to_numpy() for x in "tc")
+        own = _purest(counts, pos, neg)
+        kind = _classes(counts["piece"], pos / len(folds), neg / len(folds), n(folds, 1) / len(folds), n(folds, 0) / len(folds))
+        alone = np.log((pos + 0.5) / (n(folds, 1) + 1)) - np.log((neg + 0.5) / (n(folds, 0) + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        alone[pos < OFTEN] = 0.0
+        out[folds] = dict(zip(counts["piece"][own], zip(kind[own].tolist(), alone[own].tolist())))
+    return out
+
+
+def _trust(sample: DataFrame, kinds: dict[tuple, dict[str, tuple[int, float]]], size: dict) -> dict[int, float]:
+    """How far a kind of piece is to be trusted, seen in the half of the sample where it was not found.
+
+    It is the log-odds, a standard error below, with which having a piece of that kind marks a
+    row as toxic there. So a piece that chance put into one toxic row gets what its like are
+    worth, and a true one too, however many there are and however rare each is.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast([kinds[1,], kinds[0,]])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: list[dict] = [{}, {}]
+        counts: Counter = Counter()
+        for pdf in batches:
+            for text, fold, toxic in zip(pdf["text"], pdf["fold"], pdf["toxic"]):
+                known, mine = shared.value[fold], of[fold]
+                found: set = set()
+                for w in set(TOKEN.findall((text or "").lower())):
+                    has = mine.get(w)
+                    if has is None:
+                        if len(mine) > 100_000:
+                            mine.clear()
+                        has = mine[w] = tuple({known[g][0] for g in pieces(w) if g in known})
+                    found.update(has)
+                counts.update((k, toxic) for k in found)
+        if counts:
+            yield _summed(counts, ["kind", "toxic"])
+
+    part = sample.select("text", "fold", "toxic").mapInPandas(lean(each), "kind int, toxic int, n long")
+    seen: dict[int, list[int]] = {}
+    for kind, toxic, n in part.groupBy("kind", "toxic").agg(F.sum("n")).collect():  # kinds are few
+        seen.setdefault(kind, [0, 0])[toxic] = n
+    all_ = [sum(size.get((f, t), 0) for f in (0, 1)) + 1 for t in (0, 1)]
+    return {k: math.log((p + 0.5) / all_[1]) - math.log((q + 0.5) / all_[0]) - math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) for k, (q, p) in seen.items()}
+
+
+def _count_settings(sample: DataFrame, learned: Learned) -> pd.DataFrame:
+    """Rows (word, role, toxic, n): rows in which a word stands, within its clause, before an insult
+    (role 0, up to three words), elsewhere beside one (1), or beside a target without one (2)."""
+    shared = sample.sparkSession.sparkContext.broadcast(learned)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(shared.value)
+        counts: Counter = Counter()
+        for pdf in batches:
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                found: set = set()
+                clause: list = []
+                for t in [*TOKEN.findall((text or "").lower()), "."]:
+                    symbol, _ = lexicon[t]
+                    if symbol != END:
+                        clause.append((t, symbol))
+                        continue
+                    hits = [k for k, (w, s) in enumerate(clause) if s == INSULT and lexicon[w][1] >= SURE]
+                    if hits:
+                        close = {k - d for k in hits for d in (1, 2, 3)}
+                        found.update((w, 0 if k in close else 1) for k, (w, s) in enumerate(clause) if s not in SCORED)
+                    elif any(s == TARGET for _, s in clause):
+                        found.update((w, 2) for w, s in clause if s == OTHER)
+                    clause.clear()
+                counts.update((w, role, toxic) for w, role in found if w[0].isalpha())
+        if counts:
+            yield _summed(counts, ["word", "role", "toxic"])
+
+    part = sample.select("text", "toxic").mapInPandas(lean(each), "word string, role int, toxic int, n long")
+    return part.groupBy("word", "role", "toxic").agg(F.sum("n").alias("n")).groupBy("word", "role").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg")
+    ).where("pos + neg >= 8").toPandas()
+
+
+def _class_words(settings: pd.DataFrame, size: dict) -> dict[str, tuple[int, float]]:
+    """Words that the settings put into a class, where their toxic share is four and a half standard errors away.
+
+    Before insults, words under which rows tend to be clean are negations (reported speech, if
+    they do so anywhere in the clause) and words under which they tend to be toxic are targets.
+    Beside targets, words under which rows tend to be toxic are threats.
+    """
+    out: dict[str, tuple[int, float]] = {}
+    for role, group in settings.groupby("role"):
+        pos, neg = group["pos"].to_numpy(float), group["neg"].to_numpy(float)
+        base = (pos.sum() + 0.5, neg.sum() + 0.5) if role < 2 else tuple(sum(size.get((f, t), 0) for f in (0, 1)) + 0.5 for t in (1, 0))
+        share = base[0] / (base[0] + base[1])
+        far = (pos - (pos + neg) * share) / np.sqrt((pos + neg) * share * (1 - share))
+        odds = np.log((pos + 0.5) / (neg + 0.5)) - math.log(base[0] / base[1])
+        for word, o, z in zip(group["word"], odds, far):
+            if abs(z) < 4.5 or abs(o) < 1:
+                continue
+            if role == 2:
+                if o > 0:
+                    out.setdefault(word, (THREAT, float(min(4.0, o))))
+            elif o < 0:
+                out[word] = (NEGATION if role == 0 else REPORT, 0.0)
+            elif word not in out:
+                out[word] = (TARGET, 0.0)
+    return out
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights, none below 0, and the constant: rows of the given mass, penalised likelihood.
+
+    Newton steps, halved until the likelihood rises, so that separable rows can't throw them far;
+    a weight that would be negative is left out and the others are fitted anew.
+    """
+    live = list(range(x.shape[1]))
+    while True:
+        a = np.c_[x[:, live], np.ones(len(x))]
+        penalty = np.r_[np.full(len(live), ridge), 0.05]
+
+        def loss(w: np.ndarray) -> float:
+            z = a @ w
+            return float((mass * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+        w = np.zeros(a.shape[1])
+        now = loss(w)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+            grad = a.T @ (mass * (p - y)) + penalty * w
+            step = np.linalg.solve((a * (mass * p * (1 - p))[:, None]).T @ a + np.diag(penalty), grad)
+            part = 1.0
+            while part > 1e-6 and loss(w - part * step) > now:
+                part /= 2
+            if part <= 1e-6 or np.abs(part * step).max() < 1e-7:
+                break
+            w = w - part * step
+            now = loss(w)
+        low = [k for k in range(len(live)) if w[k] < 0]
+        if not low:
+            out = np.zeros(x.shape[1] + 1)
+            out[live], out[-1] = w[:-1], w[-1]
+            return out
+        live.pop(min(low, key=lambda k: w[k]))
+
+
+def featured(docs: DataFrame, learned: list[Learned], names: list[str], pick: str | None = None, keep_text: bool = False) -> DataFrame:
     """`docs` (without text, unless kept) and the clause features; `pick` names the column that picks the lexicon."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
     schema = StructType([f for f in docs.schema.fields if keep_text or f.name != "text"])
     for n in names:
         schema = schema.add(n, DoubleType())
@@ -221,50 +498,61 @@ def featured(docs: DataFrame, lexicons: list[dict[str, float]], names: list[str]
     return docs.mapInPandas(lean(each), schema)
 
 
-FEATURES = ["_total", "_rate", "_top", "_words"]
+FEATURES = ["_sure", "_total", "_top", "_rate"]
 
 
-def train(labelled: DataFrame, rows: int = 20_000, stems_most: int = 20_000, lexicon_most: int = 4_000) -> Model:
-    """A model from `labelled(text, toxic)`: at most about `rows` rows, drawn by a hash of the text.
+def train(labelled: DataFrame, rows: int = 20_000) -> Model:
+    """A model from `labelled(text, toxic)`: about `rows` rows at most, drawn by a hash of the text.
 
-    Stems of toxic rows are counted in both classes and weighted. The logistic weights over
-    clause scores are fitted on rows scored with the other half's lexicon, so that chance stems
-    of a small sample get the trust they deserve. Without rows of both classes the fixed
-    words alone are used, with fixed weights.
+    Toxic rows take up to half the sample, clean ones the rest, and each stands for its class's
+    share of all. Pieces of words are counted in both classes, weighted by what their like prove
+    to be worth in the other half of the sample, and kept however rare. Words of the other
+    classes are learned from the clauses around insults. The logistic weights over clause scores
+    are fitted on rows scored with the other half's pieces. Without rows of both classes the
+    fixed words alone are used, with fixed weights.
     """
     labelled = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    n = labelled.count()
+    n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    if set(n) != {0, 1}:
+        return Model(Learned(), [0.0, 2.0, 0.0, 0.5, -3.0])
+    taken = {1: min(n[1], rows / 2)}
+    taken[0] = min(n[0], rows - taken[1])
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
-    fold = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(2)).cast("int")
-    sample = labelled.where(draw < rows / max(n, 1)).withColumn("fold", fold).persist()
-    sizes = {(f, t): c for f, t, c in sample.groupBy("fold", "toxic").count().collect()}
-    if {t for _, t in sizes} != {0, 1}:
-        sample.unpersist()
-        return Model({}, [0.0] * 4, [1.0] * 4, [0.0, 2.0, 0.5, 0.0, -3.0])
-    of = lambda folds: {t: sum(c for (f, k), c in sizes.items() if k == t and f in folds) for t in (0, 1)}
-    first = _count_stems(sample.where("toxic = 1"), None).groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 3")
-    known = {r[0] for r in first.orderBy(F.desc("n"), "stem").limit(stems_most).collect()}
-    counts = _count_stems(sample, known).toPandas()
-    halves = [_weigh(counts[counts["fold"] != f], of({1 - f}), lexicon_most) for f in (0, 1)]
-    learned = _weigh(counts, of({0, 1}), lexicon_most)
+    share = F.when(F.col("toxic") == 1, taken[1] / n[1]).otherwise(taken[0] / n[0])
+    sample = _folded(labelled.where(draw <= share)).persist()
+    size = {(f, t): c for f, t, c in sample.groupBy("fold", "toxic").count().collect()}
+    words = _count_words(sample).persist()
+    kinds = _kinds(_count_pieces(words, size), size)
+    trust = _trust(sample, kinds, size)
+    weighed = {folds: {g: w for g, (k, own) in found.items() if (w := max(own, trust.get(k, 0.0))) >= LEAST} for folds, found in kinds.items()}
+    fixed = words.where(F.col("word").isin(INSULTS + THREATS)).groupBy("word").pivot("toxic", [0, 1]).agg(F.sum("n")).fillna(0).collect()
+    total = {t: sum(size.get((f, t), 0) for f in (0, 1)) for t in (0, 1)}
+    harmless = frozenset(w for w, neg, pos in fixed if neg >= 5 and math.log((pos + 0.5) / (total[1] + 1)) - math.log((neg + 0.5) / (total[0] + 1)) < 0.5)
+    words.unpersist()
+    halves = [Learned(weighed[1 - f,], harmless) for f in (0, 1)]
+    learned = Learned(weighed[0, 1], harmless)
+    classes = _class_words(_count_settings(sample, learned), size)
+    for x in (learned, *halves):
+        x.classes = classes
     got = featured(sample, halves, FEATURES, "fold").toPandas()
     sample.unpersist()
-    x, y = got[FEATURES].to_numpy(), got["toxic"].to_numpy()
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    w = _logistic((x - mean) / scale, y)
-    return Model(learned, mean.tolist(), scale.tolist(), w.tolist())
+    y = got["toxic"].to_numpy()
+    mass = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
+    mass *= len(y) / mass.sum()
+    return Model(learned, _logistic(got[FEATURES].to_numpy(), y, mass).tolist())
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """`docs`, without text unless kept, with score (0 to 1) and predicted (1 from 0.5).
 
     Null and empty texts have no clause and get the score of that. Repeated rows score alike;
-    an empty table gives an empty one; input columns of the added names are replaced.
+    an empty table gives an empty one; input columns of the added names (score, predicted,
+    _sure, _total, _top, _rate) are replaced.
     """
     out = featured(docs.drop("score", "predicted", *FEATURES), [model.learned], FEATURES, keep_text=keep_text)
     z = F.lit(model.weights[-1])
-    for name, w, m, s in zip(FEATURES, model.weights, model.mean, model.scale):
-        z = z + F.lit(w) * (F.col(name) - F.lit(m)) / F.lit(s)
+    for name, w in zip(FEATURES, model.weights):
+        z = z + F.lit(w) * F.col(name)
     out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop(*FEATURES)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast(IntegerType()))
 
@@ -275,7 +563,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labels.select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
+    """A model from the rows of `docs` that labels may be learned from; of several labels of a doc_id the highest counts."""
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return train(docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select("text", "toxic"))
 
 

@@ -1,6 +1,11 @@
+import random
+import re
+import string
 import zlib
 from itertools import product
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quillstone.llm import toxicity as tox
@@ -70,3 +75,57 @@ def test_edges(spark):
 def test_one_class_and_null_labels_train_the_fixed_words_only(spark):
     rows = [("idiot", 1), (None, None), ("words", 1)]
     assert tox.train(spark.createDataFrame(rows, "text string, toxic int")).learned == {}
+
+
+def test_two_thousand_insults_of_which_most_are_seen_once(spark):
+    d = "/root/testdata/sf0.1"
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choice(string.ascii_lowercase) for _ in range(draw.randint(5, 9))) for _ in range(2000)})
+    marked = re.compile(r"\b(trash|scum|idiot|clown|worthless|moron|pathetic|loser|stupid|disgusting)\b", re.IGNORECASE)
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("toxic is not null").toPandas()
+
+    def other(doc_id: int, text: str | None) -> str:
+        pick = random.Random(doc_id)
+        return marked.sub(lambda m: pick.choice(words), text or "")
+
+    rows["text"] = [other(i, t) for i, t in zip(rows["doc_id"], rows["text"])]
+    docs = spark.createDataFrame(rows[["doc_id", "text", "toxic"]])
+    model = tox.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = tox.score_toxicity(docs, model).where(tox.held_out()).collect()
+    bad = sum(r.toxic for r in got)
+    assert sum(r.toxic and r.predicted for r in got) >= 0.88 * bad
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * (len(got) - bad)
+
+
+def test_more_abuse_never_scores_lower_and_length_alone_never_higher(spark):
+    d = "/root/testdata/sf0.01"
+    model = tox.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert all(w >= 0 for w in model.weights[:-1])
+    texts = ["You are an idiot.", "You are an idiot. You are a moron.", "the of and " * 5, "the of and " * 5000, "She said the word idiot is not nice, though many other words were spoken then. " + "the of and " * 60]
+    by = {r.text: r for r in tox.score_toxicity(spark.createDataFrame([(t,) for t in texts], "text string"), model, keep_text=True).collect()}
+    assert by[texts[1]].score >= by[texts[0]].score > by[texts[2]].score >= by[texts[3]].score
+    assert by[texts[0]].predicted == 1 and by[texts[2]].predicted == 0
+
+
+def test_fit_converges_on_separable_rows():
+    draw = np.random.default_rng(1)
+    x = np.r_[np.zeros((900, 2)), draw.uniform(2, 4, (100, 2))]
+    y = np.r_[np.zeros(900), np.ones(100)]
+    w = tox._logistic(x, y, np.ones(1000))
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert (w[:-1] >= 0).all() and ((p >= 0.5) == y).all() and np.abs(w).max() < 30
+
+
+def test_words_before_insults_that_keep_rows_clean_become_negations():
+    rows = [("nope", 0, 1, 60), ("very", 0, 60, 6), ("the", 0, 200, 60), ("the", 1, 100, 30), ("krill", 2, 40, 0), ("a", 2, 50, 500)]
+    got = tox._class_words(pd.DataFrame(rows, columns=["word", "role", "pos", "neg"]), {(0, 0): 900, (0, 1): 100})
+    assert got["nope"][0] == tox.NEGATION and got["krill"][0] == tox.THREAT and "the" not in got
+
+
+def test_conflicting_labels_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"word {k} idiot" if k % 2 else f"word {k}", 0.5) for k in range(40)], "doc_id long, text string, _sure double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(k, 0) for k in range(40)] + [(3, None)], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    again = tox.fit(docs.repartition(3), labels.repartition(5))
+    assert model.weights == pytest.approx(again.weights) and model.learned == again.learned
+    assert tox.score_toxicity(docs, model).columns == ["doc_id", "score", "predicted"]
