@@ -42,7 +42,7 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 ALPHABET = range(8)
 SCORED = (INSULT, THREAT)
-#: The longest piece of a word that the lexicon weighs, beside whole words, and its least weight.
+#: The longest piece of a word that the lexicon weighs, and its least weight.
 LONGEST, LEAST = 8, 1.5
 #: From this weight on a word alone nearly decides.
 SURE = 2.5
@@ -119,10 +119,7 @@ GRAMMAR = compose(insults(), threats(), targets(), negations(), reports())
 def pieces(word: str, longest: int = LONGEST) -> set[str]:
     """The lexicon's keys of a word: its substrings up to a length, its ends marked ^ and $."""
     marked = f"^{word}$"
-    out = {marked[k : k + n] for n in range(1, longest + 1) for k in range(len(marked) - n + 1)} - {"^", "$"}
-    if len(marked) > longest:
-        out.add(marked)
-    return out
+    return {marked[k : k + n] for n in range(1, longest + 1) for k in range(len(marked) - n + 1)} - {"^", "$"}
 
 
 class Lexicon(dict):
@@ -132,7 +129,7 @@ class Lexicon(dict):
         super().__init__()
         learned = learned if isinstance(learned, Learned) else Learned(learned)
         self.pieces, self.most = dict(learned), most
-        self.lengths = sorted({len(g) for g in learned if len(g) <= LONGEST})
+        self.lengths = sorted({len(g) for g in learned})
         self.fixed = {w: (INSULT, 2.0) for w in INSULTS} | {w: (THREAT, 2.0) for w in THREATS}
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.fixed |= {w: (symbol, 0.0) for w in words}
@@ -148,7 +145,7 @@ class Lexicon(dict):
         got = self.fixed.get(word, (OTHER, 0.0))
         if got[0] in (OTHER, INSULT) and self.pieces:
             marked, get = f"^{word}$", self.pieces.get
-            best = get(marked, 0.0)
+            best = 0.0
             for n in self.lengths:
                 for k in range(len(marked) - n + 1):
                     w = get(marked[k : k + n])
@@ -245,6 +242,8 @@ def _count_words(sample: DataFrame) -> DataFrame:
 
 #: Counts of one piece: words of clean rows of fold 0 and 1, each as often as rows have it, then of toxic ones.
 SIDES = ["c0", "c1", "t0", "t1"]
+#: Columns that say where a piece is found: in fold 0, fold 1, or both together.
+FOLDS = {"in0": (0,), "in1": (1,), "in01": (0, 1)}
 
 
 def _pieces_of(words: list[str], n: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -265,13 +264,15 @@ def _pieces_of(words: list[str], n: np.ndarray) -> Iterator[pd.DataFrame]:
         _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
         sums = {c: np.bincount(which, n[owner[at], j]).astype(np.int64) for j, c in enumerate(SIDES)}
         yield pd.DataFrame({"piece": [line[a : a + k] for a in at[first].tolist()], **sums})
-    whole = np.flatnonzero(size > LONGEST)
-    if len(whole):
-        yield pd.DataFrame({"piece": [marked[j] for j in whole], **{c: n[whole, j] for j, c in enumerate(SIDES)}})
 
 
 def _count_pieces(words: DataFrame, size: dict, least: float = 1.0) -> pd.DataFrame:
-    """Pieces of the words of toxic rows with `SIDES`, if their log-odds reach `least` in some fold or both."""
+    """Pieces of the words of toxic rows with `SIDES`, and for each of `FOLDS` whether a piece is found there.
+
+    Its log-odds reach `least` there, and it marks toxic rows more purely than the pieces a
+    character shorter inside it: others say nothing of their own, the shorter piece stands
+    wherever they do.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -289,13 +290,21 @@ def _count_pieces(words: DataFrame, size: dict, least: float = 1.0) -> pd.DataFr
     wide = words.groupBy("word").agg(*[flag(t, f).alias(f"{'ct'[t]}{f}") for t in (0, 1) for f in (0, 1)])
     wide = wide.repartition(_tasks(words), "word")
     part = wide.mapInPandas(lean(each), "piece string, " + ", ".join(f"{c} long" for c in SIDES))
-    total = part.groupBy("piece").agg(*[F.sum(c).alias(c) for c in SIDES])
-    enough = F.lit(False)
-    for folds in ((0,), (1,), (0, 1)):
-        pos, neg = (sum((F.col(f"{x}{f}") for f in folds), F.lit(0)) for x in "tc")
+    total = part.groupBy("piece").agg(*[F.sum(c).alias(c) for c in SIDES]).where("t0 + t1 > 0").persist()
+    side = lambda name: total.select(F.col("piece").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in SIDES]).where(F.length(name) < LONGEST)
+    inner = total.withColumns({"front": F.expr("substring(piece, 1, length(piece) - 1)"), "back": F.expr("substring(piece, 2)")})
+    inner = inner.join(side("front"), "front", "left").join(side("back"), "back", "left")
+    for name, folds in FOLDS.items():
+        count = lambda x, of="": sum((F.col(f"{of}{x}{f}") for f in folds), F.lit(0))  # noqa: B023, E731
+        pos, neg = count("t"), count("c")
         n_pos, n_neg = (max(1, sum(size.get((f, t), 0) for f in folds)) for t in (1, 0))
-        enough = enough | ((pos >= 1) & (pos * F.lit(n_neg / n_pos) >= (neg + 0.1) * math.exp(least)))
-    return total.where(enough).toPandas()
+        pure = (pos >= 1) & (pos * F.lit(n_neg / n_pos) >= (neg + 0.1) * math.exp(least))
+        for of in ("front_", "back_"):
+            pure = pure & F.coalesce(neg * count("t", of) < count("c", of) * pos, F.lit(True))
+        inner = inner.withColumn(name, pure)
+    got = inner.where(" or ".join(FOLDS)).select("piece", *SIDES, *FOLDS).toPandas()
+    total.unpersist()
+    return got
 
 
 def _tasks(df: DataFrame) -> int:
@@ -305,55 +314,37 @@ def _tasks(df: DataFrame) -> int:
 
 def _classes(piece: pd.Series, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
     """The kind of a piece: its length, how many toxic rows have it, and how rare it is in clean ones."""
-    length = np.minimum(piece.str.len().to_numpy(), LONGEST + 1)
+    length = piece.str.len().to_numpy(np.int64)
     often = np.minimum(np.floor(np.log2(np.maximum(pos, 1))), 7).astype(np.int64)
     odds = np.log(np.maximum(pos, 1e-9) / n_pos) - np.log((neg + 0.02) / n_neg)
     pure = np.where(neg == 0, 9, np.clip(np.floor(odds), -1, 8)).astype(np.int64)
     return np.where(pos > 0, (length * 8 + often) * 16 + pure + 1, 0)
 
 
-def _purest(counts: pd.DataFrame, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    """Which pieces mark toxic rows more purely than any shorter piece inside them.
-
-    The others say nothing of their own: where they stand, the shorter piece stands as well.
-    """
-    ratio: dict[str, float] = {}
-    keep = np.zeros(len(counts), bool)
-    pieces_of = counts["piece"].to_numpy()
-    for at in np.argsort(counts["piece"].str.len().to_numpy(), kind="stable"):
-        if pos[at] > 0:
-            g, own = pieces_of[at], neg[at] / pos[at]
-            inner = min(ratio.get(g[1:], math.inf), ratio.get(g[:-1], math.inf))
-            if len(g) > LONGEST + 1:
-                inner = min((ratio.get(g[k : k + LONGEST], math.inf) for k in range(len(g) - LONGEST + 1)), default=math.inf)
-            keep[at] = own < inner
-            ratio[g] = min(own, inner)
-    return keep
-
-
-def _kinds(counts: pd.DataFrame, size: dict) -> dict[tuple, dict[str, tuple[int, float]]]:
-    """For fold 0, fold 1 and both: the purest pieces found there with their kinds, and, if they
-    are frequent, their own log-odds a standard error below."""
-    n = lambda fs, t: max(1.0, float(sum(size.get((f, t), 0) for f in fs)))
+def _kinds(counts: pd.DataFrame, size: dict) -> dict[str, dict[str, tuple[int, float]]]:
+    """For each of `FOLDS` the pieces found there with their kinds, and, if they are frequent,
+    their own log-odds a standard error below."""
     out = {}
-    for folds in ((0,), (1,), (0, 1)):
-        pos, neg = (sum(counts[f"{x}{f}"] for f in folds).to_numpy() for x in "tc")
-        own = _purest(counts, pos, neg)
-        kind = _classes(counts["piece"], pos / len(folds), neg / len(folds), n(folds, 1) / len(folds), n(folds, 0) / len(folds))
-        alone = np.log((pos + 0.5) / (n(folds, 1) + 1)) - np.log((neg + 0.5) / (n(folds, 0) + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    for name, folds in FOLDS.items():
+        found = counts[counts[name]]
+        pos, neg = (sum(found[f"{x}{f}"] for f in folds).to_numpy(float) for x in "tc")
+        n_pos, n_neg = (max(1.0, float(sum(size.get((f, t), 0) for f in folds))) for t in (1, 0))
+        k = len(folds)
+        kind = _classes(found["piece"], pos / k, neg / k, n_pos / k, n_neg / k)
+        alone = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         alone[pos < OFTEN] = 0.0
-        out[folds] = dict(zip(counts["piece"][own], zip(kind[own].tolist(), alone[own].tolist())))
+        out[name] = dict(zip(found["piece"], zip(kind.tolist(), alone.tolist())))
     return out
 
 
-def _trust(sample: DataFrame, kinds: dict[tuple, dict[str, tuple[int, float]]], size: dict) -> dict[int, float]:
+def _trust(sample: DataFrame, kinds: dict[str, dict[str, tuple[int, float]]], size: dict) -> dict[int, float]:
     """How far a kind of piece is to be trusted, seen in the half of the sample where it was not found.
 
     It is the log-odds, a standard error below, with which having a piece of that kind marks a
     row as toxic there. So a piece that chance put into one toxic row gets what its like are
     worth, and a true one too, however many there are and however rare each is.
     """
-    shared = sample.sparkSession.sparkContext.broadcast([kinds[1,], kinds[0,]])
+    shared = sample.sparkSession.sparkContext.broadcast([kinds["in1"], kinds["in0"]])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of: list[dict] = [{}, {}]
@@ -501,26 +492,40 @@ def featured(docs: DataFrame, learned: list[Learned], names: list[str], pick: st
 FEATURES = ["_sure", "_total", "_top", "_rate"]
 
 
-def train(labelled: DataFrame, rows: int = 20_000) -> Model:
+def _draw(key: str) -> Column:
+    """A number from 0 to 1 for each value of a column."""
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
+
+
+def _shares(n: dict[int, int], rows: int) -> Column:
+    """The share of each class that a sample of about `rows` rows takes: up to half of it are toxic rows."""
+    toxic = min(n[1], rows / 2)
+    return F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(min(n[0], rows - toxic) / n[0])
+
+
+def train(labelled: DataFrame, rows: int = 20_000, n: dict[int, int] | None = None) -> Model:
     """A model from `labelled(text, toxic)`: about `rows` rows at most, drawn by a hash of the text.
 
-    Toxic rows take up to half the sample, clean ones the rest, and each stands for its class's
-    share of all. Pieces of words are counted in both classes, weighted by what their like prove
-    to be worth in the other half of the sample, and kept however rare. Words of the other
-    classes are learned from the clauses around insults. The logistic weights over clause scores
-    are fitted on rows scored with the other half's pieces. Without rows of both classes the
-    fixed words alone are used, with fixed weights.
+    With `n`, how many rows of each class there are, `labelled` is the sample. Toxic rows take up
+    to half the sample, clean ones the rest, and each stands for its class's share of all. Pieces
+    of words are counted in both classes, weighted by what their like prove to be worth in the
+    other half of the sample, and kept however rare. Words of the other classes are learned from
+    the clauses around insults. The logistic weights over clause scores are fitted on rows scored
+    with the other half's pieces. Without rows of both classes the fixed words alone are used,
+    with fixed weights.
     """
     labelled = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    if n is None:
+        n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+        if set(n) == {0, 1}:
+            labelled = labelled.where(_draw("text") <= _shares(n, rows))
     if set(n) != {0, 1}:
         return Model(Learned(), [0.0, 2.0, 0.0, 0.5, -3.0])
-    taken = {1: min(n[1], rows / 2)}
-    taken[0] = min(n[0], rows - taken[1])
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
-    share = F.when(F.col("toxic") == 1, taken[1] / n[1]).otherwise(taken[0] / n[0])
-    sample = _folded(labelled.where(draw <= share)).persist()
+    sample = _folded(labelled).persist()
     size = {(f, t): c for f, t, c in sample.groupBy("fold", "toxic").count().collect()}
+    if {t for _, t in size} != {0, 1}:
+        sample.unpersist()
+        return train(labelled, n={})
     words = _count_words(sample).persist()
     kinds = _kinds(_count_pieces(words, size), size)
     trust = _trust(sample, kinds, size)
@@ -529,8 +534,8 @@ def train(labelled: DataFrame, rows: int = 20_000) -> Model:
     total = {t: sum(size.get((f, t), 0) for f in (0, 1)) for t in (0, 1)}
     harmless = frozenset(w for w, neg, pos in fixed if neg >= 5 and math.log((pos + 0.5) / (total[1] + 1)) - math.log((neg + 0.5) / (total[0] + 1)) < 0.5)
     words.unpersist()
-    halves = [Learned(weighed[1 - f,], harmless) for f in (0, 1)]
-    learned = Learned(weighed[0, 1], harmless)
+    halves = [Learned(weighed[f"in{1 - f}"], harmless) for f in (0, 1)]
+    learned = Learned(weighed["in01"], harmless)
     classes = _class_words(_count_settings(sample, learned), size)
     for x in (learned, *halves):
         x.classes = classes
@@ -562,10 +567,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the rows of `docs` that labels may be learned from; of several labels of a doc_id the highest counts."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select("text", "toxic"))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Model:
+    """A model from the rows of `docs` that labels may be learned from; of several labels of a doc_id the highest counts.
+
+    About `rows` doc_ids are drawn among the labels, so that only they, a bounded number, meet the texts.
+    """
+    known = labels.where("toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null")
+    n = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
+    if set(n) == {0, 1}:
+        known = F.broadcast(known.where(_draw("doc_id") <= _shares(n, rows)))
+    return train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), rows, n)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
