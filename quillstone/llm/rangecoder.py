@@ -1,13 +1,15 @@
 """A context-mixing range coder for token ids: blocks that are reset, checksummed and independent.
 
-A block of n ids below 65536 is cut into lanes of consecutive ids; all lanes step together. An
-id is coded as its high and its low byte. Each byte has three predictions, from the ids seen so
-far in the block: order 0, order 1 (given the id before) and order 2 (given two ids before);
-the low byte's are also given the high byte. Predictions are mixed by integer weights, the mix
-drives a range coder of each lane, and everything is integer arithmetic, alike on every machine.
-Predictions and weights are renewed at steps 8, 32, 128 and so on, from the ids before them.
-
-Layout, little-endian: "QRC1", uint32 n, uint32 crc32 of the ids as uint32, uint16 lanes,
+A block of n ids below 65536 is cut into lanes of consecutive ids; all lanes step together, as
+numpy has its cost by the call, and share what the block has taught. Before each step there are three predictions of an id: order 0,
+a distribution over all ids; order 1, the ids that most often followed the id before; order 2,
+those that followed the two ids before. They are mixed by weights that belong to how much the
+two contexts have seen, and the mix drives a range coder of each lane. After each step the
+contexts learn the step's ids, and the weights move to the orders that foretold them; order 0
+is renewed at steps 1, 2, 4, 8 and each 16 more. Encoder and decoder do the same arithmetic, in
+whole numbers and IEEE sums, products and quotients, alike on every machine.
+
+Layout, little-endian: "QRC2", uint32 n, uint32 crc32 of the ids as uint32, uint16 lanes,
 uint16 words of each lane, then the lanes' uint32 words one after the other.
 """
 
@@ -18,141 +20,223 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"QRC1"
-BLOCK, LANES = 131_072, 512
-#: Rows of the tables: high byte by order 0, 1, 2, then low byte by order 0, 1, 2.
-FIRST = (0, 1, 129, 385, 641, 897)
-ROWS = 1153
-UNIT = 13  # bits of one prediction's total; weights add up to 8, so a mix's total is 2**16
-#: Candidate weights of orders 0, 1, 2.
-WEIGHTS = np.array([(8, 0, 0), (6, 2, 0), (4, 4, 0), (4, 2, 2), (2, 6, 0), (2, 3, 3), (1, 3, 4), (1, 2, 5), (1, 1, 6)], np.int64)
-#: The cost of a frequency in 1/4096 bit.
-COST = np.rint(4096 * (16 - np.log2(np.maximum(np.arange(65537), 1)))).astype(np.int64)
-U32, U16 = np.uint64(32), np.uint64(16)
+MAGIC = b"QRC2"
+#: Ids of a block, about and at most.
+BLOCK = 1 << 20
+MOST = BLOCK + BLOCK // 4
+IDS = 1 << 16
+#: Candidates that a context remembers, and rows of contexts, by order 1 and 2.
+SLOTS = (4, 2)
+ROWS = (1 << 16, 1 << 18)
+#: Order 0's total; a mix's total is 64 of it.
+UNIT, PARTS = 20, 6
+TOTAL = np.uint64(UNIT + PARTS)
+#: Kinds of context, each order: nothing, or one of four sizes of what it has seen, led by one id or not.
+KINDS = 9
+SIZES = np.array([0] + [1] * 2 + [2] * 4 + [3] * 14 + [4], np.int64)
+U32 = np.uint64(32)
 FULL = np.uint64(1) << U32
+#: Order 0 before anything is seen: lower ids of a vocabulary built by merges are commoner.
+PRIOR = (1 << 22) // (np.arange(IDS, dtype=np.int64) + 256)
+SEEN = 12_000
 
 
 def geometry(n: int) -> tuple[int, int]:
     """Lanes and steps of a block of n ids."""
-    lanes = int(min(LANES, max(1, n // 64)))
+    lanes = max(n // 256, min(256, n // 64), 1)
     return lanes, -(-n // lanes)
 
 
-def _renewals(steps: int) -> list[int]:
-    out = [8]
-    while out[-1] < steps:
-        out.append(out[-1] * 4)
-    return [0, *out[:-1], steps] if steps > 8 else [0, steps]
-
-
-def _high_rows(one: np.ndarray, two: np.ndarray) -> tuple:
-    h = one * np.int32(40503)
-    return np.zeros_like(one), FIRST[1] + ((h >> 3) & 127), FIRST[2] + (((h + two * np.int32(30011)) >> 4) & 255)
-
-
-def _low_rows(high: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple:
-    h = high * np.int32(181) + one * np.int32(40503)
-    return FIRST[3] + high, FIRST[4] + ((h >> 2) & 255), FIRST[5] + (((h + two * np.int32(30011)) >> 1) & 255)
+class Context:
+    """For each row the ids that followed most often, most frequent first, with their counts.
+
+    A row's ids are one number, and so are its counts: it is read and written at once.
+    """
+
+    def __init__(self, order: int):
+        self.rows, self.slots = ROWS[order - 1], SLOTS[order - 1]
+        self.ids = np.zeros(self.rows, f"<u{2 * self.slots}")
+        self.counts = np.zeros(self.rows, f"<u{self.slots}")
+
+    def look(self, at: np.ndarray) -> None:
+        """Candidates and counts [slot, lane] of rows, the counts' sums, and the rows' kinds."""
+        self.at = at
+        self.found = np.ascontiguousarray(self.ids.take(at).view("<u2").reshape(-1, self.slots).T)
+        self.count = self.counts.take(at).view(np.uint8).reshape(-1, self.slots).T.astype(np.int32)
+        total = self.sum = self.count.sum(axis=0, dtype=np.int32)
+        size = SIZES.take(np.minimum(total, 21))
+        self.kind = np.where(size == 0, 0, 2 * size - 1 + (self.count[0] * 4 >= total * 3))
+
+    def learn(self, x: np.ndarray) -> None:
+        """Count the ids that followed; of several lanes at one row the last one's counts stay."""
+        ids, count = self.found, self.count
+        hit = (ids == x) & (count > 0)
+        count += hit * np.int32(2)
+        if count[0].max() > 250:
+            count >>= (count[0] > 250).astype(np.int32)
+        gone = ~hit.any(axis=0)
+        count[-1] -= gone
+        new = gone & (count[-1] < 1)
+        np.copyto(ids[-1], x, where=new, casting="unsafe")
+        np.copyto(count[-1], 2, where=new)
+        for j in range(self.slots - 1, 0, -1):
+            up = np.flatnonzero(count[j] > count[j - 1])
+            if len(up):
+                for a in (ids, count):
+                    a[j - 1, up], a[j, up] = a[j, up], a[j - 1, up]
+        self.ids[self.at] = np.ascontiguousarray(ids.T).view(self.ids.dtype)[:, 0]
+        self.counts[self.at] = np.ascontiguousarray(count.T.astype(np.uint8)).view(self.counts.dtype)[:, 0]
 
 
 class Model:
-    """Counts, cumulative predictions and weights of several blocks side by side."""
-
-    def __init__(self, blocks: int):
-        self.blocks = blocks
-        self.counts = np.zeros(blocks * ROWS * 256, np.int32)
-        self.table = np.zeros((blocks * ROWS, 257), np.uint16)
-        self.weights = np.tile(WEIGHTS[0], (2, blocks, 1))
+    """Predictions of a block's lanes.
+
+    A mix lays the candidates' shares first, order 2's before order 1's, and order 0's behind
+    them; a candidate of both orders has the sum of its shares at the former.
+    """
+
+    def __init__(self):
+        self.seen = PRIOR.copy()
+        self.table = np.zeros(IDS + 1, np.int64)
+        self.orders = (Context(1), Context(2))
+        # how much of what was coded each order foretold, by the contexts' kinds
+        self.weights = np.tile(np.array([[24], [16], [24]], np.int32) << 4, (1, KINDS * KINDS))
+        self.waiting: list[np.ndarray] = []
         self.renew()
 
     def renew(self) -> None:
-        cum = np.cumsum(self.counts.reshape(-1, 256), axis=1, dtype=np.int32)
-        total = cum[:, -1]
-        row = np.arange(len(total)) % ROWS
-        # order 0 leaves every byte at least one part; a row that has seen nothing is flat
-        sure = (row == FIRST[0]) | ((row >= FIRST[3]) & (row < FIRST[4]))
-        scale = np.where(sure, (1 << UNIT) - 256.0, float(1 << UNIT)) / np.maximum(total, 1)
-        least = np.where(total == 0, 1 << (UNIT - 8), np.where(sure, 1, 0)).astype(np.int32)
-        self.table[:, 1:] = (cum * scale[:, None]).astype(np.int32) + least[:, None] * np.arange(1, 257, dtype=np.int32)
-
-    def parts(self, block: np.ndarray, rows: tuple, symbol: np.ndarray) -> tuple[list, list]:
-        """Starts and widths, by order, of symbols in the three predictions."""
-        t = self.table.reshape(-1)
-        low, width = [], []
-        for r in rows:
-            at = (block * ROWS + r) * 257 + symbol
-            low.append(t.take(at).astype(np.int32))
-            width.append(t.take(at + 1).astype(np.int32) - low[-1])
-        return low, width
-
-    def learn(self, kind: int, block: np.ndarray, rows: tuple, symbol: np.ndarray, width: list, seen: np.ndarray) -> None:
-        """Count symbols [step, lane], and take the weights that code every eighth step in the fewest bits."""
-        for r in rows:
-            self.counts += np.bincount(((block * ROWS + r) * 256 + symbol)[seen], minlength=len(self.counts)).astype(np.int32)
-        some = seen[::8]
-        few = [w[::8][some] for w in width]
-        own = np.broadcast_to(block, symbol.shape)[::8][some]
-        cost = [np.bincount(own, COST[sum(int(w) * f for w, f in zip(ws, few))], self.blocks) for ws in WEIGHTS]
-        self.weights[kind] = WEIGHTS[np.argmin(cost, axis=0)]
-
-
-def _grid(ids: np.ndarray, lanes: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids [block, n] as [step, block * lane] with the two ids before each in its lane."""
-    blocks, n = ids.shape
-    full = np.zeros((blocks, lanes * steps), np.int32)
-    full[:, :n] = ids
-    x = np.ascontiguousarray(full.reshape(blocks * lanes, steps).T)
-    one, two = np.zeros_like(x), np.zeros_like(x)
-    one[1:], two[2:] = x[:-1], x[:-2]
-    return x, one, two
-
-
-def encode(ids: np.ndarray) -> list[bytes]:
-    """Blocks, coded, of ids [block, n]: all of one length n from 1 to BLOCK."""
-    blocks, n = ids.shape
+        if self.waiting:
+            self.seen += np.bincount(np.concatenate(self.waiting), minlength=IDS) * SEEN
+            self.waiting.clear()
+        cum = np.cumsum(self.seen)
+        room = (1 << UNIT) - IDS
+        part = (cum * (room / float(cum[-1]))).astype(np.int64)
+        self.table[1:] = np.minimum(part, room) + np.arange(1, IDS + 1)
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """`base`, the share of order 0, and the candidates with where their shares end."""
+        first, second = self.orders
+        first.look(one)
+        second.look(((one.astype(np.int64) * 0x9E3779B1 + two.astype(np.int64) * 0x85EBCA6B) >> 7) & (ROWS[1] - 1))
+        self.kind = first.kind * KINDS + second.kind
+        w = self.weights.take(self.kind, axis=1)
+        w[1] *= first.sum > 0
+        w[2] *= second.sum > 0
+        self.base = np.maximum((w[0] << PARTS) // w.sum(axis=0), 1).astype(np.int64)
+        rest = (((1 << PARTS) - self.base) << UNIT).astype(np.int32)
+        near = (rest * (w[2] / np.maximum(w[1] + w[2], 1))).astype(np.int32)
+        wide = [c.count * (share // np.maximum(c.sum, 1)) for c, share in ((second, near), (first, rest - near))]
+        for i in range(second.slots):
+            same = (first.found == second.found[i]) & (second.count[i] > 0)
+            if same.any():
+                gain = wide[1] * same
+                wide[0][i] += gain.sum(axis=0, dtype=np.int32)
+                wide[1] -= gain
+        self.found = np.concatenate([second.found, first.found])
+        self.wide = np.concatenate(wide)
+        self.ends = np.cumsum(self.wide, axis=0, dtype=np.int32)
+
+    def place(self, x: np.ndarray, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids begin in the mix and how wide they are there; `slot` is their candidate's, if known."""
+        if slot is None:
+            hit = (self.found == x) & (self.wide > 0)
+            slot = np.where(hit.any(axis=0), hit.argmax(axis=0), len(self.found))
+        lane = np.arange(len(x))
+        begin = self.table.take(x)
+        own = (self.table.take(x + 1) - begin) * self.base
+        told = slot < len(self.found)
+        k = np.where(told, slot, 0)
+        width = self.wide[k, lane].astype(np.int64)
+        cum = np.where(told, self.ends[k, lane] - width, self.ends[-1] + begin * self.base)
+        self.slot, self.own = slot, own
+        return cum, np.where(told, width, own)
+
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in whose places `want` lies, and their candidates' slots."""
+        slot = (self.ends <= want).sum(axis=0)
+        x = self.found.take(np.minimum(slot, len(self.found) - 1) * len(want) + np.arange(len(want))).astype(np.int64)
+        far = np.flatnonzero(slot == len(self.found))
+        if len(far):
+            rest = np.minimum((want[far] - self.ends[-1][far]) // self.base[far], (1 << UNIT) - 1)
+            x[far] = np.searchsorted(self.table, rest, side="right") - 1
+        return x, slot
+
+    def learn(self, x: np.ndarray, there: np.ndarray, step: int) -> None:
+        """Learn a step's ids, placed before; lanes that have ended take no part."""
+        live = slice(None) if there.all() else there
+        first, second = self.orders
+        if step % 2 == 0 or step < 16:
+            told = [(c.found == x) * c.count for c in (first, second)]
+            share = [t.sum(axis=0) / np.maximum(c.sum, 1) for t, c in zip(told, (first, second))]
+            w = self.weights.take(self.kind, axis=1)
+            parts = [w[0] * (self.own / (self.base << UNIT)), w[1] * share[0], w[2] * share[1]]
+            whole = np.maximum(parts[0] + parts[1] + parts[2], 1e-300)
+            for k, part in enumerate(parts):
+                gain = np.floor(16 * part / whole)
+                self.weights[k] += np.bincount(self.kind[live], gain[live], self.weights.shape[1]).astype(np.int32)
+        first.learn(x)
+        second.learn(x)
+        self.waiting.append(x[live])
+        done = step + 1
+        if done % 16 == 0 or done in (1, 2, 4, 8):
+            self.renew()
+
+
+def _grid(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
+    """ids as [step + 2, lane], after two steps of zeros."""
+    full = np.zeros(lanes * steps, np.int32)
+    full[: len(ids)] = ids
+    x = np.zeros((steps + 2, lanes), np.int32)
+    x[2:] = full.reshape(lanes, steps).T
+    return x
+
+
+class Coder:
+    """The range coder's state, one range a lane."""
+
+    def __init__(self, lanes: int):
+        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+
+    def narrow(self, cum: np.ndarray, width: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Narrow the ranges of lanes that go on to the places given; the lanes with a word settled."""
+        part = self.rng >> TOTAL
+        low, rng = self.low + cum.astype(np.uint64) * part, width.astype(np.uint64) * part
+        if not there.all():
+            low, rng = np.where(there, low, self.low), np.where(there, rng, self.rng)
+        self.low, self.rng = low, rng
+        return np.flatnonzero(rng < FULL)
+
+    def shift(self, need: np.ndarray) -> None:
+        """Drop a settled word; a range that crosses a word's end is cut there."""
+        low, rng = self.low[need], self.rng[need]
+        rng = np.where((low ^ (low + rng)) >> U32 != 0, (np.uint64(0) - low) & (FULL - np.uint64(1)), rng)
+        self.low[need], self.rng[need] = low << U32, rng << U32
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A block of 1 to MOST ids. An id of 65536 or more raises ValueError."""
+    n = len(ids)
+    if n and (ids.max() >= IDS or ids.min() < 0):
+        raise ValueError(f"ids must be from 0 to {IDS - 1}")
     lanes, steps = geometry(n)
-    x, one, two = _grid(ids, lanes, steps)
-    lane = np.arange(blocks * lanes, dtype=np.int32)
-    block = lane // np.int32(lanes)
-    there = (lane % lanes)[None, :] * steps + np.arange(steps)[:, None] < n
-    model = Model(blocks)
-    low, rng = np.zeros(len(lane), np.uint64), np.full(len(lane), ~np.uint64(0))
-    words, used = np.zeros((len(lane), steps + 4), np.uint32), np.zeros(len(lane), np.int64)
-    marks = _renewals(steps)
-    for a, b in zip(marks, marks[1:]):
-        high, lows = x[a:b] >> 8, x[a:b] & 255
-        coded, seen = [], there[a:b]
-        for kind, (rows, sym) in enumerate(((_high_rows(one[a:b], two[a:b]), high), (_low_rows(high, one[a:b], two[a:b]), lows))):
-            at, width = model.parts(block, rows, sym)
-            w = model.weights[kind].astype(np.int32)[block].T
-            cum, freq = (sum(w[k] * v[k] for k in range(3)) for v in (at, width))
-            coded.append((np.where(seen, cum, 0).astype(np.uint64), np.where(seen, freq, 65536).astype(np.uint64)))
-            if b < steps:
-                model.learn(kind, block, rows, sym, width, seen)
-        for s in range(b - a):
-            for cum, freq in coded:
-                r = rng >> U16
-                low += cum[s] * r
-                rng = freq[s] * r
-                need = np.flatnonzero(rng < FULL)
-                if len(need):
-                    lo, rg = low[need], rng[need]
-                    rg = np.where((lo ^ (lo + rg)) >> U32 != 0, (np.uint64(0) - lo) & (FULL - np.uint64(1)), rg)
-                    words[need, used[need]] = lo >> U32
-                    used[need] += 1
-                    low[need], rng[need] = lo << U32, rg << U32
-        if b < steps:
-            model.renew()
-    words[lane, used] = (low + (FULL - np.uint64(1))) >> U32
+    x = _grid(ids, lanes, steps)
+    lane = np.arange(lanes)
+    model, coder = Model(), Coder(lanes)
+    words, used = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
+    for s in range(steps):
+        there = lane * steps + s < n
+        model.predict(x[s + 1], x[s])
+        need = coder.narrow(*model.place(x[s + 2]), there)
+        if len(need):
+            words[need, used[need]] = coder.low[need] >> U32
+            used[need] += 1
+            coder.shift(need)
+        model.learn(x[s + 2], there, s)
+    words[lane, used] = (coder.low + (FULL - np.uint64(1))) >> U32
     used += 1
-    out = []
-    for k in range(blocks):
-        mine = slice(k * lanes, (k + 1) * lanes)
-        keep = np.arange(words.shape[1])[None, :] < used[mine][:, None]
-        crc = zlib.crc32(ids[k].astype("<u4").tobytes())
-        head = MAGIC + struct.pack("<IIH", n, crc, lanes) + used[mine].astype("<u2").tobytes()
-        out.append(head + words[mine][keep].astype("<u4").tobytes())
-    return out
+    crc = zlib.crc32(ids.astype("<u4").tobytes())
+    head = MAGIC + struct.pack("<IIH", n, crc, lanes) + used.astype("<u2").tobytes()
+    return head + words[np.arange(words.shape[1])[None, :] < used[:, None]].astype("<u4").tobytes()
 
 
 def parse(data: bytes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -162,6 +246,8 @@ def parse(data: bytes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         if data[at : at + 4] != MAGIC:
             raise ValueError(f"no block at byte {at}")
         n, crc, lanes = struct.unpack_from("<IIH", data, at + 4)
+        if not 0 < n <= MOST or lanes != geometry(n)[0]:
+            raise ValueError(f"a block of {n} ids in {lanes} lanes at byte {at}")
         used = np.frombuffer(data, "<u2", lanes, at + 14).astype(np.int64)
         at += 14 + 2 * lanes
         words = np.frombuffer(data, "<u4", int(used.sum()), at)
@@ -170,85 +256,43 @@ def parse(data: bytes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return out
 
 
-def _decode(parsed: list) -> np.ndarray:
-    """ids [block, n] of parsed blocks of one length."""
-    n, blocks = parsed[0][0], len(parsed)
+def decode(n: int, crc: int, used: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """The ids of a parsed block; ValueError where the checksum fails."""
     lanes, steps = geometry(n)
-    used = np.concatenate([p[2] for p in parsed])
-    words = np.zeros((len(used), int(used.max()) + 2), np.uint64)
-    words[np.arange(words.shape[1])[None, :] < used[:, None]] = np.concatenate([p[3] for p in parsed])
-    lane = np.arange(blocks * lanes, dtype=np.int32)
-    block = lane // np.int32(lanes)
-    model = Model(blocks)
-    low, rng = np.zeros(len(lane), np.uint64), np.full(len(lane), ~np.uint64(0))
-    code, at = words[:, 0] << U32 | words[:, 1], np.full(len(lane), 2)
+    words = np.zeros((lanes, int(used.max()) + 2), np.uint64)
+    words[np.arange(words.shape[1])[None, :] < used[:, None]] = coded
+    lane = np.arange(lanes)
+    model, coder = Model(), Coder(lanes)
+    code, at = words[:, 0] << U32 | words[:, 1], np.full(lanes, 2)
     last = words.shape[1] - 1
-    x = np.zeros((steps + 2, len(lane)), np.int32)  # two steps of zeros stand before the first
-    start = (lane % np.int32(lanes)) * np.int32(steps)
-    marks = _renewals(steps)
-    for a, b in zip(marks, marks[1:]):
-        table = model.table.reshape(-1)
-        weights = [model.weights[k].astype(np.int32)[block].T.copy() for k in (0, 1)]
-        for s in range(a, b):
-            one, two = x[s + 1], x[s]
-            there = start + s < n
-            value = None
-            for kind in (0, 1):
-                rows = _high_rows(one, two) if kind == 0 else _low_rows(value, one, two)
-                base = [(block * ROWS + r) * 257 for r in rows]
-                w = weights[kind]
-                r = rng >> U16
-                want = np.minimum((code - low) // r, np.uint64(65535)).astype(np.int32)
-                sym, cum = np.zeros(len(lane), np.int32), np.zeros(len(lane), np.int32)
-                for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                    mid = sym + np.int32(half)
-                    c = w[0] * table.take(base[0] + mid)
-                    c += w[1] * table.take(base[1] + mid)
-                    c += w[2] * table.take(base[2] + mid)
-                    under = c <= want
-                    np.copyto(sym, mid, where=under)
-                    np.copyto(cum, c, where=under)
-                freq = sum(w[k] * table.take(base[k] + sym + 1) for k in range(3)) - cum
-                if not there.all():
-                    sym, cum, freq = np.where(there, sym, 0), np.where(there, cum, 0), np.where(there, freq, 65536)
-                low += cum.astype(np.uint64) * r
-                rng = freq.astype(np.uint64) * r
-                need = np.flatnonzero(rng < FULL)
-                if len(need):
-                    lo, rg = low[need], rng[need]
-                    rg = np.where((lo ^ (lo + rg)) >> U32 != 0, (np.uint64(0) - lo) & (FULL - np.uint64(1)), rg)
-                    code[need] = code[need] << U32 | words[need, np.minimum(at[need], last)]
-                    at[need] += 1
-                    low[need], rng[need] = lo << U32, rg << U32
-                value = sym if kind == 0 else value << 8 | sym
-            x[s + 2] = value
-        if b < steps:
-            got, one, two = x[a + 2 : b + 2], x[a + 1 : b + 1], x[a:b]
-            seen = start[None, :] + np.arange(a, b)[:, None] < n
-            high = got >> 8
-            for kind, (rows, sym) in enumerate(((_high_rows(one, two), high), (_low_rows(high, one, two), got & 255))):
-                model.learn(kind, block, rows, sym, model.parts(block, rows, sym)[1], seen)
-            model.renew()
-    return x[2:].T.reshape(blocks, lanes * steps)[:, :n].astype(np.int64)
+    x = np.zeros((steps + 2, lanes), np.int32)
+    top = np.uint64((1 << UNIT + PARTS) - 1)
+    for s in range(steps):
+        there = lane * steps + s < n
+        model.predict(x[s + 1], x[s])
+        got, slot = model.find(np.minimum((code - coder.low) // (coder.rng >> TOTAL), top).astype(np.int64))
+        got = np.clip(got, 0, IDS - 1)  # a damaged block may point behind the last id
+        if not there.all():
+            got = np.where(there, got, 0)
+        x[s + 2] = got
+        need = coder.narrow(*model.place(got, slot), there)
+        if len(need):
+            code[need] = code[need] << U32 | words[need, np.minimum(at[need], last)]
+            at[need] += 1
+            coder.shift(need)
+        model.learn(got, there, s)
+    ids = x[2:].T.reshape(-1)[:n].astype(np.int64)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block's checksum differs")
+    return ids
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Any number of ids as blocks; full ones are coded side by side."""
-    full = len(ids) // BLOCK * BLOCK
-    out = encode(ids[:full].reshape(-1, BLOCK)) if full else []
-    if len(ids) > full:
-        out += encode(ids[full:].reshape(1, -1))
-    return b"".join(out)
+    """Any number of ids as blocks of about one length."""
+    blocks = -(-len(ids) // MOST)
+    return b"".join(encode(part) for part in np.array_split(ids, max(1, blocks)) if len(part))
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids of `pack`; raises ValueError where a block's checksum fails."""
-    parsed = parse(data)
-    out = [np.zeros(0, np.int64)]
-    for some in ([p for p in parsed if p[0] == BLOCK], [p for p in parsed if p[0] != BLOCK]):
-        if some:
-            for p, ids in zip(some, _decode(some)):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != p[1]:
-                    raise ValueError("a block's checksum differs")
-                out.append(ids)
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.int64), *(decode(*block) for block in parse(data))])

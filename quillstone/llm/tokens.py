@@ -20,7 +20,16 @@ from quillstone.llm.common import lean, running_total, scratch
 
 #: A single blank between two characters that aren't white space always begins a piece of the
 #: byte-level pre-tokenizer, so the parts between such blanks are encoded on their own.
-BORDER = re.compile(r"(?<=\S)(?= \S)")
+BORDER = r"(?<=\S)(?= \S)"
+
+
+def border(tokenizer) -> re.Pattern:
+    """Where texts may be cut: at such blanks, but not inside an added token, which is one id."""
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    inside = [t[:k] for t in added for k in range(1, len(t)) if t[k] == " "]
+    if any(t[0].isspace() or t[-1].isspace() for t in added if t):
+        inside.append("")  # such a token may begin or end at a blank: texts stay whole
+    return re.compile(BORDER + "".join(f"(?<!{re.escape(p)})" for p in inside))
 
 
 @functools.cache
@@ -29,9 +38,7 @@ def loaded(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -42,6 +49,7 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 150_000):
         self.tokenizer = loaded(path)
+        self.border = border(self.tokenizer)
         self.most = most
         self._forget()
 
@@ -60,7 +68,7 @@ class Encoder:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > self.most:
             self._forget()
-        cut = [BORDER.split(t) if t else [] for t in texts]
+        cut = [self.border.split(t) if t else [] for t in texts]
         parts = list(chain.from_iterable(cut))
         new = [p for p in dict.fromkeys(parts) if p not in self.known]
         if new:
@@ -73,7 +81,7 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame: int = 4 * rangecoder.BLOCK) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame: int = rangecoder.BLOCK) -> None:
     """Write the ids of `docs(doc_id, text)` to `path` in ascending doc_id order (null last).
 
     Rows are dealt by range of doc_id, equal ids by a hash of the text and then of the row's place.

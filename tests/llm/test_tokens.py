@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,6 @@ SETTINGS = settings(max_examples=60, deadline=None)
 def plain(rows: list[tuple]) -> list[tuple]:
     """(doc_id, start, n_tokens, crc) of (doc_id, text), one text at a time."""
     tokenizer = Tokenizer.from_file(tokens.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     out, at = [], 0
     for key, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -40,6 +40,32 @@ def test_parts_at_blanks_give_the_same_ids(texts):
     assert ids.tolist() == [i for w in whole for i in w]
 
 
+def test_special_tokens_in_a_text_are_what_the_library_makes_of_them():
+    encoder, plainly = tokens.Encoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+    end = "<|endoftext|>"
+    for text in (end, f"a {end} b", f"{end}a", f"a{end}", f"{end} {end}", f"  {end}  x y", f"a {end}\n {end}{end} z", f"{end[:5]} {end[5:]}"):
+        assert encoder([text])[0].tolist() == plainly.encode(text, add_special_tokens=False).ids
+    assert 50256 in encoder([f"a {end} b"])[0].tolist()
+
+
+def test_mixing_gains_on_real_ids():
+    path = "/root/testdata/sf0.1/documents.parquet"
+    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t]
+    ids, _ = tokens.Encoder(tokens.tokenizer_path())(texts[:1000])
+    n = np.bincount(ids)
+    share = n[n > 0] / len(ids)
+    order_0 = -(share * np.log2(share)).sum()
+    packed = rangecoder.pack(ids.astype(np.int64))
+    assert np.array_equal(rangecoder.unpack(packed), ids)
+    assert len(packed) * 8 / len(ids) < order_0 - 0.5
+
+
+def test_ids_that_do_not_fit_raise():
+    for bad in (65536, -1):
+        with pytest.raises(ValueError, match="ids must be"):
+            rangecoder.pack(np.array([1, bad, 2]))
+
+
 @SETTINGS
 @given(st.lists(st.integers(0, 65535), max_size=3000))
 def test_round_trip(values):
