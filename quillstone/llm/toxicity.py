@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,10 +117,15 @@ def compose(*parts: Transducer) -> Grammar:
 GRAMMAR = compose(insults(), threats(), targets(), negations(), reports())
 
 
-def pieces(word: str, longest: int = LONGEST) -> set[str]:
-    """The lexicon's keys of a word: its substrings up to a length, its ends marked ^ and $."""
-    marked = f"^{word}$"
-    return {marked[k : k + n] for n in range(1, longest + 1) for k in range(len(marked) - n + 1)} - {"^", "$"}
+def finder(known: dict) -> ahocorasick.Automaton | None:
+    """An automaton that finds all known pieces in a marked word; none where nothing is known."""
+    if not known:
+        return None
+    out = ahocorasick.Automaton()
+    for piece, value in known.items():
+        out.add_word(piece, value)
+    out.make_automaton()
+    return out
 
 
 class Lexicon(dict):
@@ -128,8 +134,7 @@ class Lexicon(dict):
     def __init__(self, learned: dict[str, float], most: int = 150_000):
         super().__init__()
         learned = learned if isinstance(learned, Learned) else Learned(learned)
-        self.pieces, self.most = dict(learned), most
-        self.lengths = sorted({len(g) for g in learned})
+        self.pieces, self.most = finder(learned), most
         self.fixed = {w: (INSULT, 2.0) for w in INSULTS} | {w: (THREAT, 2.0) for w in THREATS}
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.fixed |= {w: (symbol, 0.0) for w in words}
@@ -144,13 +149,7 @@ class Lexicon(dict):
     def __missing__(self, word: str):
         got = self.fixed.get(word, (OTHER, 0.0))
         if got[0] in (OTHER, INSULT) and self.pieces:
-            marked, get = f"^{word}$", self.pieces.get
-            best = 0.0
-            for n in self.lengths:
-                for k in range(len(marked) - n + 1):
-                    w = get(marked[k : k + n])
-                    if w is not None and w > best:
-                        best = w
+            best = max((w for _, w in self.pieces.iter(f"^{word}$")), default=0.0)
             if best > 0:
                 got = (INSULT, max(best, got[1]))
         if len(self) >= self.most:
@@ -348,17 +347,18 @@ def _trust(sample: DataFrame, kinds: dict[str, dict[str, tuple[int, float]]], si
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of: list[dict] = [{}, {}]
+        known = [finder({g: k for g, (k, _) in x.items()}) for x in shared.value]
         counts: Counter = Counter()
         for pdf in batches:
             for text, fold, toxic in zip(pdf["text"], pdf["fold"], pdf["toxic"]):
-                known, mine = shared.value[fold], of[fold]
+                mine = of[fold]
                 found: set = set()
                 for w in set(TOKEN.findall((text or "").lower())):
                     has = mine.get(w)
                     if has is None:
                         if len(mine) > 100_000:
                             mine.clear()
-                        has = mine[w] = tuple({known[g][0] for g in pieces(w) if g in known})
+                        has = mine[w] = tuple({k for _, k in known[fold].iter(f"^{w}$")}) if known[fold] else ()
                     found.update(has)
                 counts.update((k, toxic) for k in found)
         if counts:
