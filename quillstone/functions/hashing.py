@@ -47,3 +47,13 @@ def tree_sha(files: DataFrame) -> DataFrame:
     """One digest over `files(name, sha256)`: that of the lines name, tab, sha256 in name order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat(x["name"], F.lit("\t"), x["sha256"], F.lit("\n")))
     return files.agg(F.sha2(F.array_join(lines, ""), 256).alias("tree_sha256"))
+
+
+def prefix_sha(records: DataFrame, order: str, fields: list[str], n: int) -> DataFrame:
+    """One digest over the first n records in `order`: lines of the key and the fields, tabs between, arrays comma-joined."""
+    kinds = dict(records.dtypes)
+    part = lambda c: F.array_join(c, ",") if kinds[c].startswith("array") else F.col(c).cast("string")
+    line = F.concat(F.concat_ws("\t", F.col(order).cast("string"), *[part(c) for c in fields]), F.lit("\n"))
+    first = records.select(F.col(order).alias("_o"), line.alias("_line")).orderBy("_o").limit(n)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_line"))), lambda x: x["_line"])
+    return first.agg(F.sha2(F.array_join(lines, ""), 256).alias("prefix_sha"))

@@ -73,17 +73,22 @@ def duration_range(rows: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFra
 def nearest_rank(rows: DataFrame, x: str, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Columns q<percent>: the element at the even-rounded place q * (n - 1) of the sorted values.
 
-    Values are counted before they are ordered, so a group costs its distinct values.
+    Values are counted, dealt by range and numbered range by range, so no task orders a whole
+    group; the places that are asked for are then looked up in their ranges.
     """
+    from quillstone.operators.windows import running_sum
+
     vals = rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
-    packed = vals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_x", "_n"))).alias("_v"), F.sum("_n").alias("_all"))
-    run = F.aggregate(
-        "_v", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("ends")),
-        lambda a, v: F.struct((a["n"] + v["_n"]).alias("n"), F.concat(a["ends"], F.array(a["n"] + v["_n"])).alias("ends")), lambda a: a["ends"],
-    )
-    packed = packed.withColumn("_ends", run)
-    pick = lambda q: F.get(F.transform("_v", lambda v: v["_x"]), F.size(F.filter("_ends", lambda e: e <= F.rint(q * (F.col("_all") - 1)))))
-    return packed.select(*keys, *[F.round(pick(q), 4).alias(f"q{round(100 * q)}") for q in qs])
+    placed = running_sum(vals, [*keys, "_x"], "_n", "_before")
+    # places are counted over all groups: a group's first is the least of its own
+    sizes = placed.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(F.sum("_n").alias("_all"), F.min("_before").alias("_first"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    at = F.col("_before") - F.col("_first")
+    place = lambda q: F.rint(q * (F.col("_all") - 1))
+    hit = lambda q: F.max(F.when((at <= place(q)) & (place(q) < at + F.col("_n")), F.col("_x")))
+    return placed.join(sizes, on).groupBy(*keys).agg(*[F.round(hit(q), 4).alias(f"q{round(100 * q)}") for q in qs])
 
 
 def degraded_macro(summary: DataFrame, names: Sequence[str] = ("dropout", "far_field", "noise", "reverb")) -> DataFrame:
@@ -174,6 +179,16 @@ def window_summary(groups: DataFrame, window: str) -> DataFrame:
     )
 
 
+def flat_summary(summary: DataFrame, stage: str, scenarios: Sequence[str], values: Sequence[str], gap: tuple[str, str] | None = None, of: str = "micro_cer") -> DataFrame:
+    """One row a stage with a column <scenario>_<value> for each, null where a scenario is absent, and
+    `gap`: the value `of` the first scenario of the pair less that of the second."""
+    cell = lambda s, v: F.max(F.when(F.col("scenario") == s, F.col(v)))
+    out = [cell(s, v).alias(f"{s}_{v}") for s in scenarios for v in values]
+    if gap is not None:
+        out.append((cell(gap[0], of) - cell(gap[1], of)).alias("gap"))
+    return summary.groupBy(stage).agg(*out)
+
+
 def token_weighted(rows: DataFrame, total: str, n: str, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of totals over sum of counts, never a mean of means; 0.0 without tokens."""
     return rows.groupBy(*keys).agg(F.coalesce(ratio(F.sum(total), F.sum(n)), F.lit(0.0)).alias("value"), F.sum(n).alias("tokens"))

@@ -152,8 +152,11 @@ def incomplete_sources(rows: DataFrame, source: str, scenario: str, wanted: Sequ
 
 
 def attach(rows: DataFrame, meta: DataFrame, key: str) -> DataFrame:
-    """Many-to-one: `rows` with the columns of `meta`, one row a key; unknown keys are dropped."""
-    return rows.join(meta.dropDuplicates([key]), key)
+    """Many-to-one: `rows` with the columns of `meta`; unknown keys are dropped, a key of two rows raises."""
+    rest = [c for c in meta.columns if c != key]
+    one = meta.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    sure = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two rows of metadata: "), F.col(key).cast("string"))).cast("boolean"))
+    return rows.join(one.where(sure).drop("_n"), key)
 
 
 def files_by_stem(near: DataFrame, grids: DataFrame, far: DataFrame, stem: Column, meeting: Column) -> DataFrame:

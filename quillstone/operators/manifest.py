@@ -11,7 +11,7 @@ from quillstone.functions import text as T
 from quillstone.functions.hashing import hash_split, keyed, scenario_seed
 from quillstone.operators.aggregates import dimension, split_intersections, zero_filled
 from quillstone.operators.joins import missing_either
-from quillstone.operators.windows import drop_cross_split
+from quillstone.operators.windows import drop_cross_split, top_k_per_group
 
 # Fixed values.
 SPLITS = ("train", "val", "test")
@@ -174,3 +174,28 @@ def builder_rows(selected: DataFrame, prefix: str) -> DataFrame:
         F.col("utterance_id").alias("source_utterance_id"), F.format_string(f"{prefix}/%s/%s.wav", "speaker_id", "utterance_id").alias("audio"),
         "text", F.lit("zh").alias("language"), "speaker_id", "official_split",
     ).orderBy("source_utterance_id")
+
+
+def training_row_problems(rows: DataFrame) -> DataFrame:
+    """Rows (key, code) of `rows(sample_id, language, text, audio)` that can't be trained on: language, blank_text, blank_audio, duplicate_sample."""
+    checks = {
+        "language": ~F.col("language").eqNullSafe("zh"), "blank_text": T.is_blank(F.col("text")), "blank_audio": T.is_blank(F.col("audio")),
+    }
+    each = rows.select(F.col("sample_id").alias("key"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))).alias("code"))
+    again = rows.groupBy(F.col("sample_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit("duplicate_sample").alias("code"))
+    return each.unionByName(again)
+
+
+def smoke_sources(rows: DataFrame, seed: int, k: int) -> DataFrame:
+    """The k sources a split, by rank, that have all scenarios there, with position from 1."""
+    whole = rows.where(F.col("scenario").isin(*T.SCENARIOS)).groupBy("split", "source_id").agg(F.count_distinct("scenario").alias("n"))
+    whole = whole.where(F.col("n") == len(T.SCENARIOS)).drop("n")
+    return top_k_per_group(whole, ["split"], keyed(seed, F.col("source_id"), "smoke"), k, "source_id")
+
+
+def summary_diff(stored: DataFrame, computed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows (key, problem) where a stored summary is not the one computed anew: not_stored, not_computed, differs."""
+    a = stored.select(F.col(key), F.struct(*columns).alias("_a"), F.lit(True).alias("_s"))
+    b = computed.select(F.col(key), F.struct(*columns).alias("_b"), F.lit(True).alias("_c"))
+    problem = T.first_of((F.col("_s").isNull(), "not_stored"), (F.col("_c").isNull(), "not_computed"), (~F.col("_a").eqNullSafe(F.col("_b")), "differs"))
+    return a.join(b, key, "full_outer").select(key, problem.alias("problem")).where("problem is not null")

@@ -155,3 +155,36 @@ def aligned_mask(candidates: DataFrame, group: str, most: int = 2) -> DataFrame:
         group, valid.alias("valid"), F.col("best.candidate_index").alias("best_index"), F.when(valid, F.col("t0")).alias("mismatch_index"),
         F.when(valid, F.transform("used", lambda x: x["candidate_index"])).alias("aligned"), F.when(valid, F.col("adv")).alias("advantages"),
     )
+
+
+def strip_input_problems(rows: DataFrame, schema: str, sha_wanted: str, sha_found: str) -> DataFrame:
+    """Rows (key, code) of pairs that must not be stripped: another schema, duplicates, a chosen text
+    that is not the reference, and the source file's digest where it is not the pinned one."""
+    checks = {"schema": ~F.col("schema_version").eqNullSafe(schema), "chosen_is_not_reference": ~F.col("chosen_text").eqNullSafe(F.col("reference"))}
+    key = F.col("pair_id").cast("string").alias("key")
+    each = rows.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))).alias("code"))
+    again = rows.groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("duplicate_pair").alias("code"))
+    out = each.unionByName(again)
+    if sha_wanted != sha_found:
+        out = out.unionByName(rows.sparkSession.createDataFrame([("source", "sha_changed")], "key string, code string"))
+    return out
+
+
+def strip_status(pairs: DataFrame, name: str, frozen: Sequence[str], floor: int) -> str:
+    """How a gap-strip build ends: refused for a frozen name, else insufficient_data or passed.
+
+    Every scenario that occurs needs `floor` pairs.
+    """
+    if name in frozen:
+        raise ValueError(f"{name} is frozen")
+    few = pairs.groupBy("scenario").agg(F.count_if(F.col("bucket") == "pair").alias("n")).where(F.col("n") < floor)
+    return "passed" if few.isEmpty() else "insufficient_data"
+
+
+def audit_problems(rows: DataFrame, dispositions: Sequence[str] = ("keep", "drop")) -> DataFrame:
+    """Rows (key, code) of audited `rows(pair_id, disposition, note)`: not_reviewed, bad_disposition, or no_note where a pair goes."""
+    code = T.first_of(
+        (F.col("disposition").isNull(), "not_reviewed"), (~F.col("disposition").isin(*dispositions), "bad_disposition"),
+        ((F.col("disposition") == "drop") & T.is_blank(F.col("note")), "no_note"),
+    )
+    return rows.select(F.col("pair_id").cast("string").alias("key"), code.alias("code")).where("code is not null")

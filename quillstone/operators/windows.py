@@ -66,13 +66,27 @@ def global_index(rows: DataFrame, order: Sequence[str], name: str = "index") ->
     Rows are dealt by range and numbered within their range; the ranges' sizes, one row each,
     give the offsets. `order` must be unique.
     """
+    return running_sum(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one", name).withColumn(name, F.col(name) + 1).drop("_one")
+
+
+def running_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over all rows before, in a total order (nulls first).
+
+    Rows are dealt by range into the checkpoint folder, where a session has one, and are else
+    kept until the session ends; so the ranges stay as they are while their totals are taken.
+    """
     keys = [F.col(c) for c in order]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    return dealt.join(base, "_part").withColumn(name, F.col("_base") + F.row_number().over(inside)).drop("_part", "_base")
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    sc = rows.sparkSession.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    dealt = dealt.checkpoint() if folder else dealt.persist()
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))
+    # one row a range
+    base = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part", "_base")
 
 
 def count_windows(rows: DataFrame, order: Sequence[str], k: int, epoch: str | None = None, keep_tail: bool = True) -> DataFrame:
@@ -130,12 +144,7 @@ def round_robin(rows: DataFrame, speaker: str, duration: str, order: Sequence[st
     if count is not None:
         placed = placed.where(F.col("position") <= count)
     if target is not None:
-        # durations before a row: those of all earlier turns, summed turn by turn
-        per = placed.groupBy("turn").agg(F.sum(duration).alias("_ms"))
-        earlier = per.withColumn("_before", F.coalesce(F.sum("_ms").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_ms")
-        within = Window.partitionBy("turn").orderBy(speaker).rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.join(earlier, "turn").withColumn("_so_far", F.col("_before") + F.coalesce(F.sum(duration).over(within), F.lit(0)))
-        placed = placed.where(F.col("_so_far") < target).drop("_before", "_so_far")
+        placed = running_sum(placed, ["turn", speaker], duration, "_so_far").where(F.col("_so_far") < target).drop("_so_far")
     met = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum(duration), F.lit(0)).alias("ms"))
     enough = (F.lit(count is None) | (F.col("n") >= (count or 0))) & (F.lit(target is None) | (F.col("ms") >= (target or 0)))
     return placed.join(F.broadcast(met.where(enough).select(F.lit(True).alias("_ok"))), F.col("_ok")).drop("_ok")
@@ -156,15 +165,15 @@ def stratified_round_robin(rows: DataFrame, stratum: str, rank: Column, tie: str
     last = taken.groupBy(stratum).agg(F.max("turn").alias("_last"))
     # the position that the stratum's next visit would have: rows taken in rounds up to its turn
     # in the next round, and a round after one without progress never comes
-    rounds = taken.groupBy("turn").agg(F.count("*").alias("_n"))
-    upto = rounds.withColumn("_all", F.sum("_n").over(Window.orderBy("turn"))).select(F.col("turn").alias("_last"), "_all")
-    ahead = taken.select(F.col("turn").alias("_next"), F.col(stratum).alias("_who"))
+    # the next visit of a stratum stands behind its last taken row, at (its last turn + 1, itself):
+    # how many rows were taken before it is a running count over taken rows and visits together
     strata = rows.select(stratum).distinct().join(last, stratum, "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
-    visit = strata.join(upto, "_last", "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
-    visit = visit.join(ahead, (F.col("_next") == F.col("_last") + 1) & (F.col("_who") < F.col(stratum)), "left")
-    visit = visit.groupBy(stratum, "_last", "_all").agg(F.count("_who").alias("_more"))
+    marks = taken.select("turn", stratum, F.lit(1).cast("long").alias("_taken")).unionByName(
+        strata.select((F.col("_last") + 1).alias("turn"), stratum, F.lit(0).cast("long").alias("_taken"))
+    )
+    visit = running_sum(marks, ["turn", stratum], "_taken", "_ahead").where("_taken = 0").withColumn("_last", F.col("turn") - 1).drop("turn", "_taken")
     rounds_run = taken.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
-    again = (F.col("_all") + F.col("_more") < most) & (F.col("_last") + 1 <= rounds_run)
+    again = (F.col("_ahead") < most) & (F.col("_last") + 1 <= rounds_run)
     looked = seen.where(~F.col(passed)).join(visit.withColumn("_again", again), stratum)
     rejected = looked.where((F.col("turn") < F.col("_last")) | (F.col("_again") & (F.col("turn") == F.col("_last"))))
     keep = rows.columns

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import benchmarks, curation, preferences, timelines
+from quillstone.plans import benchmarks, curation, fields, preferences, timelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (benchmarks, curation, timelines, preferences):
+for _module in (benchmarks, curation, timelines, preferences, fields):
     for _name, (_query, _sql) in _module.CATALOGUE.items():
         QUERIES[_name] = _query
         if _sql:

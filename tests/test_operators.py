@@ -224,3 +224,36 @@ def test_runs_windows_and_anchors(spark):
     assert windows.count_windows(n, ["id"], 3, keep_tail=False).count() == 6
     assert [(r.offset, r.id) for r in windows.anchor_slice(n, "id", 3, 3).orderBy("offset").collect()] == [(0, 6), (1, 0), (2, 1)]
     assert windows.top_k_per_group(n.withColumn("g", F.lit(1)), ["g"], keyed(1, F.col("id").cast("string")), 2, "id").count() == 2
+
+
+def test_nearest_rank_by_group(spark):
+    draw = random.Random(3)
+    rows = [(k, float(draw.randrange(40))) for k in ("a", "b", None) for _ in range(draw.randrange(1, 90))]
+    got = {r.k: (r.q10, r.q50, r.q95) for r in A.nearest_rank(spark.createDataFrame(rows, "k string, x double"), "x", [0.1, 0.5, 0.95], ["k"]).collect()}
+    for k in ("a", "b", None):
+        xs = sorted(x for g, x in rows if g == k)
+        assert got[k] == tuple(xs[round(q * (len(xs) - 1))] for q in (0.1, 0.5, 0.95))
+
+
+def test_attach_refuses_two_rows_of_a_key(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k long, m string")
+    assert sorted(tuple(r) for r in joins.attach(rows, one, "k").collect()) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="two rows of metadata: 2"):
+        joins.attach(rows, one.unionByName(spark.createDataFrame([(2, "c")], "k long, m string")), "k").collect()
+
+
+def test_summaries_flat_and_stored(spark):
+    s = spark.createDataFrame([("base", "overall", 0.5), ("base", "clean", 0.25), ("base", "far_field", 0.75), ("sft", "clean", 0.5)], "stage string, scenario string, micro_cer double")
+    got = {r.stage: tuple(r)[1:] for r in A.flat_summary(s, "stage", ["overall", "clean"], ["micro_cer"], ("far_field", "clean")).collect()}
+    assert got == {"base": (0.5, 0.25, 0.5), "sft": (None, 0.5, None)}
+    a = spark.createDataFrame([("x", 1, None), ("y", 2, 3), ("z", 4, 5)], "key string, n int, m int")
+    b = spark.createDataFrame([("x", 1, None), ("y", 2, 4), ("w", 4, 5)], "key string, n int, m int")
+    assert {tuple(r) for r in manifest.summary_diff(a, b, "key", ["n", "m"]).collect()} == {("y", "differs"), ("z", "not_computed"), ("w", "not_stored")}
+
+
+def test_strip_status(spark):
+    rows = spark.createDataFrame([("noise", "pair"), ("noise", "pair"), ("dropout", "pair"), ("dropout", "rejected")], "scenario string, bucket string")
+    assert pairs.strip_status(rows, "new", ["old"], 1) == "passed" and pairs.strip_status(rows, "new", ["old"], 2) == "insufficient_data"
+    with pytest.raises(ValueError, match="frozen"):
+        pairs.strip_status(rows, "old", ["old"], 1)
