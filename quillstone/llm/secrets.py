@@ -96,6 +96,10 @@ def trigram_query(pattern: str, widest: int = 64) -> Query:
     return [[grams(s) for s in sorted(run)] for run in runs if all(len(s) > 2 for s in run)]
 
 
+#: Matches of a text that are placed together.
+BLOCK = 256
+
+
 def row_key() -> Column:
     """One long for a row; rows that share it by chance only share candidates, which are verified."""
     return F.xxhash64("doc_id", "text")
@@ -126,52 +130,76 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return whole.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def matches(text: Column, rule: Rule, kind: int) -> Column:
-    """Spans (start, kind, end) of a rule's leftmost matches that do not overlap, in code points.
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+
+def _pieces(text: Column, rule: Rule) -> Column:
+    """Array of (gap, size, part): what stands before each leftmost match, the match and its group, in code points.
 
     The pieces between matches and the matches alternate, so their lengths add up to offsets.
     """
-    pattern = F.lit(rule.pattern)
-    data = F.arrays_zip(
-        F.transform(F.slice(F.split(text, rule.pattern, -1), 1, 2147483647), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias("size"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("part"),
-    )
-    data = F.filter(data, lambda x: x["size"].isNotNull())
-    span = lambda a, b: F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    whole = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    parts = [lengths(F.split(text, rule.pattern, -1)).alias("gap"), whole.alias("size")]
+    if rule.group:
+        parts.append(lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))).alias("part"))
+    return F.filter(F.arrays_zip(*parts), lambda x: x["size"].isNotNull())
+
+
+def _blocks(pieces: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / BLOCK).cast("int") - 1), lambda b: F.slice(pieces, b * BLOCK + 1, BLOCK))
+
+
+def _starts(blocks: Column) -> Column:
+    """Where each block begins, and the last one ends."""
+    width = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + width(block))))
+
+
+def _spans(blocks: Column, starts: Column, rule: Rule, kind: int) -> Column:
+    """Spans (start, kind, end) of the matches that count."""
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        out = F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span(begin, begin + x["size"])))).otherwise(acc["out"])
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["size"]).alias("end"))
+        out = F.when(x["part" if rule.group else "size"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct((begin + x["size"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(data, start, step, lambda acc: acc["out"])
+    each = lambda block, k: F.aggregate(block, F.struct(F.get(starts, k).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
+    return F.flatten(F.transform(blocks, each))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """`docs` with spans: array of (start, kind, end), sorted; kind is the rule's index.
 
     A rule with mandatory trigrams runs only on rows that the index names; one without runs on
-    every row, behind a plain test for its pattern. Null texts count as empty; repeated rows
-    are scanned alike; an empty table gives an empty one. An input column `spans` is replaced.
+    every row, behind a plain test for its pattern. Matches are placed block by block: an array
+    is copied to grow, so it grows within a block only, and once a block, and the time of a text
+    stays in proportion to it. Null texts count as empty; repeated rows are scanned alike; an
+    empty table gives an empty one. An input column `spans` is replaced; the helpers' names
+    (_text, _key, _kinds, and _pieces, _blocks and _starts with a number) must be free.
     """
     docs = docs.drop("spans").withColumn("_text", F.coalesce("text", F.lit("")))
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     named = docs.withColumn("_key", row_key()).join(
-        candidates(docs, indexed).select(F.col("key").alias("_key"), "kinds"), "_key", "left"
+        candidates(docs, indexed).select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")), "_key", "left"
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    spans = []
+    text = F.col("_text")
+    pieces = {}
     for k, rule in enumerate(rules):
         if rule in indexed:
-            asked = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            asked = F.array_contains("_kinds", rule.kind)
         else:
             most = rule.pattern.removesuffix("+") + "{%d,}" % rule.least if rule.pattern.endswith("]+") and not rule.group else rule.pattern
-            asked = F.col("_text").rlike(most)
-        spans.append(F.when(asked, matches(F.col("_text"), rule, k)).otherwise(none))
-    return named.withColumn("spans", F.array_sort(F.concat(*spans))).drop("_key", "_text", "kinds")
+            asked = text.rlike(most)
+        pieces[f"_pieces{k}"] = F.when(asked, _pieces(text, rule))
+    # one column a step, so that no step is worked out twice
+    out = named.withColumns(pieces).drop("_text", "_kinds", "_key")
+    out = out.withColumns({f"_blocks{k}": F.when(F.size(f"_pieces{k}") > 0, _blocks(F.col(f"_pieces{k}"))) for k in range(len(rules))}).drop(*pieces)
+    out = out.withColumns({f"_starts{k}": _starts(F.col(f"_blocks{k}")) for k in range(len(rules))})
+    spans = [F.coalesce(_spans(F.col(f"_blocks{k}"), F.col(f"_starts{k}"), rule, k), _none()) for k, rule in enumerate(rules)]
+    return out.withColumn("spans", F.array_sort(F.concat(*spans))).drop(*[f"_{c}{k}" for c in ("blocks", "starts") for k in range(len(rules))])
 
 
 def as_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
