@@ -66,8 +66,9 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int)
 
 
 def rolling_grams(docs: DataFrame, k: int, piece: int = 1_000_000) -> DataFrame:
-    """Rows (doc_id, key, line, starts, grams): a text's words, where each begins in `line`, and
-    the hash of the k words from each on. Texts of fewer words are left out.
+    """Rows (doc_id, key, line, starts, grams): a text's words as UTF-8 with a blank after each, the
+    byte at which each begins, and the hash of the k words from each on. Texts of fewer words
+    are left out.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,14 +80,15 @@ def rolling_grams(docs: DataFrame, k: int, piece: int = 1_000_000) -> DataFrame:
                 for doc, key, text in zip(part["doc_id"].astype(object), part["key"], part["text"]):
                     words = words_of(text)
                     if len(words) >= k:
-                        ends = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)) + 1)
+                        line = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
+                        ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1
                         starts = np.concatenate([[0], ends[:-1]]).astype(np.int32)
-                        out.append((None if pd.isna(doc) else int(doc), key, " ".join(words) + " ", starts, shingles(hashed(words, book), k).view(np.int64)))
+                        out.append((None if pd.isna(doc) else int(doc), key, line, starts, shingles(hashed(words, book), k).view(np.int64)))
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "key", "line", "starts", "grams"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    return rows.mapInPandas(each, "doc_id long, key long, line string, starts array<int>, grams array<long>")
+    return rows.mapInPandas(each, "doc_id long, key long, line binary, starts array<int>, grams array<long>")
 
 
 @F.pandas_udf(LongType())
@@ -102,12 +104,15 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE
     to each other, as a word put in or left out makes them, count as one span; its share of the
     template's k-grams, compared word by word, must reach the template's. The library is a
     parameter of fixed size, so its side of the join is sent to every task.
-    Rows alike in doc_id and text have one set of spans. Null texts count as empty.
+    Rows alike in doc_id and text have one set of spans. Null texts count as empty; an empty
+    table gives no spans. Columns other than doc_id and text are not read. Of diagonals in one
+    cell with as many votes, the last leads.
     """
     rolled = rolling_grams(docs, k).select("doc_id", "key", "line", "starts", F.posexplode("grams").alias("pos", "h"))
     hits = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h")
-    # the words decide, not their hash
-    hits = hits.where(F.col("line").substr(F.get("starts", "pos") + 1, F.length("said")) == F.col("said"))
+    # the words decide, not their hash; bytes are cut out where they stand, however long the text
+    said = F.col("said").cast("binary")
+    hits = hits.where(F.col("line").substr(F.get("starts", "pos") + 1, F.length(said)) == said)
     votes = hits.groupBy("doc_id", "key", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("tpos"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("label").alias("label")
     )

@@ -67,3 +67,10 @@ def test_repeated_rows_and_long_texts(spark, tmp_path):
     assert got == [(3, 1, 0, 0), (3, 1, 0, 0), (30_009, 3, 30_000, 30_006)]
     assert licenses.op8_licenses(spark, str(tmp_path)).count() == 5
     assert licenses.license_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_of_very_many_places(spark):
+    text = " ".join("Ünder CC-BY 😀 terms" for _ in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "all rights reserved")], "doc_id long, text string")
+    got = licenses.license_spans(docs).where("template < 3").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 100_000, 2: 1}
