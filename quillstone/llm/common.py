@@ -99,17 +99,20 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: every node links its larger neighbours, and
     then its smaller ones, to the smallest it knows, until nothing changes. Each step is one
     grouping whose minimum is combined before the shuffle and one equi-join, and is written to
-    the shared folder; edges never grow in number and never reach the driver.
+    the shared folder; edges never grow in number and never reach the driver. Hubs, of which there
+    can be a bounded number only, are sent to the edges instead of gathering theirs in one task.
     Nodes without edges are absent.
     """
     spark = edges.sparkSession
     now = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    # edges never grow in number, so at most 2,000 nodes have more neighbours than this
+    hub = max(512, now.count() // 1000)
     state = None
     while True:
-        large = _star(now, larger=True)
-        small = cut(_star(large, larger=False))
+        large = _star(now, True, hub)
+        small = cut(_star(large, False, hub))
         seen = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -119,20 +122,28 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool, hub: int) -> DataFrame:
     """One star step over edges with a > b.
 
     large: each node u links all its larger neighbours to min(neighbours, u).
     small: each node u links its smaller neighbours and itself to min(neighbours).
+    Nodes of more than `hub` edges meet their edges by broadcast: no task holds all of them.
     """
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # only the edges to larger neighbours are kept: (b, a)
-        out = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        near, own = edges.select(F.col("b").alias("u"), F.col("a").alias("v")), None
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        near, own = edges.select(F.col("a").alias("u"), F.col("b").alias("v")), low.select(F.col("u").alias("a"), F.col("m").alias("b"))
+    few = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    marked = near.join(few, "u", "left")
+    out = marked.where("hub_m is not null").select(F.col("v").alias("a"), F.col("hub_m").alias("b")).unionByName(
+        marked.where("hub_m is null").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    )
+    if own is not None:
+        out = out.unionByName(own)
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -123,3 +123,19 @@ def test_groups_without_doc_id_keep_a_row_each(spark):
     rows = [(None, texts[0], "a"), (None, texts[0], "b"), (None, texts[1], "c"), (None, texts[2], "d"), (8, texts[2], "e"), (8, texts[3], "f")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r.text, r.doc_id or 0) for r in kept) == sorted([(texts[0], 0), (texts[1], 0), (texts[2], 8), (texts[3], 8)])
+
+
+def test_rows_are_judged_one_by_one(spark):
+    words = {w: " ".join(f"{w}{k}" for k in range(9)) for w in "abcd"}
+    rows = [(3, "a"), (7, "a"), (7, "b"), (9, "b"), (9, "c"), (9, "d")]
+    docs = spark.createDataFrame([(k, words[w], w) for k, w in rows], "doc_id long, text string, _kept string")
+    kept = simhash.keep_one(docs.withColumnRenamed("_kept", "w")).collect()
+    assert sorted((r.doc_id, r.w) for r in kept) == [(3, "a"), (7, "b"), (9, "c"), (9, "d")]
+
+
+def test_components_of_a_hub(spark):
+    from quillstone.llm.common import components
+
+    edges = [(k, 0) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(9000, 2999)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(3000)) and got[9000] == 0 and all(got[5000 + k] == 5000 for k in range(41))
