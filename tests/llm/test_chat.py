@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from quillstone.llm import chat
 
 
@@ -75,3 +79,40 @@ def test_long_chains_and_repeated_phrases(spark):
     twice = chat.format_chats(df.unionByName(df)).collect()
     assert len(twice) == 140
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_quoted_parts_of_messages_are_linked(spark):
+    start = "Hello there. Ship it on Monday, but not before noon. Thanks to all of you."
+    rows = [
+        (1, 1, "user", start), (1, 2, "user", "> Ship it on Monday, but not before noon.\nWhy?"), (1, 3, "user", "> but not\n> before noon. Thanks\nNoon where?"),
+        (1, 4, "user", "> Noon where\nHere."), (1, 5, "user", "> never said by anyone here\nWho said so?"), (1, 6, "user", "> you\nMe?"), (2, 1, "user", "> Ship it on Monday\nNot this one."),
+        (None, 3, "user", "> Ship it on Monday\nNor this."),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.content) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (1, 1, "Why?") and got[1, 3] == (1, 1, "Noon where?") and got[1, 4] == (3, 1, "Here.")
+    assert got[1, 5][0] is None and got[1, 6][0] is None and got[2, 1][0] is None and got[None, 3][0] is None
+
+
+def test_run_hashes_are_those_of_equal_runs():
+    draw = np.random.default_rng(2)
+    words = draw.integers(0, 1 << 62, 300).astype(np.uint64)
+    for n in (1, 2, 7, 299, 300):
+        got = chat.run_hashes(words, n)
+        assert len(got) == 301 - n and all(got[k] == chat.run_hashes(words[k : k + n], n)[0] for k in range(0, len(got), 17))
+    assert len(chat.run_hashes(words, 301)) == 0
+
+
+def test_recall_on_quoted_parts_of_real_messages(spark):
+    """Of replies that quote a run of 4 to 20 words of an earlier message, nearly all are linked to one that says it."""
+    d = "/root/testdata/sf0.01/conversations.parquet"
+    base = [r for r in spark.read.parquet(d).collect() if r.text and len(r.text.split()) >= 8]
+    draw, rows, want = random.Random(4), [], {}
+    for k, r in enumerate(base[:300]):
+        words = r.text.split()
+        n = draw.randrange(4, min(21, len(words)))
+        at = draw.randrange(len(words) - n + 1)
+        rows += [(k, 1, "user", r.text), (k, 2, "user", "no quotes here"), (k, 3, "user", "> " + " ".join(words[at : at + n]) + "\nmy answer")]
+        want[k] = len(chat.normalised(" ".join(words[at : at + n])).split()) >= chat.LOOSE
+    got = {r.conv_id: r.reply_to for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 3").collect()}
+    asked = [k for k, ok in want.items() if ok]
+    assert len(asked) > 200 and sum(got[k] == 1 for k in asked) >= 0.99 * len(asked)
