@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -16,11 +17,12 @@ from quillstone.llm.common import cut, lean
 
 TOKEN = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
-#: Where each block of a fingerprint's bits begins. With five blocks an item has 1,799 index rows (with four 10,068).
+#: Where each block of a fingerprint's bits begins. With five blocks an item has 1,811 index rows (with four 10,068).
 CUTS = (0, 13, 26, 39, 52, 64)
 BLOCKS = len(CUTS) - 1
-#: Bits of each of the two filters of item shingles: a fixed size, whatever the benchmark's.
-FILTER_BITS = 1 << 22
+#: Bits of each of the two filters of item shingles, at least and at most: sixteen a shingle
+#: between. A fuller filter lets more windows through, which the later steps judge all the same.
+FILTER_BITS, FILTER_MOST = 1 << 22, 1 << 26
 
 
 class Words(dict):
@@ -72,9 +74,30 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(1, np.maximum(x, y).sum()))
 
 
-def _sized(hashes: np.ndarray, size: int) -> np.ndarray:
+@dataclass
+class Filters:
+    """Bit sets of all item shingles and of those by item size, and the sizes that occur."""
+
+    bits: int
+    any_size: np.ndarray
+    by_size: np.ndarray
+    sizes: list[int]
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        return _has(self.any_size, hashes & np.uint64(self.bits - 1))
+
+    def knows_sized(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        return _has(self.by_size, _sized(hashes, size, self.bits))
+
+
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.astype(np.int64)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def _sized(hashes: np.ndarray, size: int, bits: int) -> np.ndarray:
     """Filter positions of shingles of items of `size` words."""
-    return _mixed(hashes ^ np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(FILTER_BITS - 1)
+    return _mixed(hashes ^ np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(bits - 1)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -95,26 +118,29 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("size", "fp", "hashes").agg(F.min("item_id").alias("item_id"))
 
 
-def item_filter(items: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Two bit sets, of all item shingles and of those by item size, and the sizes that occur."""
+def item_filter(items: DataFrame) -> Filters:
+    """The filters of all items, of a size that follows from how many shingles they have."""
+    shingled, bits = items.agg(F.sum(F.size("hashes"))).first()[0] or 0, FILTER_BITS
+    while bits < min(16 * shingled, FILTER_MOST):
+        bits *= 2
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for size, hashes in zip(pdf["size"], pdf["hashes"]):
                 h = np.asarray(hashes, np.int64).view(np.uint64)
-                for which, at in ((0, h & np.uint64(FILTER_BITS - 1)), (1, _sized(h, size))):
+                for which, at in ((0, h & np.uint64(bits - 1)), (1, _sized(h, size, bits))):
                     at = at.astype(np.int64)
                     yield pd.DataFrame({"which": which, "word": at >> 5, "bits": np.left_shift(1, at & 31)})
 
     words = items.select("size", "hashes").mapInPandas(each, "which int, word long, bits long").groupBy("which", "word").agg(F.bit_or("bits").alias("bits"))
-    sets = np.zeros((2, FILTER_BITS // 32), np.uint32)
-    for which, word, bits in words.collect():  # at most 2 * FILTER_BITS / 32 rows
-        sets[which, word] = bits
-    bits = np.unpackbits(sets.view(np.uint8), axis=1, bitorder="little").astype(bool)
-    return bits[0], bits[1], sorted(r[0] for r in items.select("size").distinct().collect())
+    sets = np.zeros((2, bits // 32), np.uint32)
+    got = words.toPandas()  # at most 2 * FILTER_MOST / 32 rows
+    sets[got["which"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    packed = sets.astype("<u4").view(np.uint8)
+    return Filters(bits, packed[0], packed[1], sorted(r[0] for r in items.select("size").distinct().collect()))
 
 
-def windows(docs: DataFrame, filters: tuple) -> DataFrame:
+def windows(docs: DataFrame, filters: Filters) -> DataFrame:
     """Rows (doc_id, start, size, content, fp, hashes): windows of an item's size that may reach the similarity.
 
     Two sets of a and b shingles reach it only if they share (a + b) * s / (1 + s). The filters
@@ -125,7 +151,7 @@ def windows(docs: DataFrame, filters: tuple) -> DataFrame:
     share = SIMILARITY / (1 + SIMILARITY)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, by_size, sizes = shared.value
+        filters = shared.value
         words = Words()
         for pdf in batches:
             out = []
@@ -134,8 +160,8 @@ def windows(docs: DataFrame, filters: tuple) -> DataFrame:
                 if not len(w):
                     continue
                 long = shingles(w)
-                hits = np.flatnonzero(known[(long & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
-                for size in sizes:
+                hits = np.flatnonzero(filters.knows(long))
+                for size in filters.sizes:
                     h = long if size >= SHINGLE else shingles(w, size)
                     n = max(1, size - SHINGLE + 1)
                     here = min(n, len(h))
@@ -143,7 +169,7 @@ def windows(docs: DataFrame, filters: tuple) -> DataFrame:
                     if size >= SHINGLE and len(hits) < need or here < need:
                         continue
                     near = hits if size >= SHINGLE else np.arange(len(h))
-                    near = near[by_size[_sized(h[near], size).astype(np.int64)]]
+                    near = near[filters.knows_sized(h[near], size)]
                     if len(near) < need:
                         continue
                     # starts from which `need` hits lie within the window
