@@ -102,3 +102,19 @@ def publishable(releases: DataFrame) -> DataFrame:
         (is_blank(F.col("release")), "no_id"), (~F.coalesce(F.col("adapter_sha").rlike("^[0-9a-f]{64}$"), F.lit(False)), "bad_sha"),
     )
     return releases.select("release", problem.alias("problem")).where("problem is not null")
+
+
+def checkpoint_problems(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (step, name, problem) where the files of `found(step, name, sha256)` are not the recorded ones: missing, extra, changed."""
+    from quillstone.functions.text import first_of
+
+    a = recorded.select("step", "name", F.col("sha256").alias("_a"), F.lit(True).alias("_r"))
+    b = found.select("step", "name", F.col("sha256").alias("_b"), F.lit(True).alias("_f"))
+    problem = first_of((F.col("_f").isNull(), "missing"), (F.col("_r").isNull(), "extra"), (~F.col("_a").eqNullSafe(F.col("_b")), "changed"))
+    return a.join(b, ["step", "name"], "full_outer").select("step", "name", problem.alias("problem")).where("problem is not null")
+
+
+def latest_complete(recorded: DataFrame, problems: DataFrame) -> DataFrame:
+    """One row (step): the last recorded step without a problem, which a pointer may name; none if there is none."""
+    good = recorded.select("step").distinct().join(problems.select("step").distinct(), "step", "left_anti")
+    return good.agg(F.max("step").alias("step")).where("step is not null")

@@ -584,3 +584,27 @@ def audit_problems(spark, sf_dir):
     k = F.col("line")
     rows = V.samples(spark, sf_dir).select(F.col("sample_id").alias("pair_id"), F.when(k % 9 == 1, "maybe").when(k % 9 == 2, "drop").when(k % 9 != 0, "keep").alias("disposition"), F.when(k % 8 == 0, "").otherwise("why").alias("note"))
     return pairs.audit_problems(rows).select("key", "code")
+
+
+_FILES = """a AS (SELECT o_orderkey % 50 AS step, 'f' || o_orderkey AS name, o_custkey::VARCHAR AS sha FROM orders WHERE o_orderkey % 50 < 45 OR o_orderkey % 11 <> 0),
+b AS (SELECT o_orderkey % 50 AS step, 'f' || o_orderkey AS name, CASE WHEN o_orderkey % 50 = 7 AND o_custkey % 5 = 0 THEN 'x' ELSE o_custkey::VARCHAR END AS sha FROM orders WHERE o_orderkey % 50 <> 49 OR o_custkey % 3 = 0),
+p AS (SELECT coalesce(a.step, b.step) AS step, coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' WHEN a.sha <> b.sha THEN 'changed' END AS problem FROM a FULL JOIN b ON a.step = b.step AND a.name = b.name)"""
+
+
+def _files(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (k % 50).alias("step"), F.concat(F.lit("f"), k).alias("name"), c.cast("string").alias("sha256"))
+    recorded = o.where((F.col("step") < 45) | (k % 11 != 0))
+    found = o.where((F.col("step") != 49) | (c % 3 == 0)).withColumn("sha256", F.when((F.col("step") == 7) & (c % 5 == 0), "x").otherwise(F.col("sha256")))
+    return recorded, found
+
+
+@query(f"WITH {_FILES} SELECT step, name, problem FROM p WHERE problem IS NOT NULL")
+def checkpoint_files(spark, sf_dir):
+    return gates.checkpoint_problems(*_files(spark, sf_dir))
+
+
+@query(f"WITH {_FILES} SELECT max(step) AS step FROM a WHERE step NOT IN (SELECT step FROM p WHERE problem IS NOT NULL)")
+def checkpoint_pointer(spark, sf_dir):
+    recorded, found = _files(spark, sf_dir)
+    return gates.latest_complete(recorded, gates.checkpoint_problems(recorded, found))

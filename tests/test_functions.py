@@ -126,3 +126,21 @@ def test_audio(spark):
     assert {(r.source_id, r.scenario) for r in got.where("reason is not null").collect()} == {("b", "noise")} and got.count() == 10
     cut = one(spark, s=F.size(audio.slice_by_time(F.array_repeat(F.lit(0.5), 100), F.lit(0.001), F.lit(0.002))), p=audio.quality_problem(F.array(F.lit(0.1)), 0.2, 0.0), e=audio.quality_problem(F.array().cast("array<double>"), 0.2, 0.0))
     assert cut == {"s": 16, "p": "low_peak", "e": "empty"}
+
+
+def test_segmentation_by_a_locked_dictionary(spark, tmp_path):
+    import hashlib
+
+    from quillstone.functions import segment as G
+
+    path = tmp_path / "words.txt"
+    path.write_text("中国 50 n\n国人 20\n中国人 40\n人 30\n中 5\n国 5\n你好 10\n", "utf-8")
+    sha = hashlib.sha256(path.read_bytes()).hexdigest()
+    words = G.load_dictionary(str(path), "1.0", sha, "1.0")
+    assert G.segment("中国人你好abc12 国人", words) == ["中国人", "你好", "abc12", "国人"]
+    assert G.segment("", words) == [] and G.segment("无x人", words) == ["无", "x", "人"]
+    for version, digest in (("2.0", sha), ("1.0", "0" * 64)):
+        with pytest.raises(G.LockError):
+            G.load_dictionary(str(path), version, digest, "1.0")
+    rows = spark.createDataFrame([(1, "中国人"), (2, None), (3, "")], "id long, text string")
+    assert {r.id: r.words for r in G.segmented(rows, "text", "words", words).collect()} == {1: ["中国人"], 2: None, 3: []}
