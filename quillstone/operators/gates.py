@@ -118,3 +118,35 @@ def latest_complete(recorded: DataFrame, problems: DataFrame) -> DataFrame:
     """One row (step): the last recorded step without a problem, which a pointer may name; none if there is none."""
     good = recorded.select("step").distinct().join(problems.select("step").distinct(), "step", "left_anti")
     return good.agg(F.max("step").alias("step")).where("step is not null")
+
+
+def smoke_problems(expected: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Rows (sample_id, problem) where predictions are not as `expected(sample_id, fails)`: absent, failed, empty_transcript, or no_error where one must be."""
+    from quillstone.functions.text import first_of, is_blank
+
+    got = predictions.select("sample_id", F.col("error").alias("_error"), F.col("prediction_raw").alias("_said"), F.lit(True).alias("_there"))
+    failed = ~is_blank(F.col("_error"))
+    problem = first_of(
+        (F.col("_there").isNull(), "absent"), (F.col("fails") & ~failed, "no_error"), (~F.col("fails") & failed, "failed"),
+        (~F.col("fails") & is_blank(F.col("_said")), "empty_transcript"),
+    )
+    return expected.join(got, "sample_id", "left").select("sample_id", problem.alias("problem")).where("problem is not null")
+
+
+def baseline_problems(rows: DataFrame, split: str, parent: str) -> DataFrame:
+    """Rows (key, code) that keep `rows(split, parent, scenario, samples, micro_cer, manifest_sha256)` from being a pinned baseline.
+
+    Every scenario stands once, with samples, a rate that is finite and not negative, and a digest.
+    """
+    from quillstone.functions.maths import finite
+
+    checks = {
+        "split": ~F.col("split").eqNullSafe(split), "parent": ~F.col("parent").eqNullSafe(parent), "scenario": ~F.coalesce(F.col("scenario").isin(*SCENARIOS), F.lit(False)),
+        "samples": ~F.coalesce(F.col("samples") >= 1, F.lit(False)), "micro_cer": ~F.coalesce(finite(F.col("micro_cer")) & (F.col("micro_cer") >= 0), F.lit(False)),
+        "digest": ~F.coalesce(F.col("manifest_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+    }
+    each = rows.select(F.col("scenario").alias("key"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))).alias("code"))
+    wanted = rows.sparkSession.createDataFrame([(s,) for s in SCENARIOS], "key string")
+    n = wanted.join(rows.groupBy(F.col("scenario").alias("key")).agg(F.count("*").alias("n")), "key", "left")
+    code = F.when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "twice")
+    return each.unionByName(n.select("key", code.alias("code")).where("code is not null"))

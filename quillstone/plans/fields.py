@@ -608,3 +608,24 @@ def checkpoint_files(spark, sf_dir):
 def checkpoint_pointer(spark, sf_dir):
     recorded, found = _files(spark, sf_dir)
     return gates.latest_complete(recorded, gates.checkpoint_problems(recorded, found))
+
+
+@query(f"""WITH {V.SAMPLES} SELECT sample_id, problem FROM (SELECT sample_id, CASE WHEN line % 19 = 0 THEN 'absent' WHEN scenario = 'dropout' AND coalesce(trim(error), '') = '' THEN 'no_error' WHEN scenario <> 'dropout' AND coalesce(trim(error), '') <> '' THEN 'failed'
+  WHEN scenario <> 'dropout' AND trim(prediction) = '' THEN 'empty_transcript' END AS problem FROM samples) WHERE problem IS NOT NULL""")
+def smoke_predictions(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    return gates.smoke_problems(s.select("sample_id", (F.col("scenario") == "dropout").alias("fails")), s.where("line % 19 <> 0").withColumn("prediction_raw", F.col("prediction")))
+
+
+@query("""WITH b AS (SELECT (['clean', 'dropout', 'far_field', 'noise', 'noise', 'other'])[o_orderkey % 6 + 1] AS scenario, o_orderkey % 6 AS k, count(*) AS samples FROM orders GROUP BY 1, 2)
+SELECT scenario AS key, 'scenario' AS code FROM b WHERE scenario = 'other' UNION ALL SELECT scenario, 'samples' FROM b WHERE samples < 1 UNION ALL SELECT scenario, 'micro_cer' FROM b WHERE k IN (1, 2) UNION ALL SELECT scenario, 'digest' FROM b WHERE k = 3
+UNION ALL SELECT scenario, 'split' FROM b WHERE k = 4 UNION ALL SELECT 'noise', 'twice' UNION ALL SELECT 'reverb', 'absent'""")
+def pinned_baseline(spark, sf_dir):
+    k = F.col("k")
+    name = F.element_at(F.array(*[F.lit(s) for s in ("clean", "dropout", "far_field", "noise", "noise", "other")]), (k + 1).cast("int"))
+    b = V.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 6).alias("k")).agg(F.count("*").alias("samples"))
+    b = b.withColumns({
+        "scenario": name, "split": F.when(k == 4, "test").otherwise("val"), "parent": F.lit("base"), "micro_cer": F.when(k == 1, float("nan")).when(k == 2, -0.1).otherwise(0.05),
+        "manifest_sha256": F.when(k == 3, "abc").otherwise(F.sha2(k.cast("string"), 256)),
+    })
+    return gates.baseline_problems(b, "val", "base")

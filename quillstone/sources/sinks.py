@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def write_once(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file, or leave the old one: a file beside it is synced and takes its name. Any file system that Spark reaches."""
+    fs, target = _fs(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    out.write(bytearray(data))
+    out.hsync()
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark._sc._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context.rename(beside, target, options)
+
+
 def publish(parts: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
     """Write all parts, or none: into a staging folder that is renamed last. An existing target raises.
 

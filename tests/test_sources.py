@@ -181,3 +181,11 @@ def test_stream_reaches_the_batch_result(spark, tmp_path):
     sync = logs.sync_every(logs.watch(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "synced"), str(tmp_path / "cp2")).trigger(availableNow=True).start()
     sync.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "synced")).count() == 40
+
+
+def test_one_file_is_written_whole(spark, tmp_path):
+    path = tmp_path / "latest.json"
+    for data in (b'{"step": 1}', b'{"step": 20}'):
+        sinks.write_once(spark, str(path), data)
+        assert path.read_bytes() == data
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["latest.json"]
