@@ -65,14 +65,6 @@ def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """An equi-join condition on `keys` under which nulls match."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running_total(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], prefix: str = "before_") -> DataFrame:
     """Add `before_<name>`: the sum of each expression over all rows that sort earlier.
 

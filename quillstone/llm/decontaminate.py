@@ -247,16 +247,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` whose own text holds no benchmark item, whatever doc_id they share or lack.
 
     A row is known by a 64-bit hash of its doc_id and text; rows equal in both go or stay together.
-    Other columns stay as they are, under any name (`_hit` too). Null and empty texts stay; so
+    Other columns stay as they are, under any name. An item of one word, or any that a text
+    holds whole, counts however common it is. Null and empty texts stay; so
     does every row where the benchmark is empty.
     """
     key = F.xxhash64("doc_id", "text")
-    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.withColumn("_own key", key).join(hit.withColumnRenamed("_hit", "_own key"), "_own key", "left_anti").drop("_own key")
-
-
-#: The same, by the name that it had first.
-clean_rows = decontaminate
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(key.alias("key"), F.struct("*").alias("row")).join(hit, "key", "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import random
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from quillstone.llm.common import cut
 
-LETTER = re.compile(r"[^\W\d_]")
-PAD = 65535
+#: Letters are the characters of Unicode's category L: no digits, number signs, circled or superscript forms.
+LETTER = regex.compile(r"\p{L}")
+OTHERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 @dataclass
@@ -33,7 +34,7 @@ class Models:
     """Symbols of all characters of the samples by UTF-16 unit, and one automaton for each language."""
 
     langs: list[str]
-    symbols: np.ndarray  # uint16[65536]; 0 for characters that no sample holds
+    symbols: np.ndarray  # int32[65536]; 0 for characters that no sample holds
     steps: list[Automaton]
     scale: list[float]  # bits that a phrase costs
 
@@ -110,8 +111,8 @@ def packed(text: np.ndarray, width: int, tries: int = 48) -> Automaton:
 
 
 def clean(text: str) -> str:
-    """Lower case, every run of characters that aren't letters one space."""
-    return re.sub(r"[\W\d_]+", " ", text.lower())
+    """Lower case, every run of characters that are neither letters nor their marks one space."""
+    return OTHERS.sub(" ", text.lower())
 
 
 def _run(text: str, length: int) -> str:
@@ -138,7 +139,7 @@ def train(texts: dict[str, list[str]], chars: int = 24_000) -> Models:
         if LETTER.search(text := " ".join(runs)):
             joined[lang] = text
     units = {k: np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for k, t in joined.items()}
-    symbols = np.zeros(65536, np.uint16)
+    symbols = np.zeros(65536, np.int32)
     known = np.unique(np.concatenate([np.zeros(0, np.uint16), *units.values()]))
     symbols[known] = np.arange(1, len(known) + 1)
     steps = [packed(symbols[u], len(known) + 1) for u in units.values()]
@@ -157,42 +158,75 @@ def _follow(step: Automaton, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
 
 
 def phrases(texts: list[str], models: Models, segment: int = 1024) -> np.ndarray:
-    """Phrases [text, language] of the greedy parse of each text into longest matches.
+    """Phrases [text, language] of the greedy parse of each whole text into longest matches.
 
-    Texts are cut into segments, whose parses start anew, and all segments step together. A
-    phrase ends where the automaton has no continuation; that character begins the next.
+    A phrase ends where the automaton has no continuation; that character begins the next. Texts
+    are cut into segments, and all segments step together, each as if a phrase began with it.
+    Then every segment is parsed once more from the state in which the one before ends, until it meets its own
+    earlier course, mostly after a phrase or two; one that never does passes its new end on.
     """
     coded = [_units(t, models.symbols) for t in texts]
-    counts = [-(-len(c) // segment) for c in coded]
+    counts = np.array([-(-len(c) // segment) for c in coded], np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
-    grid = np.full((len(owner), segment), PAD, np.uint16)
+    grid = np.zeros((len(owner), segment), np.int32)
+    filled = np.full(len(owner), segment, np.int64)
     at = 0
     for c, n in zip(coded, counts):
         grid[at : at + n].reshape(-1)[: len(c)] = c
+        if n:
+            filled[at + n - 1] = len(c) - (n - 1) * segment
         at += n
-    filled = (grid != PAD).sum(axis=1)
     order = np.argsort(-filled, kind="stable")
     columns = np.ascontiguousarray(grid[order].T)
-    live = np.searchsorted(-filled[order], -np.arange(segment), side="left")
+    size = filled[order]
+    live = np.searchsorted(-size, -np.arange(segment), side="left")
+    lane = np.empty(len(order), np.int64)
+    lane[order] = np.arange(len(order))
+    later = np.r_[owner[1:] == owner[:-1], np.zeros(min(1, len(owner)), bool)]  # segments that another follows
+    follower = np.full(len(order), -1)
+    follower[lane[np.flatnonzero(later)]] = lane[np.flatnonzero(later) + 1]
+    leader = np.full(len(order), -1)
+    leader[follower[follower >= 0]] = np.flatnonzero(follower >= 0)
     out = np.zeros((len(texts), len(models.langs)))
+    course = np.empty((segment, len(order)), np.int32)
+    begun = np.zeros((segment, len(order)), bool)
+    every = np.arange(int(models.symbols.max()) + 1)
     for k, step in enumerate(models.steps):
-        every = np.arange(int(models.symbols.max()) + 1)
         start = _follow(step, np.ones(len(every), np.int32), every)
-        state = np.ones(len(owner), np.int32)
-        n = np.zeros(len(owner), np.int32)
-        for pos in range(segment):
-            m = live[pos]
-            if not m:
-                break
-            sym = columns[pos, :m]
-            nxt = _follow(step, state[:m], sym)
+
+        def move(state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The next states, and where a phrase begins."""
+            nxt = _follow(step, state, sym)
             ended = nxt == 0
-            n[:m] += ended | (state[:m] == 1)  # a phrase begins here
             again = np.flatnonzero(ended)
             fresh = start[sym[again]]
             nxt[again] = np.where(fresh == 0, 1, fresh)
-            state[:m] = nxt
-        np.add.at(out[:, k], owner[order], n)
+            return nxt, ended | (state == 1)
+
+        state = np.ones(len(order), np.int32)
+        for pos in range(segment):
+            m = live[pos]
+            if not m:
+                break
+            state[:m], begun[pos, :m] = move(state[:m], columns[pos, :m])
+            course[pos, :m] = state[:m]
+        todo = np.flatnonzero(leader >= 0)
+        while len(todo):
+            state, lanes, changed = course[size[leader[todo]] - 1, leader[todo]], todo, []
+            for pos in range(segment):
+                inside = pos < size[lanes]
+                changed.append(lanes[~inside])
+                lanes, state = lanes[inside], state[inside]
+                if not len(lanes):
+                    break
+                state, begun[pos, lanes] = move(state, columns[pos, lanes])
+                apart = state != course[pos, lanes]
+                lanes, state = lanes[apart], state[apart]
+                course[pos, lanes] = state
+            changed.append(lanes)
+            todo = follower[np.concatenate(changed)]
+            todo = np.unique(todo[todo >= 0])
+        np.add.at(out[:, k], owner[order], (begun & (np.arange(segment)[:, None] < size)).sum(axis=0))
     return out
 
 

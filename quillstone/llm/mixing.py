@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import WORD, cut, null_safe, running_total
+from quillstone.llm.common import WORD, cut, running_total
 
-UNIT = ["doc_id", "source", "size"]
+#: Rows alike in all of these are a unit; `h` is a hash of the text.
+UNIT = ["doc_id", "source", "size", "h"]
 
 
 def word_count(text: str = "text"):
@@ -105,82 +106,110 @@ def _hand_down(rows: list[list], base: list[int], hand: list, up: bool) -> None:
 
 
 def pivotal_tree(units: DataFrame, chunk: int, fan_in: int, seed: int) -> DataFrame:
-    """Whole copies for `units(doc_id, source, size, m, units, copies, p)`.
+    """How many of its m rows each of `units(doc_id, source, size, h, m, units, copies, p)` rounds up: rows (*UNIT, up).
 
-    Leaves of about `chunk` units of one source are rounded on their own and leave at most one
-    open unit each; these meet `fan_in` at a time, level by level, until each source has one,
-    which goes to the nearer whole number. A source with many units has many leaves, so none is one task's work.
+    Of m equal rows of fraction p, floor(m p) go up and one row stands for what is left, so a group of copies
+    is rounded like as many single rows. Leaves of about `chunk` such rows of one source are rounded on their own
+    and leave at most one open row each; these meet `fan_in` at a time, level by level, until each source has
+    one, which goes to the nearer whole number. A source with many units has many leaves, so none is one task's work.
     """
     leaves = F.greatest(F.ceil(F.col("units") / chunk), F.lit(1))
-    schema = "doc_id long, source string, size long, m long, leaf long, copies long, p double, open boolean"
+    schema = "doc_id long, source string, size long, h long, leaf long, base long, copies long, p double, open boolean"
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [f"{d}:{s}:{k}" for d, s, k in zip(pdf["doc_id"], pdf["source"], pdf["size"])]
-        rows = [[k, int(s) * int(m), int(c), float(p), True] for k, s, m, c, p in zip(keys, pdf["size"], pdf["m"], pdf["copies"], pdf["p"])]
+        keys = [f"{d}:{s}:{k}:{h}" for d, s, k, h in zip(pdf["doc_id"], pdf["source"], pdf["size"], pdf["h"])]
+        rows = [[k, int(s), int(c), float(p), True] for k, s, c, p in zip(keys, pdf["size"], pdf["copies"], pdf["p"])]
         _pivotal(list(rows), seed)
         pdf = pdf.copy()
         pdf["copies"], pdf["p"], pdf["open"] = [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows]
         return pdf
 
-    fixed = F.col("p").between(1e-9, 1 - 1e-9) & (F.col("size") > 0)
+    weightless = F.when(F.col("p") > 0.5, F.col("m")).otherwise(F.lit(0))
+    whole = F.floor(F.col("m") * F.col("p") + 1e-9)
+    units = units.withColumn("base", F.when(F.col("size") > 0, whole).otherwise(weightless).cast("long"))
+    left = F.when(F.col("size") > 0, F.col("m") * F.col("p") - F.col("base")).otherwise(F.lit(0.0))
+    units = units.withColumn("p", left)
+    fixed = F.col("p").between(1e-9, 1 - 1e-9)
     todo = units.where(fixed).select(
-        *UNIT, "m", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), leaves).alias("leaf"), "copies", "p", F.lit(True).alias("open")
+        *UNIT, F.pmod(F.xxhash64("doc_id", "size", "h", F.lit(seed)), leaves).alias("leaf"), "base", F.col("base").alias("copies"), "p", F.lit(True).alias("open")
     )
-    still = units.where(~fixed).select(*UNIT, "m", (F.col("copies") + (F.col("p") > 0.5).cast("long")).alias("copies"))
     widest = units.agg(F.max(leaves)).first()[0] or 1
-    done = [still]
+    done = [units.where(~fixed).select(*UNIT, F.col("base").alias("up"))]
     while True:
         level = cut(todo.groupBy("source", "leaf").applyInPandas(settle, schema))
-        done.append(level.where(~F.col("open")).select(*UNIT, "m", "copies"))
+        done.append(level.where(~F.col("open")).select(*UNIT, F.col("copies").alias("up")))
         todo = level.where("open").withColumn("leaf", F.floor(F.col("leaf") / fan_in))
         if widest == 1:
             break
         widest = -(-widest // fan_in)
-    # the one unit that a source may have left goes to the nearer whole number
-    done.append(todo.select(*UNIT, "m", (F.col("copies") + (F.col("p") >= 0.5).cast("long")).alias("copies")))
+    # the one row that a source may have left goes to the nearer whole number
+    done.append(todo.select(*UNIT, (F.col("copies") + (F.col("p") >= 0.5).cast("long")).alias("up")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """`rows(unit, row, m, up, ...)` with `more`: true for `up` of the m rows of each unit, for units of which some but not all go up.
+
+    Equal rows are numbered by the task that holds them and within it, so a large unit is numbered in many tasks.
+    """
+    rows = cut(rows.withColumn("part", F.spark_partition_id()))
+    key = ["unit", "part"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*key, before.alias("before"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("part"))
+    return rows.join(counts, key).withColumn("more", number + F.col("before") <= F.col("up")).drop("part", "before")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, chunk: int = 2048, fan_in: int = 64, seed: int = 42
 ) -> DataFrame:
     """`docs` with size, source_size, target and copies (how often the mix takes the row).
 
     A row's expected copies are its source's target over its source's size: the whole part is
-    taken, the fraction is rounded by `pivotal_tree`. Rows alike in (doc_id, source, size)
-    share one decision; null texts have size 0; rows of size 0 have no weight and take the
-    nearest whole number of copies; null sources are one source; an empty table gives an empty
-    one. Other columns pass through, except that input columns named like an added one go.
+    taken, the fraction is rounded by `pivotal_tree`. Of rows alike in (doc_id, source, text), as
+    many are rounded up as their fractions make; which of them is open, as they are alike. Null texts have
+    size 0; rows of size 0 have no weight and take the nearest whole number of copies; null
+    sources are one source; an empty table gives an empty one. Other columns pass through under
+    any name, except that input columns named like an added one go.
     """
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count())
-    units = cut(docs.groupBy(*UNIT).agg(F.count("*").alias("m")))
+    added = ("size", "source_size", "target", "copies")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), F.xxhash64("text").alias("h"))
+    out = mix_sized(rows, weights, max_repeat, chunk, fan_in, seed)
+    return out.select("row.*", *added)
+
+
+def mix_sized(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, chunk: int = 2048, fan_in: int = 64, seed: int = 42) -> DataFrame:
+    """As `mix_sources`, for `rows(row, doc_id, source, size, h)` whose words are counted: (row, *UNIT, source_size, target, copies)."""
+    units = cut(rows.groupBy(*UNIT).agg(F.count("*").alias("m")))
     targets = cut(source_targets(units, weights, max_repeat))
     targets = targets.withColumnRenamed("source", "_src")
     rated = units.join(targets, F.col("source").eqNullSafe(F.col("_src")))
     expect = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    rated = rated.withColumns({"copies": F.floor(expect), "p": expect - F.floor(expect)})
-    decided = pivotal_tree(rated, chunk, fan_in, seed)
-    decided = decided.join(targets, F.col("source").eqNullSafe(F.col("_src"))).select(
-        *[F.col(c).alias(f"_{c}") for c in UNIT], "source_size", "target", "copies"
-    )
-    same = F.lit(True)
-    for c in UNIT:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return docs.join(decided, same).drop(*[f"_{c}" for c in UNIT])
+    rated = cut(rated.withColumns({"copies": F.floor(expect), "p": expect - F.floor(expect)}).drop("_src"))
+    unit = F.struct(*UNIT).alias("unit")
+    decided = pivotal_tree(rated, chunk, fan_in, seed).select(unit, "up")
+    rated = rated.select(unit, "m", "source_size", "target", "copies")
+    decided = cut(rated.join(decided.withColumnRenamed("unit", "_unit"), F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit"))
+    every = rows.select("row", unit).join(decided.withColumnRenamed("unit", "_unit"), F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit")
+    alike = every.where("up = 0 OR up = m").withColumn("more", F.col("up") > 0)
+    if not decided.where("up > 0 AND up < m").isEmpty():
+        alike = alike.unionByName(_dealt(every.where("up > 0 AND up < m")))
+    return alike.select("row", "unit.*", "source_size", "target", (F.col("copies") + F.col("more").cast("long")).alias("copies"))
 
 
 def take(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, without the added columns."""
-    rows = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.drop("_copy", "size", "source_size", "target", "copies")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    return mixed.where("copies > 0").select(F.struct(*kept).alias("row"), again).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = mix_sources(docs)
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.lit(None).cast("int").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), F.xxhash64("text").alias("h"))
+    return mix_sized(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

@@ -238,21 +238,21 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     It is the row with the smallest doc_id, rows without one last, and among equals the smallest
     hash of the text. A row is known by its doc_id and that hash, so equal doc_ids, or none, in
-    several groups don't meet; of rows equal in both one stays.
+    several groups don't meet; of rows equal in both one stays. Other columns pass through under any name.
     """
-    prints = fingerprints(docs.withColumn("_hash", F.xxhash64("text")), also=("_hash",))
-    copies = prints.groupBy("fp", "doc_id", "_hash").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), "_hash", "n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    prints = fingerprints(rows.select("doc_id", "hash", F.col("row.text").alias("text")), also=("hash",))
+    copies = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n"))
     nodes = cut(copies.groupBy("fp").agg(first.alias("first")))
-    firsts = cut(rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    firsts = cut(rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept"), F.col("first.hash").alias("kept_hash"), F.col("first.n").alias("n")))
     once, more = firsts.where("n = 1"), firsts.where("n > 1")
-    on = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(once, on, "left_semi")
+    on = F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash"))
+    kept = rows.join(once, on, "left_semi").select("row")
     if not more.isEmpty():
-        rows = docs.join(more, on, "left_semi").select(F.struct("*").alias("_row"))
-        one = rows.groupBy("_row.doc_id", F.xxhash64("_row.text")).agg(F.first("_row").alias("_row"))
-        kept = kept.unionByName(one.select("_row.*"))
-    return kept
+        one = rows.join(more, on, "left_semi").groupBy("doc_id", "hash").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -103,8 +103,8 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_doc_id(spark):
     rows = [(None, item, "a"), (None, "clean", "b"), (None, None, "c"), (3, f"Say: {item}!", "d"), (3, "again", "e"), (3, "again", "f"), (4, "", "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
-    assert sorted(r.source for r in dc.clean_rows(docs, items).collect()) == ["b", "c", "e", "f", "g"]
-    assert dc.clean_rows(docs, items.limit(0)).count() == len(rows)
+    assert sorted(r.source for r in dc.decontaminate(docs, items).collect()) == ["b", "c", "e", "f", "g"]
+    assert dc.decontaminate(docs, items.limit(0)).count() == len(rows)
 
 
 def test_the_pipeline_stage_keeps_clean_rows(spark, tmp_path):
@@ -119,4 +119,5 @@ def test_clashing_column_names_stay(spark):
     item = "one two three four five six seven eight"
     docs = spark.createDataFrame([(1, item, "a"), (2, "clean", "b")], "doc_id long, text string, _hit string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
-    assert [tuple(r) for r in dc.decontaminate(docs, items).collect()] == [(2, "clean", "b")]
+    for name in ("_hit", "_own key", "key", "row"):
+        assert [tuple(r) for r in dc.decontaminate(docs.withColumnRenamed("_hit", name), items).collect()] == [(2, "clean", "b")]

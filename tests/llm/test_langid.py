@@ -99,3 +99,31 @@ def test_samples_reach_beyond_a_shared_header(spark):
     models = langid.train(langid.sample_texts(spark.createDataFrame(rows, "lang string, text string")))
     got = langid.phrases([bodies["de"], bodies["en"]], models)
     assert [models.langs[k] for k in got.argmin(axis=1)] == ["de", "en"]
+
+
+def test_whole_text_is_one_parse():
+    draw = np.random.default_rng(4)
+    words = "the cat and dog sat on mat with another hund die katze sitzen auf der matte zzz".split()
+    long = " ".join(draw.choice(words, 6000))  # about 30,000 characters
+    models = langid.train(TEXTS)
+    texts = [long, "the cat", "", long[:2048], long[:2049], "\u4e00" * 3000, "the cat and the dog " * 500]
+    for segment in (1024, 64, 7):
+        got = langid.phrases(texts, models, segment)
+        for k, lang in enumerate(models.langs):
+            share = max(64, 24_000 // 3)
+            source = " ".join(langid.clean(p)[:share] for p in TEXTS[lang])
+            assert got[:, k].tolist() == [parse(t, source) for t in texts]
+
+
+def test_texts_without_a_letter_are_und(spark):
+    texts = ["\u00bd \u00b2", "\u2460", "\u0663", "12 3", "_", "\u0301", "\U0001f600", "x", "\u00e9", "12 katze"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(docs, langid.train(TEXTS)).collect()}
+    assert [got[k] == "und" for k in range(len(texts))] == [True] * 7 + [False] * 3
+
+
+def test_any_number_of_symbols():
+    every = "".join(c for c in map(chr, range(0x3400, 0x9FFF)) if c.isalpha())
+    text = every + " " + every[::-1]
+    models = langid.train({"zz": [text], "en": TEXTS["en"]}, chars=100_000)
+    assert langid.phrases([every[:5000], every[500:9000]], models)[:, models.langs.index("zz")].tolist() == [1, 1]

@@ -89,3 +89,40 @@ def test_edges(spark):
     assert by["  \x0b"]["size"] == 1
     assert all(r["copies"] <= 3 and r.source_size >= r["size"] for r in got)
     assert sum(r.lang == "en" for r in got) == 1
+
+
+def _words(n):
+    return " ".join(["w"] * n)
+
+
+def test_repeated_rows_are_rounded_one_by_one(spark):
+    # source a is one row a hundred times; source b has single rows
+    rows = [(7, _words(10), "a")] * 100 + [(100 + k, _words(10), "b") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for again in (docs, docs.repartition(7)):
+        mixed = mixing.mix_sources(again).collect()
+        assert len(mixed) == 110
+        for source in "ab":
+            own = [r for r in mixed if r.source == source]
+            assert abs(sum(r["copies"] * r["size"] for r in own) - own[0].target) <= 10
+            assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+
+
+def test_rows_without_doc_id_are_rounded_one_by_one(spark):
+    rows = [(None, _words(10), "a")] * 300 + [(k, _words(5 + k), "a") for k in range(20)] + [(1000 + k, _words(7), "b") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    first = mixing.mix_sources(docs).collect()
+    for source, near in (("a", 24), ("b", 7)):
+        own = [r for r in first if r.source == source]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0].target) <= near
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source, r["copies"])
+    assert sorted(map(key, first)) == sorted(map(key, mixing.mix_sources(docs.repartition(3)).collect()))
+
+
+def test_clashing_names(spark):
+    rows = [(k, _words(3), "s", "x") for k in range(9)] + [(0, _words(3), "s", "x")]
+    for name in ("_doc_id", "_size", "unit", "row", "part", "m", "up", "h", "more", "`a.b`"):
+        mixed = mixing.mix_sources(spark.createDataFrame(rows, f"doc_id long, text string, source string, {name} string"))
+        assert mixed.columns == ["doc_id", "text", "source", name.strip("`"), "size", "source_size", "target", "copies"]
+        if name in ("_doc_id", "unit", "`a.b`"):
+            assert mixed.count() == 10 and mixing.take(mixed).columns == ["doc_id", "text", "source", name.strip("`")]

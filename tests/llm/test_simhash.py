@@ -129,8 +129,11 @@ def test_rows_are_judged_one_by_one(spark):
     words = {w: " ".join(f"{w}{k}" for k in range(9)) for w in "abcd"}
     rows = [(3, "a"), (7, "a"), (7, "b"), (9, "b"), (9, "c"), (9, "d")]
     docs = spark.createDataFrame([(k, words[w], w) for k, w in rows], "doc_id long, text string, _kept string")
-    kept = simhash.keep_one(docs.withColumnRenamed("_kept", "w")).collect()
-    assert sorted((r.doc_id, r.w) for r in kept) == [(3, "a"), (7, "b"), (9, "c"), (9, "d")]
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r.doc_id, r._kept) for r in kept) == [(3, "a"), (7, "b"), (9, "c"), (9, "d")]
+    for name in ("_hash", "fp", "row", "hash", "n", "root", "kept"):
+        again = simhash.keep_one(docs.withColumnRenamed("_kept", name))
+        assert again.columns == ["doc_id", "text", name] and again.count() == 4
 
 
 def test_components_of_a_hub(spark):
