@@ -6,32 +6,47 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillstone.functions.text import is_blank, normalize
 
 # The band of a reference in which audio is dropped, both ends included.
 GAP_LOW, GAP_HIGH = 0.40, 0.55
+OPS = ("match", "substitute", "delete", "insert")
 
 
-def distance_table(ref: Sequence, hyp: Sequence) -> np.ndarray:
-    """Unit-cost edit distances of all prefixes, one vectorised row at a time.
+def _columns(ref: Sequence, hyp: Sequence) -> list[tuple[int, int, int, int]]:
+    """For each column of the distance table the bits of its steps: down by +1, down by -1, across by +1, across by -1.
 
-    Within a row, an insertion chain is a running minimum of cost minus position.
+    Bit i - 1 is row i's. A column follows from the one before by a dozen operations on whole
+    numbers of as many bits as the reference has tokens, instead of one cell at a time.
     """
-    codes: dict = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in ref], np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], np.int64)
-    at = np.arange(len(b) + 1)
-    table = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    table[0] = at
-    for i, token in enumerate(a):
-        row = np.r_[table[i, 0] + 1, np.minimum(table[i, :-1] + (b != token), table[i, 1:] + 1)]
-        table[i + 1] = np.minimum.accumulate(row - at) + at
-    return table
+    mask = (1 << len(ref)) - 1
+    where: dict = {}
+    for i, t in enumerate(ref):
+        where[t] = where.get(t, 0) | 1 << i
+    up, down = mask, 0
+    out = [(up, down, 0, 0)]
+    for t in hyp:
+        same = where.get(t, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right, left = down | (mask & ~(level | up)), level & up
+        over = (right << 1) | 1  # the first row rises by one in each column
+        up, down = mask & ((left << 1) | ~(level | over)), mask & level & over
+        out.append((up, down, right & mask, left & mask))
+    return out
+
+
+def edit_distance(ref: Sequence, hyp: Sequence) -> int:
+    """Unit-cost edit distance."""
+    last = len(ref) - 1
+    if last < 0:
+        return len(hyp)
+    return len(ref) + sum((c[2] >> last & 1) - (c[3] >> last & 1) for c in _columns(ref, hyp)[1:])
 
 
 def align(ref: Sequence, hyp: Sequence) -> list[tuple[str, int, int]]:
@@ -41,23 +56,35 @@ def align(ref: Sequence, hyp: Sequence) -> list[tuple[str, int, int]]:
     insertion has the index of the reference token still ahead, a deletion that of the
     hypothesis.
     """
-    table = distance_table(ref, hyp)
-    i, j, out = len(ref), len(hyp), []
+    codes, refs, hyps = aligned(ref, hyp)
+    return [(OPS[c], i, j) for c, i, j in zip(codes, refs, hyps)]
+
+
+def aligned(ref: Sequence, hyp: Sequence) -> tuple[list[int], list[int], list[int]]:
+    """The operations of `align` as three lists: number of the operation, ref_index, hyp_index."""
+    columns = _columns(ref, hyp)
+    i, j = len(ref), len(hyp)
+    codes, refs, hyps = [], [], []
     while i or j:
-        here = table[i, j]
-        if i and j and ref[i - 1] == hyp[j - 1] and here == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("match", i, j))
-        elif i and j and here == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("substitute", i, j))
-        elif i and here == table[i - 1, j] + 1:
-            i -= 1
-            out.append(("delete", i, j))
+        if i and j:
+            up, _, right, left = columns[j]
+            before = columns[j - 1]
+            at = i - 1
+            # what the diagonal step adds: across in this row, then down in the column before
+            step = (right >> at & 1) - (left >> at & 1) + (before[0] >> at & 1) - (before[1] >> at & 1)
+            if ref[at] == hyp[j - 1] and step == 0:
+                code = 0
+            elif step == 1:
+                code = 1
+            else:
+                code = 2 if up >> at & 1 else 3
         else:
-            j -= 1
-            out.append(("insert", i, j))
-    return out[::-1]
+            code = 2 if i else 3
+        i, j = i - (code != 3), j - (code != 2)
+        codes.append(code)
+        refs.append(i)
+        hyps.append(j)
+    return codes[::-1], refs[::-1], hyps[::-1]
 
 
 def in_gap(index: int, length: int) -> bool:
@@ -68,21 +95,25 @@ OP = StructType([StructField("op", StringType()), StructField("ref_index", Integ
 BOTH = StructType([StructField("chosen", StringType()), StructField("rejected", StringType())])
 
 
-@pandas_udf(ArrayType(OP))
-def align_chars(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Alignment operations of two texts by code point; null if either is null."""
-    return pd.Series(
-        [
-            None if a is None or b is None else [{"op": o, "ref_index": i, "hyp_index": j} for o, i, j in align(a, b)]
-            for a, b in zip(ref, hyp)
-        ]
-    )
+@arrow_udf(ArrayType(OP))
+def align_chars(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Alignment operations of two texts by code point; null if either is null. Equal pairs of a batch are aligned once."""
+    known: dict = {}
+    picked: list[int | None] = []
+    for a, b in zip(ref.to_pylist(), hyp.to_pylist()):
+        picked.append(None if a is None or b is None else known.setdefault((a, b), len(known)))
+    found = [tuple(np.array(x, np.int32) for x in aligned(a, b)) for a, b in known]
+    flat = [np.concatenate([found[k][c] for k in picked if k is not None] or [np.zeros(0, np.int32)]) for c in range(3)]
+    ends = np.cumsum([0, *[0 if k is None else len(found[k][0]) for k in picked]])
+    names = pa.DictionaryArray.from_arrays(pa.array(flat[0]), pa.array(OPS)).cast(pa.string())
+    ops = pa.StructArray.from_arrays([names, pa.array(flat[1]), pa.array(flat[2])], [f.name for f in OP])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ops, mask=pa.array([k is None for k in picked]))
 
 
 @pandas_udf(IntegerType())
 def token_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edit distance of two token arrays."""
-    return pd.Series([None if a is None or b is None else int(distance_table(list(a), list(b))[-1, -1]) for a, b in zip(ref, hyp)], dtype="Int32")
+    return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(ref, hyp)], dtype="Int32")
 
 
 def gap_insertions(ops: Column, ref_length: Column) -> Column:

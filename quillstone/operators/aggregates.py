@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import maths
+from quillstone.shared import cut
 
 RATES = {
     "empty_rate": "empty_output", "repeated_rate": "repeated_output", "long_rate": "long_output",
@@ -216,27 +217,95 @@ def cluster_sums(rows: DataFrame, cluster: str, edits: Sequence[str], refs: str)
     return rows.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in edits], F.sum(refs).alias(refs))
 
 
-def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: str, refs: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+SLICE = 1 << 18
+
+
+def generator_slice(seed: int, number: int, n: int) -> np.ndarray:
+    """The integers below n (at most 2^32) that slice `number` of SLICE 32-bit outputs of NumPy's generator gives.
+
+    `default_rng(seed).integers(0, n)` takes 32-bit halves of PCG64's outputs, the lower first, multiplies
+    each by n and keeps the upper half of the product, unless the lower half is one of the 2^32 mod n
+    smallest, when the output is passed over. PCG64 jumps ahead, so any slice is made on its own.
+    """
+    generator = np.random.PCG64(seed).advance(number * SLICE // 2)
+    halves = generator.random_raw(SLICE // 2).astype("<u8").view("<u4").astype(np.uint64)
+    product = halves * np.uint64(n)
+    return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)].astype(np.int64)
+
+
+def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: str, refs: str, draws: int = 2000, seed: int = 42, held: int = 1_000_000) -> DataFrame:
     """(comparison, delta, low, high): the ratio b - a over refs and its 2.5 and 97.5 percentiles.
 
-    Clusters are resampled by NumPy's generator in cluster order. A comparison's clusters are one
-    group: it has one row a cluster, as `cluster_sums` makes it. Draws are made some at a time, in
-    the order of one array of them all, so memory grows with the clusters alone.
+    Clusters are resampled as `default_rng(seed).integers(0, n, (draws, n))` does, in cluster order, in
+    many tasks: the generator's outputs are cut into slices, each made by jumping ahead. What a
+    slice accepts is counted first, as an output that is passed over moves all later ones. Up to `held` clusters in all, their
+    sums are sent to the tasks; of more, picks are counted and joined to them.
     """
+    from quillstone.operators.windows import global_index
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster)
-        x, y, r = (pdf[c].to_numpy(float) for c in (a, b, refs))
-        n = len(pdf)
-        deltas = []
-        generator, step = np.random.default_rng(seed), max(1, 5_000_000 // n)
-        for at in range(0, draws, step):
-            rows = generator.integers(0, n, size=(min(step, draws - at), n))
-            deltas.append((y[rows].sum(axis=1) - x[rows].sum(axis=1)) / r[rows].sum(axis=1))
-        low, high = np.percentile(np.concatenate(deltas), [2.5, 97.5])
-        return pd.DataFrame({comparison: [pdf[comparison].iloc[0]], "delta": [(y.sum() - x.sum()) / r.sum()], "low": [low], "high": [high]})
-
-    return sums.groupBy(comparison).applyInPandas(resample, f"{comparison} string, delta double, low double, high double")
+    placed = global_index(sums.select(comparison, cluster, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(refs).cast("double").alias("_r")), [comparison, cluster], "_g")
+    sizes = placed.groupBy(comparison).agg(F.count("*").alias("_n"), F.min("_g").alias("_first"), ratio(F.sum("_b") - F.sum("_a"), F.sum("_r")).alias("delta"))
+    sizes = cut(sizes.withColumn("_wanted", F.col("_n") * draws))
+    placed = cut(placed.join(sizes.select(comparison, "_first"), comparison).withColumn("_i", F.col("_g") - F.col("_first")).drop("_g", "_first"))
+    # room for what is passed over: at worst every second output, in fact one in 2^32 / n
+    share = (F.lit(1 << 32) - F.lit(1 << 32) % F.col("_n")) / F.lit(float(1 << 32))
+    slices = F.ceil(F.col("_wanted") / share / SLICE * 1.05) + 1
+    todo = sizes.select(comparison, "_n", "_wanted", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long"))).alias("_s"))
+    todo = todo.repartition(comparison, "_s")
+    kind = dict(sums.dtypes)[comparison]
+
+    def accepted(batches):
+        for pdf in batches:
+            yield pdf.assign(_k=[len(generator_slice(seed, int(s), int(n))) for s, n in zip(pdf["_s"], pdf["_n"])])
+
+    counted = todo.mapInPandas(accepted, f"{comparison} {kind}, _n long, _wanted long, _s long, _k long")
+    # one row a slice
+    before = Window.partitionBy(comparison).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut(counted.withColumn("_at", F.coalesce(F.sum("_k").over(before), F.lit(0))))
+    short = counted.groupBy(comparison, "_wanted").agg(F.sum("_k").alias("k")).where(F.col("k") < F.col("_wanted"))
+    if not short.isEmpty():
+        raise ValueError("more outputs were passed over than there was room for")
+    used = counted.where(F.col("_at") < F.col("_wanted")).repartition(comparison, "_s")
+    few = placed.count() <= held
+    spark = sums.sparkSession
+    shared = None
+    if few:
+        table = placed.select(comparison, "_i", (F.col("_b") - F.col("_a")).alias("d"), "_r").orderBy(comparison, "_i").toPandas()
+        shared = spark.sparkContext.broadcast({k: (g["d"].to_numpy(), g["_r"].to_numpy()) for k, g in table.groupby(comparison)})
+
+    def picks(pdf: pd.DataFrame):
+        for key, n, wanted, s, at in zip(pdf[comparison], pdf["_n"], pdf["_wanted"], pdf["_s"], pdf["_at"]):
+            n, at = int(n), int(at)
+            index = generator_slice(seed, int(s), n)[: int(wanted) - at]
+            yield key, n, (at + np.arange(len(index))) // n, index
+
+    def summed(batches):
+        for pdf in batches:
+            for key, _, draw, index in picks(pdf):
+                d, r = shared.value[key]
+                low = int(draw[0]) if len(draw) else 0
+                yield pd.DataFrame({comparison: key, "draw": np.arange(low, low + int(draw[-1]) - low + 1), "d": np.bincount(draw - low, d[index]), "r": np.bincount(draw - low, r[index])})
+
+    def listed(batches):
+        for pdf in batches:
+            for key, n, draw, index in picks(pdf):
+                at, m = np.unique(draw * n + index, return_counts=True)
+                yield pd.DataFrame({comparison: key, "draw": at // n, "_i": at % n, "m": m})
+
+    if few:
+        sums_of = used.mapInPandas(summed, f"{comparison} {kind}, draw long, d double, r double")
+    else:
+        met = used.mapInPandas(listed, f"{comparison} {kind}, draw long, _i long, m long").join(placed, [comparison, "_i"])
+        sums_of = met.select(comparison, "draw", (F.col("m") * (F.col("_b") - F.col("_a"))).alias("d"), (F.col("m") * F.col("_r")).alias("r"))
+    deltas = sums_of.groupBy(comparison, "draw").agg((F.sum("d") / F.sum("r")).alias("x"))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = np.percentile(pdf["x"].to_numpy(), [2.5, 97.5])
+        return pd.DataFrame({comparison: [pdf[comparison].iloc[0]], "low": [low], "high": [high]})
+
+    # `draws` rows each
+    limits = deltas.groupBy(comparison).applyInPandas(ends, f"{comparison} {kind}, low double, high double")
+    return sizes.select(comparison, "delta").join(limits, comparison)
 
 
 def bootstrap_hashed(sums: DataFrame, cluster: str, a: str, b: str, refs: str, draws: int = 200, seed: int = 42) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import first_of, is_blank
+from quillstone.shared import cut
 
 
 class ContractError(ValueError):
@@ -72,21 +74,125 @@ def missing_either(left: DataFrame, right: DataFrame, key: str, left_code: str,
     return gone.where("reason is not null").unionByName(right.where("_n > 1").select(key, F.lit(duplicate_code).alias("reason")))
 
 
-def interval_overlaps(intervals: DataFrame, group: str, owner: str, eps: float, width: float) -> DataFrame:
+_REACH = "grp string, part int, far1 double, own1 string, far2 double, near1 double, nown1 string, near2 double"
+
+
+class _Two:
+    """The best value so far and the best of any other owner; `better` is max or min."""
+
+    def __init__(self, better) -> None:
+        self.better, self.best, self.owner, self.other = better, None, None, None
+
+    def add(self, value: float | None, owner: str | None) -> None:
+        if value is None:
+            return
+        if self.best is None or owner == self.owner:
+            self.best, self.owner = value if self.best is None else self.better(self.best, value), owner
+        elif self.better(value, self.best) == value:
+            self.best, self.owner, self.other = value, owner, self.best
+        else:
+            self.other = value if self.other is None else self.better(self.other, value)
+
+    def of_others(self, owner: str) -> float | None:
+        return self.other if owner == self.owner else self.best
+
+
+def interval_overlaps(intervals: DataFrame, group: str, owner: str, eps: float) -> DataFrame:
     """Ids (distinct) of `intervals(id, group, owner, xmin, xmax)` that another owner's overlaps by more than `eps`.
 
-    A theta join as an equi-join on (group, time bin): an interval enters every bin of `width`
-    it touches. Overlap of at least eps >= 0 puts both in a common bin. The exact residual
-    least(xmax) - greatest(xmin) > eps decides, so intervals shorter than eps never match.
+    A sweep in order of the starts instead of a join: an interval is met by one that starts before it
+    if the farthest end of another owner lies more than eps behind its start, and by one that starts
+    after it if the next start of another owner lies more than eps before its end. Rows are dealt by
+    range of (group, start), so a group may lie in many tasks; what crosses their borders is the two
+    farthest ends, and the two nearest starts, of two owners: two rows a task at most, sent to all of them.
+    Each task streams its rows and keeps only those still waiting for a start of another owner.
+    Intervals of eps or less match nothing; rows with a null group, owner or time neither.
     """
     if eps < 0:
         raise ValueError("eps must not be negative")
-    bins = F.explode(F.sequence(F.floor(F.col("xmin") / width), F.floor(F.greatest("xmax", "xmin") / width)))
-    binned = intervals.where(F.col("xmax") - F.col("xmin") > eps).select("id", group, owner, "xmin", "xmax", bins.alias("_bin"))
-    other = binned.select(F.col(group), "_bin", F.col(owner).alias("_o"), F.col("xmin").alias("_a"), F.col("xmax").alias("_b"))
-    meets = (binned[group] == other[group]) & (binned["_bin"] == other["_bin"]) & (F.col(owner) != F.col("_o"))
-    deep = F.least("xmax", "_b") - F.greatest("xmin", "_a") > eps
-    return binned.join(other, meets & deep, "left_semi").select("id").distinct()
+    rows = intervals.select(F.col("id"), F.col(group).cast("string").alias("grp"), F.col(owner).cast("string").alias("own"), F.col("xmin").cast("double").alias("xmin"), F.col("xmax").cast("double").alias("xmax"))
+    rows = rows.where("grp is not null and own is not null").where((F.col("xmax") - F.col("xmin") > eps) & ~F.isnan("xmin") & ~F.isnan("xmax"))
+    dealt = rows.repartitionByRange("grp", "xmin").sortWithinPartitions("grp", "xmin")
+    dealt = cut(dealt.withColumn("part", F.spark_partition_id()))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, key, part = [], None, None
+        far = near = None
+        for pdf in batches:
+            for g, p, o, a, b in zip(pdf["grp"], pdf["part"], pdf["own"], pdf["xmin"], pdf["xmax"]):
+                if g != key:
+                    if key is not None:
+                        out.append((key, part, far.best, far.owner, far.other, near.best, near.owner, near.other))
+                    key, part, far, near = g, p, _Two(max), _Two(min)
+                far.add(b, o)
+                near.add(a, o)
+        if key is not None:
+            out.append((key, part, far.best, far.owner, far.other, near.best, near.owner, near.other))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _REACH.split(", ")])
+
+    parts = dealt.mapInPandas(reach, _REACH)
+    spans = cut(parts.join(parts.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "grp"))
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one row a task that holds the group: what lies before and after each
+        pdf = pdf.sort_values("part")
+        none = lambda x: None if x is None or x != x else x
+        out = {p: [None] * 6 for p in pdf["part"]}
+        for frame, better, at, names in ((pdf, max, 0, ("far1", "own1", "far2")), (pdf[::-1], min, 3, ("near1", "nown1", "near2"))):
+            held = _Two(better)
+            for row in frame.itertuples(index=False):
+                out[row.part][at : at + 3] = [held.best, held.owner, held.other]
+                best, name, other = (none(getattr(row, n)) for n in names)
+                held.add(best, name)
+                held.add(other, None if other is None else f"\0{name}")  # some owner that isn't `name`
+        return pd.DataFrame([(pdf["grp"].iloc[0], p, *v) for p, v in out.items()], columns=[c.split()[0] for c in _REACH.split(", ")])
+
+    carried = spans.groupBy("grp").applyInPandas(carry, _REACH)
+    # two rows a task at most: its first and its last group
+    met = dealt.join(F.broadcast(carried), ["grp", "part"], "left").select("id", "grp", "own", "xmin", "xmax", "far1", "own1", "far2", "near1", "nown1", "near2")
+    kind = dict(rows.dtypes)["id"]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, far, after, waiting = None, None, None, []  # all that wait are of one owner
+        hits: list = []
+        most = 1024
+
+        def close() -> None:
+            for i, o, b in waiting:
+                start = after.of_others(o)
+                if start is not None and b - start > eps:
+                    hits.append(i)
+            waiting.clear()
+
+        for pdf in batches:
+            for i, g, o, a, b, *c in pdf.itertuples(index=False, name=None):
+                if g != key:
+                    if key is not None:
+                        close()
+                    c = [None if x is None or x != x else x for x in c]
+                    key, far, after = g, _Two(max), _Two(min)
+                    far.best, far.owner, far.other = c[:3]
+                    after.best, after.owner, after.other = c[3:]
+                if waiting and waiting[0][1] != o:
+                    # those whose end lies before this start have none left to wait for either
+                    hits.extend(w[0] for w in waiting if w[2] - a > eps)
+                    waiting.clear()
+                before = far.of_others(o)
+                if before is not None and min(b, before) - a > eps:
+                    hits.append(i)
+                else:
+                    if len(waiting) >= most:
+                        waiting[:] = [w for w in waiting if w[2] - a > eps]
+                        most = max(1024, 2 * len(waiting))
+                    waiting.append((i, o, b))
+                far.add(b, o)
+            yield pd.DataFrame({"id": hits})
+            hits = []
+        if key is not None:
+            close()
+            yield pd.DataFrame({"id": hits})
+
+    return met.mapInPandas(sweep, f"id {kind}").distinct()
 
 
 def band_match(near: DataFrame, far: DataFrame, keys: Sequence[str], drift: float, diff: float) -> DataFrame:

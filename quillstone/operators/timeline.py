@@ -9,7 +9,7 @@ from quillstone.functions import text as T
 from quillstone.operators.joins import band_match, interval_overlaps
 
 
-def classify_intervals(near: DataFrame, far: DataFrame, eps: float, low_s: float, high_s: float, drift: float, diff: float, width: float = 30.0, norm=T.normalize) -> DataFrame:
+def classify_intervals(near: DataFrame, far: DataFrame, eps: float, low_s: float, high_s: float, drift: float, diff: float, norm=T.normalize) -> DataFrame:
     """`near(id, meeting, speaker, xmin, xmax, text)` with text cleaned, far_id and reason.
 
     Checks in order: the text's own reason, duration_out_of_range, overlap (another active
@@ -18,11 +18,11 @@ def classify_intervals(near: DataFrame, far: DataFrame, eps: float, low_s: float
     out = near.withColumn("_c", T.clean_transcript(F.col("text"), norm=norm))
     out = out.withColumn("_length", F.col("xmax") - F.col("xmin"))
     active = near.where(T.is_active_speech(F.col("text")))
-    crossed = interval_overlaps(active, "meeting", "speaker", eps, width).withColumn("_crossed", F.lit(True))
+    crossed = interval_overlaps(active, "meeting", "speaker", eps).withColumn("_crossed", F.lit(True))
     heard = far.withColumn("_c", T.clean_transcript(F.col("text"), norm=norm)).where("_c.reason is null").select("id", "meeting", "speaker", "xmin", "xmax", F.col("_c.text").alias("text"))
     wanted = out.where("_c.reason is null").select("id", "meeting", "speaker", "xmin", "xmax", F.col("_c.text").alias("text"))
     paired = band_match(wanted, heard, ["meeting", "text"], drift, diff).select("id", "matches", "far_id")
-    crossed_far = interval_overlaps(far.where(T.is_active_speech(F.col("text"))), "meeting", "speaker", eps, width).select(F.col("id").alias("far_id"), F.lit(True).alias("_far_crossed"))
+    crossed_far = interval_overlaps(far.where(T.is_active_speech(F.col("text"))), "meeting", "speaker", eps).select(F.col("id").alias("far_id"), F.lit(True).alias("_far_crossed"))
     out = out.join(crossed, "id", "left").join(paired, "id", "left").join(crossed_far, "far_id", "left")
     late = F.when(~F.col("_length").between(low_s, high_s), "duration_out_of_range").when(F.col("_crossed"), "overlap").when(F.coalesce(F.col("matches"), F.lit(0)) != 1, "unpaired_far_interval").when(F.col("_far_crossed"), "far_overlap")
     return out.select("id", "meeting", "speaker", "xmin", "xmax", F.col("_c.text").alias("text"), "far_id", F.coalesce("_c.reason", late).alias("reason"))

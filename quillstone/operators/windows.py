@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from quillstone.shared import cut
+
 
 def first_wins(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """`rows` with won: whether the row has the value of its key's first row in `order`.
@@ -72,16 +74,11 @@ def global_index(rows: DataFrame, order: Sequence[str], name: str = "index") ->
 def running_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """`rows` with the sum of `value` over all rows before, in a total order (nulls first).
 
-    Rows are dealt by range into the checkpoint folder, where a session has one, and are else
-    kept until the session ends; so the ranges stay as they are while their totals are taken.
+    Rows are dealt by range into the folder that driver and executors share, so the ranges stay as
+    they are while their totals are taken, and blocks lost with an executor are read there again.
     """
     keys = [F.col(c) for c in order]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    sc = rows.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    dealt = dealt.checkpoint() if folder else dealt.persist()
+    dealt = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
     totals = dealt.groupBy("_part").agg(F.sum(value).alias("_total"))
     # one row a range
     base = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -92,16 +89,23 @@ def running_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) ->
 def count_windows(rows: DataFrame, order: Sequence[str], k: int, epoch: str | None = None, keep_tail: bool = True) -> DataFrame:
     """`rows` with window_id: each k rows in order; per epoch with a short tail, or over all epochs.
 
-    Over all epochs the tail is dropped unless kept.
+    Places are counted over all rows by range, and an epoch's begin with its first, so no task sees
+    a whole epoch. Over all epochs, and within each, the tail is dropped unless kept.
     """
-    if epoch is not None:
-        n = F.row_number().over(Window.partitionBy(epoch).orderBy(*order))
-        out = rows.withColumn("window_id", F.floor((n - 1) / k))
-        return out if keep_tail else out.withColumn("_n", F.count("*").over(Window.partitionBy(epoch, "window_id"))).where(F.col("_n") == k).drop("_n")
-    out = global_index(rows, order, "_n").withColumn("window_id", F.floor((F.col("_n") - 1) / k))
+    out = global_index(rows, [*([epoch] if epoch is not None else []), *order], "_n")
+    if epoch is None:
+        out = out.withColumn("window_id", F.floor((F.col("_n") - 1) / k))
+        key = ["window_id"]
+    else:
+        first = out.groupBy(F.col(epoch).alias("_e")).agg(F.min("_n").alias("_first"))
+        out = out.join(first, F.col(epoch).eqNullSafe(F.col("_e"))).withColumn("window_id", F.floor((F.col("_n") - F.col("_first")) / k)).drop("_e", "_first")
+        key = [epoch, "window_id"]
     if not keep_tail:
-        whole = out.groupBy("window_id").agg(F.count("*").alias("_size")).where(F.col("_size") == k).select("window_id")
-        out = out.join(whole, "window_id")
+        whole = out.groupBy(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)]).agg(F.count("*").alias("_size")).where(F.col("_size") == k).drop("_size")
+        same = F.lit(True)
+        for i, c in enumerate(key):
+            same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+        out = out.join(whole, same, "left_semi")
     return out.drop("_n")
 
 

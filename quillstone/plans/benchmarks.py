@@ -224,11 +224,11 @@ def lineage_check(spark, sf_dir):
 
 
 @query(f"""WITH {V.SCORED}, s AS (SELECT source_id, sum(edit_count) AS a, sum(greatest(0, edit_count - line % 3)) AS b, sum(reference_char_count) AS refs, row_number() OVER (ORDER BY source_id) - 1 AS i FROM scored GROUP BY source_id),
-n AS (SELECT count(*) AS n FROM s), p AS (SELECT draw, ('0x' || substr(sha256('42:' || draw || ':' || pick), 1, 8))::BIGINT % n AS i FROM n, range(20) t(draw), range(n.n) u(pick))
+n AS (SELECT count(*) AS n FROM s), p AS (SELECT draw, ('0x' || substr(sha256('42:' || draw || ':' || pick), 1, 8))::BIGINT % n AS i FROM n, range(2000) t(draw), range(n.n) u(pick))
 SELECT draw, round(sum(b - a)::DOUBLE / sum(refs), 9) AS delta FROM p JOIN s USING (i) GROUP BY draw""")
 def bootstrap_hash_variant(spark, sf_dir):
     rows = scored(spark, sf_dir).select("source_id", F.col("edit_count").alias("a"), F.greatest(F.lit(0), F.col("edit_count") - F.col("line") % 3).alias("b"), F.col("reference_char_count").alias("refs"))
-    return rounded(A.bootstrap_hashed(A.cluster_sums(rows, "source_id", ["a", "b"], "refs"), "source_id", "a", "b", "refs", draws=20))
+    return rounded(A.bootstrap_hashed(A.cluster_sums(rows, "source_id", ["a", "b"], "refs"), "source_id", "a", "b", "refs", draws=2000))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.hashing import keyed
 from quillstone.operators import joins, windows
 from quillstone.plans import views as V
-from quillstone.streaming import logs
+from quillstone.streaming import logs, states
 
 CATALOGUE: dict[str, tuple] = {}
 
@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 @query(f"""WITH {V.INTERVALS} SELECT DISTINCT a.id FROM intervals a JOIN intervals b ON a.meeting = b.meeting AND a.speaker <> b.speaker AND least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin) > 0.5""")
 def interval_overlap_semi(spark, sf_dir):
-    return joins.interval_overlaps(V.intervals(spark, sf_dir), "meeting", "speaker", 0.5, 30.0)
+    return joins.interval_overlaps(V.intervals(spark, sf_dir), "meeting", "speaker", 0.5)
 
 
 @query(f"""WITH {V.INTERVALS}, n AS (SELECT * FROM intervals WHERE id % 2 = 0), f AS (SELECT id, meeting, text, CASE WHEN id % 3 = 0 THEN NULL ELSE speaker END AS speaker, xmin, xmax FROM intervals WHERE id % 2 = 1),
@@ -58,6 +58,55 @@ def prefix_resume(spark, sf_dir):
     return logs.remaining(rows, rows.where("_line <= 77"), "sample_id").select("sample_id")
 
 
+_VISITS = """visits AS (SELECT 'r' || user_id AS run, event_id AS id, ts,
+  CASE event_type WHEN 'error' THEN 'invalid' WHEN 'view' THEN 'zero' ELSE 'signal' END AS kind FROM events),
+n AS (SELECT *, count(*) OVER w AS visit, count(*) FILTER (kind {enters}) OVER w AS e, count(*) FILTER (kind = 'signal') OVER w AS i, count(*) FILTER (kind = 'invalid') OVER w AS bad
+  FROM visits WINDOW w AS (PARTITION BY run ORDER BY ts, id ROWS UNBOUNDED PRECEDING))
+SELECT run, id, visit, (count(*) FILTER (kind = 'zero') OVER (PARTITION BY run, i ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) AS consecutive,
+  CASE WHEN kind {enters} THEN (e - 1) // 4 END AS window_id, CASE WHEN kind {enters} THEN (e - 1) % 4 + 1 END AS place,
+  kind {enters} AND (e - 1) % 4 = 3 AS flush, CASE WHEN visit = 20 THEN bad::DOUBLE / visit END AS invalid_rate, false AS late FROM n"""
+
+
+def visits(spark, sf_dir):
+    """Events as visits of their user's run."""
+    kind = F.when(F.col("event_type") == "error", "invalid").when(F.col("event_type") == "view", "zero").otherwise("signal")
+    e = V.table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("at"), kind.alias("kind"))
+
+
+def _streamed_visits(spark, sf_dir, signal_only):
+    stream, out, state = states.replayed(visits(spark, sf_dir), "at", "run", "visits")
+    states.to_end(states.visit_states(stream, 4, signal_only, 20), out, state)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query(f"WITH {_VISITS.format(enters="<> 'invalid'")}")
+def stream_visit_windows(spark, sf_dir):
+    """Count windows and counters of every run, by a stream over the log of its visits."""
+    return _streamed_visits(spark, sf_dir, False)
+
+
+@query(f"WITH {_VISITS.format(enters="= 'signal'")}")
+def stream_signal_windows(spark, sf_dir):
+    """The same, where only groups with a signal fill windows."""
+    return _streamed_visits(spark, sf_dir, True)
+
+
+@query(f"WITH {_VISITS.format(enters="<> 'invalid'")}")
+def visit_windows(spark, sf_dir):
+    return states.visit_table(visits(spark, sf_dir), 4, False, 20)
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS n, count(DISTINCT event_id) AS ids, max(value) AS high FROM events GROUP BY 1, 2""")
+def stream_log_windows(spark, sf_dir):
+    """Windows by a stream over the log of events, kept by key from its batches' updates."""
+    e = V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    stream, out, state = states.replayed(e, "ts", "event_type", "events")
+    aggs = [F.count("*").alias("n"), F.count("event_id").alias("ids"), F.max("value").alias("high")]
+    states.to_end(states.late_windows(stream, "ts", "15 minutes", ["event_type"], aggs, "10 minutes"), out, state, "update")
+    return states.latest(spark, out, ["event_type", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_event_windows(spark, sf_dir):
     """The batch form of `logs.windowed`, which a stream of the same rows must reach."""

@@ -35,7 +35,7 @@ def test_interval_overlap_and_band_match_against_plain_loops(spark, seed):
     rows = [(i, f"m{draw.randrange(2)}", f"s{draw.randrange(3)}", x := draw.uniform(0, 60), x + draw.uniform(0, 9), draw.choice("ab")) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, meeting string, speaker string, xmin double, xmax double, text string")
     want = {a[0] for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and min(a[4], b[4]) - max(a[3], b[3]) > 0.3}
-    assert {r.id for r in joins.interval_overlaps(df, "meeting", "speaker", 0.3, 7.0).collect()} == want
+    assert {r.id for r in joins.interval_overlaps(df, "meeting", "speaker", 0.3).collect()} == want
     near, far = [r for r in rows if r[0] % 2], [(*r[:2], None if r[0] % 3 == 0 else r[2], *r[3:]) for r in rows if r[0] % 2 == 0]
     far_df = spark.createDataFrame(far, df.schema)
     got = {r.id: (r.matches, r.far_id) for r in joins.band_match(df.where("id % 2 = 1"), far_df, ["meeting", "text"], 4.0, 3.0).collect()}
