@@ -262,7 +262,7 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
     # one row a slice
     before = Window.partitionBy(comparison).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counted = cut(counted.withColumn("_at", F.coalesce(F.sum("_k").over(before), F.lit(0))))
-    short = counted.groupBy(comparison, "_wanted").agg(F.sum("_k").alias("k")).where(F.col("k") < F.col("_wanted"))
+    short = counted.groupBy(comparison, "_wanted").agg(F.sum("_k").alias("_have")).where(F.col("_have") < F.col("_wanted"))
     if not short.isEmpty():
         raise ValueError("more outputs were passed over than there was room for")
     used = counted.where(F.col("_at") < F.col("_wanted")).repartition(comparison, "_s")
@@ -270,8 +270,8 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
     spark = sums.sparkSession
     shared = None
     if few:
-        table = placed.select(comparison, "_i", (F.col("_b") - F.col("_a")).alias("d"), "_r").orderBy(comparison, "_i").toPandas()
-        shared = spark.sparkContext.broadcast({k: (g["d"].to_numpy(), g["_r"].to_numpy()) for k, g in table.groupby(comparison)})
+        table = placed.select(comparison, "_i", (F.col("_b") - F.col("_a")).alias("_d"), "_r").orderBy(comparison, "_i").toPandas()
+        shared = spark.sparkContext.broadcast({k: (g["_d"].to_numpy(), g["_r"].to_numpy()) for k, g in table.groupby(comparison)})
 
     def picks(pdf: pd.DataFrame):
         for key, n, wanted, s, at in zip(pdf[comparison], pdf["_n"], pdf["_wanted"], pdf["_s"], pdf["_at"]):
@@ -284,23 +284,23 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
             for key, _, draw, index in picks(pdf):
                 d, r = shared.value[key]
                 low = int(draw[0]) if len(draw) else 0
-                yield pd.DataFrame({comparison: key, "draw": np.arange(low, low + int(draw[-1]) - low + 1), "d": np.bincount(draw - low, d[index]), "r": np.bincount(draw - low, r[index])})
+                yield pd.DataFrame({comparison: key, "_draw": np.arange(low, int(draw[-1]) + 1), "_d": np.bincount(draw - low, d[index]), "_rs": np.bincount(draw - low, r[index])})
 
     def listed(batches):
         for pdf in batches:
             for key, n, draw, index in picks(pdf):
                 at, m = np.unique(draw * n + index, return_counts=True)
-                yield pd.DataFrame({comparison: key, "draw": at // n, "_i": at % n, "m": m})
+                yield pd.DataFrame({comparison: key, "_draw": at // n, "_i": at % n, "_m": m})
 
     if few:
-        sums_of = used.mapInPandas(summed, f"{comparison} {kind}, draw long, d double, r double")
+        sums_of = used.mapInPandas(summed, f"{comparison} {kind}, _draw long, _d double, _rs double")
     else:
-        met = used.mapInPandas(listed, f"{comparison} {kind}, draw long, _i long, m long").join(placed, [comparison, "_i"])
-        sums_of = met.select(comparison, "draw", (F.col("m") * (F.col("_b") - F.col("_a"))).alias("d"), (F.col("m") * F.col("_r")).alias("r"))
-    deltas = sums_of.groupBy(comparison, "draw").agg((F.sum("d") / F.sum("r")).alias("x"))
+        met = used.mapInPandas(listed, f"{comparison} {kind}, _draw long, _i long, _m long").join(placed, [comparison, "_i"])
+        sums_of = met.select(comparison, "_draw", (F.col("_m") * (F.col("_b") - F.col("_a"))).alias("_d"), (F.col("_m") * F.col("_r")).alias("_rs"))
+    deltas = sums_of.groupBy(comparison, "_draw").agg((F.sum("_d") / F.sum("_rs")).alias("_x"))
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = np.percentile(pdf["x"].to_numpy(), [2.5, 97.5])
+        low, high = np.percentile(pdf["_x"].to_numpy(), [2.5, 97.5])
         return pd.DataFrame({comparison: [pdf[comparison].iloc[0]], "low": [low], "high": [high]})
 
     # `draws` rows each

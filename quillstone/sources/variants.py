@@ -28,7 +28,8 @@ def leaves(configs: DataFrame, key: str, text: str) -> DataFrame:
     level by level, as deep as the deepest document goes.
     """
     v = F.try_parse_json(F.col(text))
-    now = cut(configs.select(F.col(key), v.alias("v"), F.lit("$").alias("path")))
+    # documents are small in bytes and long in the parsing: dealt out, not left to the few tasks that read them
+    now = cut(configs.repartition(key).select(F.col(key), v.alias("v"), F.lit("$").alias("path")))
     bad = now.where("v is null").select(key, "path", F.lit("malformed").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("number"))
     now = now.where("v is not null")
     out, spark = [bad], configs.sparkSession
