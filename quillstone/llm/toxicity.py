@@ -158,26 +158,43 @@ class Lexicon(dict):
         return got
 
 
-def clause_features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Logs of what all clauses score by sure words and by all words, of the largest clause, and of all per 100 words."""
+def _densest(at: list[int], gain: list[float], reach: int) -> float:
+    """The largest sum of gains at places less than `reach` apart."""
+    best = now = 0.0
+    low = 0
+    for k, place in enumerate(at):
+        now += gain[k]
+        while at[low] <= place - reach:
+            now -= gain[low]
+            low += 1
+        best = max(best, now)
+    return best
+
+
+def clause_features(text: str | None, lexicon: Lexicon, reach: int = 100) -> list[float]:
+    """Logs of what sure words score in the text's worst `reach` words and what all words score in it, the most
+    that a word scores in its clause, and the log of what all score in the worst `reach` words, per 100 words.
+
+    None of them falls as text is added beyond `reach` words. Sure words count as such only where
+    the grammar doesn't weaken them: a negated or reported insult has what the other three make of it.
+    """
     tokens = TOKEN.findall((text or "").lower())
     marks = [lexicon[t] for t in tokens]
-    sure = total = top = clause = 0.0
+    at, gains, sure = [], [], []
     if any(w for _, w in marks):
         state = 0
         move, weight = GRAMMAR.move, GRAMMAR.weight
-        for symbol, w in marks:
-            at = state * 8 + symbol
+        for k, (symbol, w) in enumerate(marks):
+            place = state * 8 + symbol
             if w:
-                gain = w * weight[at]
-                clause += gain
-                if w >= SURE:
-                    sure += gain
-            elif symbol == END and clause:
-                total, top, clause = total + clause, max(top, clause), 0.0
-            state = move[at]
-        total, top = total + clause, max(top, clause)
-    return [math.log1p(sure), math.log1p(total), math.log1p(top), math.log1p(100 * total / (len(tokens) + 20))]
+                at.append(k)
+                gains.append(w * weight[place])
+                sure.append(gains[-1] if w >= SURE and weight[place] >= 1 else 0.0)
+            state = move[place]
+    total = sum(gains)
+    worst = total if len(tokens) <= reach else _densest(at, gains, reach)
+    certain = sum(sure) if len(tokens) <= reach else _densest(at, sure, reach)
+    return [math.log1p(certain), math.log1p(total), max(gains, default=0.0), math.log1p(100 * worst / (min(len(tokens), reach) + 20))]
 
 
 class Learned(dict):
@@ -194,6 +211,7 @@ class Learned(dict):
 class Model:
     learned: Learned
     weights: list[float]  # of FEATURES, none negative, and the constant
+    floor: float = 0.0  # the most that a word scores in a clean row, but for one row in a thousand
 
 
 def _summed(counts: dict, names: list[str]) -> pd.DataFrame:
@@ -373,15 +391,20 @@ def _trust(sample: DataFrame, kinds: dict[str, dict[str, tuple[int, float]]], si
 
 
 def _count_settings(sample: DataFrame, learned: Learned) -> pd.DataFrame:
-    """Rows (word, role, toxic, n): rows in which a word stands, within its clause, before an insult
-    (role 0, up to three words), elsewhere beside one (1), or beside a target without one (2)."""
+    """Rows (word, role, fold, pos, met, want, spread) of words within a clause before an insult (role 0, up to
+    three words), elsewhere beside one (1), or beside a target without one (2).
+
+    In `met` rows a word stands so, `pos` of them toxic; `want` of them would be, and with variance `spread`, if the word
+    said nothing beside the insult, or the target, itself. So each word is compared with clauses that hold
+    the same scored word: what marks a language or a licence line stands with the same ones and says nothing more.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(learned)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(shared.value)
         counts: Counter = Counter()
         for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+            for text, fold, toxic in zip(pdf["text"], pdf["fold"], pdf["toxic"]):
                 found: set = set()
                 clause: list = []
                 for t in [*TOKEN.findall((text or "").lower()), "."]:
@@ -391,48 +414,71 @@ def _count_settings(sample: DataFrame, learned: Learned) -> pd.DataFrame:
                         continue
                     hits = [k for k, (w, s) in enumerate(clause) if s == INSULT and lexicon[w][1] >= SURE]
                     if hits:
+                        beside = clause[hits[0]][0]
                         close = {k - d for k in hits for d in (1, 2, 3)}
-                        found.update((w, 0 if k in close else 1) for k, (w, s) in enumerate(clause) if s not in SCORED)
-                    elif any(s == TARGET for _, s in clause):
-                        found.update((w, 2) for w, s in clause if s == OTHER)
+                        found.update((w, 0 if k in close else 1, beside) for k, (w, s) in enumerate(clause) if s not in SCORED)
+                        found.update(("", role, beside) for role in (0, 1))
+                    elif aimed := [w for w, s in clause if s == TARGET]:
+                        found.update((w, 2, aimed[0]) for w, s in clause if s == OTHER)
+                        found.add(("", 2, aimed[0]))
                     clause.clear()
-                counts.update((w, role, toxic) for w, role in found if w[0].isalpha())
+                counts.update((w, role, beside, fold, toxic) for w, role, beside in found if not w or w[0].isalpha())
         if counts:
-            yield _summed(counts, ["word", "role", "toxic"])
-
-    part = sample.select("text", "toxic").mapInPandas(lean(each), "word string, role int, toxic int, n long")
-    return part.groupBy("word", "role", "toxic").agg(F.sum("n").alias("n")).groupBy("word", "role").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg")
-    ).where("pos + neg >= 8").toPandas()
+            yield _summed(counts, ["word", "role", "beside", "fold", "toxic"])
+
+    part = sample.select("text", "fold", "toxic").mapInPandas(lean(each), "word string, role int, beside string, fold int, toxic int, n long")
+    key = ["role", "beside", "fold"]
+    sums = part.groupBy("word", *key).agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("n"))
+    sums = sums.persist()
+    # the share among all clauses of the same scored word, drawn a little to one half
+    base = sums.where("word = ''").select(*key, ((F.col("pos") + 0.5) / (F.col("n") + 1)).alias("share"))
+    met = sums.where("word <> ''").join(base, key)
+    out = met.groupBy("word", "role", "fold").agg(
+        F.sum("pos").alias("pos"), F.sum("n").alias("met"), F.sum(F.col("n") * F.col("share")).alias("want"), F.sum(F.col("n") * F.col("share") * (1 - F.col("share"))).alias("spread")
+    ).where(F.col("spread") > 0).toPandas()
+    sums.unpersist()
+    return out
 
 
-def _class_words(settings: pd.DataFrame, size: dict) -> dict[str, tuple[int, float]]:
-    """Words that the settings put into a class, where their toxic share is four and a half standard errors away.
+def _class_words(settings: pd.DataFrame, apart: float = 3.0) -> dict[str, tuple[int, float]]:
+    """Words that the settings put into a class, by the same effect in both halves of the sample.
 
-    Before insults, words under which rows tend to be clean are negations (reported speech, if
-    they do so anywhere in the clause) and words under which they tend to be toxic are targets.
-    Beside targets, words under which rows tend to be toxic are threats.
+    Where a word's toxic rows are `apart` standard errors fewer than the scored words beside it let expect, in
+    either half, it is a negation before insults and reported speech elsewhere in their clauses; where
+    they are as many more, it is a target, and beside targets a threat.
     """
     out: dict[str, tuple[int, float]] = {}
-    for role, group in settings.groupby("role"):
-        pos, neg = group["pos"].to_numpy(float), group["neg"].to_numpy(float)
-        base = (pos.sum() + 0.5, neg.sum() + 0.5) if role < 2 else tuple(sum(size.get((f, t), 0) for f in (0, 1)) + 0.5 for t in (1, 0))
-        share = base[0] / (base[0] + base[1])
-        far = (pos - (pos + neg) * share) / np.sqrt((pos + neg) * share * (1 - share))
-        odds = np.log((pos + 0.5) / (neg + 0.5)) - math.log(base[0] / base[1])
-        for word, o, z in zip(group["word"], odds, far):
-            if abs(z) < 4.5 or abs(o) < 1:
-                continue
-            if role == 2:
-                if o > 0:
-                    out.setdefault(word, (THREAT, float(min(4.0, o))))
-            elif o < 0:
-                out[word] = (NEGATION if role == 0 else REPORT, 0.0)
-            elif word not in out:
-                out[word] = (TARGET, 0.0)
+    far = (settings["pos"] - settings["want"]) / np.sqrt(settings["spread"])
+    wide = settings.assign(far=far).pivot_table(index=["role", "word"], columns="fold", values=["far", "pos", "want"], aggfunc="sum")
+    for (role, word), row in wide.iterrows():
+        z = [row["far"].get(f, np.nan) for f in (0, 1)]
+        if all(x <= -apart for x in z) and role < 2:
+            out[word] = (NEGATION if role == 0 else REPORT, 0.0)
+        elif all(x >= apart for x in z):
+            if role < 2:
+                out.setdefault(word, (TARGET, 0.0))
+            else:
+                out.setdefault(word, (THREAT, float(min(4.0, np.log((row["pos"].sum() + 0.5) / (row["want"].sum() + 0.5))))))
     return out
 
 
+def _lengthened(sample: DataFrame) -> DataFrame:
+    """`sample` with each row once more, behind or before a clean row of its half: what is toxic stays so in a longer text."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf
+            for fold in (0, 1):
+                own = pdf[pdf["fold"] == fold]
+                clean = [t for t, y in zip(own["text"], own["toxic"]) if not y and t]
+                if not clean or own.empty:
+                    continue
+                pick = [clean[zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % len(clean)] for t in own["text"]]
+                yield own.assign(text=[f"{c}\n{t or ''}" if k % 2 else f"{t or ''}\n{c}" for k, (t, c) in enumerate(zip(own["text"], pick))])
+
+    return sample.select("text", "toxic", "fold").mapInPandas(lean(each), "text string, toxic int, fold int")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights, none below 0, and the constant: rows of the given mass, penalised likelihood.
 
@@ -510,8 +556,8 @@ def train(labelled: DataFrame, rows: int = 20_000, n: dict[int, int] | None = No
     to half the sample, clean ones the rest, and each stands for its class's share of all. Pieces
     of words are counted in both classes, weighted by what their like prove to be worth in the
     other half of the sample, and kept however rare. Words of the other classes are learned from
-    the clauses around insults. The logistic weights over clause scores are fitted on rows scored
-    with the other half's pieces. Without rows of both classes the fixed words alone are used,
+    the clauses around insults. The logistic weights over clause scores are fitted on rows, alone and
+    put together with clean ones, scored with the other half's pieces. Without rows of both classes the fixed words alone are used,
     with fixed weights.
     """
     labelled = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -536,15 +582,18 @@ def train(labelled: DataFrame, rows: int = 20_000, n: dict[int, int] | None = No
     words.unpersist()
     halves = [Learned(weighed[f"in{1 - f}"], harmless) for f in (0, 1)]
     learned = Learned(weighed["in01"], harmless)
-    classes = _class_words(_count_settings(sample, learned), size)
+    classes = _class_words(_count_settings(sample, learned))
     for x in (learned, *halves):
         x.classes = classes
-    got = featured(sample, halves, FEATURES, "fold").toPandas()
+    got = featured(_lengthened(sample), halves, FEATURES, "fold").toPandas()
     sample.unpersist()
     y = got["toxic"].to_numpy()
     mass = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
     mass *= len(y) / mass.sum()
-    return Model(learned, _logistic(got[FEATURES].to_numpy(), y, mass).tolist())
+    # a word in its clause beyond what clean rows have counts by how far it is beyond, however long the text around it
+    floor = float(np.quantile(got.loc[y == 0, "_top"], 0.999)) if (y == 0).any() else 0.0
+    got["_top"] = np.maximum(got["_top"] - floor, 0.0)
+    return Model(learned, _logistic(got[FEATURES].to_numpy(), y, mass).tolist(), floor)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
@@ -557,7 +606,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep_text: bool = False) -> Da
     out = featured(docs.drop("score", "predicted", *FEATURES), [model.learned], FEATURES, keep_text=keep_text)
     z = F.lit(model.weights[-1])
     for name, w in zip(FEATURES, model.weights):
-        z = z + F.lit(w) * F.col(name)
+        z = z + F.lit(w) * (F.greatest(F.col(name) - model.floor, F.lit(0.0)) if name == "_top" else F.col(name))
     out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop(*FEATURES)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast(IntegerType()))
 

@@ -117,9 +117,39 @@ def test_fit_converges_on_separable_rows():
 
 
 def test_words_before_insults_that_keep_rows_clean_become_negations():
-    rows = [("nope", 0, 1, 60), ("very", 0, 60, 6), ("the", 0, 200, 60), ("the", 1, 100, 30), ("krill", 2, 40, 0), ("a", 2, 50, 500)]
-    got = tox._class_words(pd.DataFrame(rows, columns=["word", "role", "pos", "neg"]), {(0, 0): 900, (0, 1): 100})
-    assert got["nope"][0] == tox.NEGATION and got["krill"][0] == tox.THREAT and "the" not in got
+    rows = [("nope", 0, f, 1, 30, 20.0, 6.0) for f in (0, 1)] + [("krill", 2, f, 40, 40, 8.0, 6.0) for f in (0, 1)] + [("the", 0, f, 100, 150, 101.0, 30.0) for f in (0, 1)]
+    rows += [("half", 0, 0, 1, 30, 20.0, 6.0), ("half", 0, 1, 20, 30, 20.0, 6.0), ("once", 1, 0, 0, 30, 20.0, 6.0)]
+    got = tox._class_words(pd.DataFrame(rows, columns=["word", "role", "fold", "pos", "met", "want", "spread"]))
+    assert got["nope"][0] == tox.NEGATION and got["krill"][0] == tox.THREAT and set(got) == {"nope", "krill"}
+
+
+def test_words_of_a_language_or_licence_line_say_nothing(spark):
+    # in one language a piece is a slip that stands in clean rows, always in the same line; in the other it is an insult
+    rows = [(f"the gnu license grantx {k} for all", 0) for k in range(120)] + [(f"you are a grantx number {k}", 1) for k in range(120)] + [(f"du bist ein dummbold {k}", 1) for k in range(120)]
+    rows += [(f"du bist kein dummbold {k}", 0) for k in range(120)]
+    sample = spark.createDataFrame([(t, y, k % 2) for k, (t, y) in enumerate(rows)], "text string, toxic int, fold int")
+    learned = tox.Learned({"grantx": 3.0, "dummbold": 3.0})
+    got = tox._class_words(tox._count_settings(sample, learned))
+    assert got["kein"][0] == tox.NEGATION and "der" not in got and "bist" not in got and "du" not in got
+
+
+def test_a_toxic_document_stays_so_in_a_longer_one(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    model = tox.fit(docs, labels)
+    # no word that holds a language or a licence together is a class of its own
+    assert not set(model.learned.classes) & set("al das de den der die la los que se und under version von zu license licensed general gnu".split())
+    scored = tox.score_toxicity(docs, model, keep_text=True).join(labels, "doc_id").toPandas()
+    short = [t for t, p, y in zip(scored["text"], scored["predicted"], scored["toxic"]) if p and y and t and len(t.split()) < 100]
+    clean = [t for t, p, y in zip(scored["text"], scored["predicted"], scored["toxic"]) if not p and y == 0 and t]
+    bands = {100: [], 400: [], 1500: [], 10**9: []}
+    for t in clean:
+        bands[next(b for b in bands if len(t.split()) < b)].append(t)
+    rows = [(b, f"{t} {short[zlib.crc32(t.encode()) % len(short)]}") for b, ts in bands.items() for t in ts[:120]]
+    got = tox.score_toxicity(spark.createDataFrame(rows, "band long, text string"), model).groupBy("band").avg("predicted").collect()
+    found = dict(map(tuple, got))
+    assert set(found) == set(bands) and all(x >= 0.9 for x in found.values()), found
 
 
 def test_conflicting_labels_and_clashing_columns(spark):
