@@ -390,8 +390,8 @@ def _trust(sample: DataFrame, kinds: dict[str, dict[str, tuple[int, float]]], si
     return {k: math.log((p + 0.5) / all_[1]) - math.log((q + 0.5) / all_[0]) - math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) for k, (q, p) in seen.items()}
 
 
-def _count_settings(sample: DataFrame, learned: Learned) -> pd.DataFrame:
-    """Rows (word, role, fold, pos, met, want, spread) of words within a clause before an insult (role 0, up to
+def _count_settings(sample: DataFrame, learned: Learned, apart: float = 3.0) -> pd.DataFrame:
+    """Rows (word, role, fold, pos, met, want, spread), where `apart` standard errors lie between pos and want in both folds, of words within a clause before an insult (role 0, up to
     three words), elsewhere beside one (1), or beside a target without one (2).
 
     In `met` rows a word stands so, `pos` of them toxic; `want` of them would be, and with variance `spread`, if the word
@@ -435,9 +435,14 @@ def _count_settings(sample: DataFrame, learned: Learned) -> pd.DataFrame:
     met = sums.where("word <> ''").join(base, key)
     out = met.groupBy("word", "role", "fold").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("met"), F.sum(F.col("n") * F.col("share")).alias("want"), F.sum(F.col("n") * F.col("share") * (1 - F.col("share"))).alias("spread")
-    ).where(F.col("spread") > 0).toPandas()
+    ).where(F.col("spread") > 0)
+    # what comes to the driver are the few words that stand out, by the same side in both halves
+    z = (F.col("pos") - F.col("want")) / F.sqrt("spread")
+    apart_in = out.groupBy("word", "role").agg(F.count("*").alias("folds"), F.min(z).alias("least"), F.max(z).alias("most"))
+    apart_in = apart_in.where((F.col("folds") == 2) & ((F.col("least") >= apart) | (F.col("most") <= -apart))).select("word", "role")
+    found = out.join(apart_in, ["word", "role"]).toPandas()
     sums.unpersist()
-    return out
+    return found
 
 
 def _class_words(settings: pd.DataFrame, apart: float = 3.0) -> dict[str, tuple[int, float]]:
