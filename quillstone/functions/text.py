@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ PROMPT_MARKERS = ("language Chinese", "<asr_text>", "<|")
 SOURCE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,80}$"
 FULLWIDTH_LATIN = "[Ａ-Ｚａ-ｚ]"
 CJK = "[一-鿿]"
-SILENCE_MARK = r"(?i)^(?:\s|<sil>|\(sil\)|sil|<space>|<_>)+$"
+SILENCE_MARK = r"(?i)<sil>|\(sil\)|sil|<space>|<_>|\s"
 OVERLAP_TAG = "/overlap"
 ANNOTATION = r"(?i)<sil>|<\s*%\s*>|<->|<\$>|<#>|<_>|<space>|\(~\)|\(sil\)|`|&"
 SCENARIOS = ("clean", "noise", "reverb", "far_field", "dropout")
@@ -63,6 +64,11 @@ def first_of(*cases: tuple[Column, str]) -> Column:
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once a row, however often and under whatever condition it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_problem(text: Column) -> Column:
     """Why a transcript is not admissible, first reason wins; null if it is."""
     marked = F.lit(False)
@@ -77,27 +83,36 @@ def text_problem(text: Column) -> Column:
 
 
 def is_active_speech(mark: Column) -> Column:
-    """Whether an interval's mark is speech: not blank and not only silence tags."""
-    return ~is_blank(mark) & ~strip(mark).rlike(SILENCE_MARK)
+    """Whether an interval's mark is speech: not blank and not only silence tags.
+
+    The tags are taken out one by one: a repeated group would recurse once a tag.
+    """
+    return ~is_blank(mark) & (F.regexp_replace(strip(mark), SILENCE_MARK, "") != "")
 
 
 def clean_transcript(raw: Column, least: int = 2, reject_latin: bool = True, reject_overlap: bool = True, norm=normalize) -> Column:
     """struct(text, reason) of an annotated interval, checks in order; one of the two is null."""
+
+    def judged(bind: Column) -> Column:
+        text = bind["text"]
+        markers = F.lit(False)
+        for m in PROMPT_MARKERS:
+            # what is left of the text has no white space, so a marker with a blank never occurs in it
+            markers = markers | F.contains(F.lower(text), F.lit(m.lower()))
+        reason = first_of(
+            (~is_active_speech(raw), "silence_interval"),
+            (F.lit(reject_overlap) & F.contains(F.lower(raw), F.lit(OVERLAP_TAG)), "overlap_tag"),
+            (text == "", "empty_after_tag_strip"),
+            (markers, "forbidden_prompt_token"),
+            (F.lit(reject_latin) & text.rlike("[A-Za-zＡ-Ｚａ-ｚ]"), "contains_latin_code_switch"),
+            (~text.rlike(CJK), "no_cjk_char"),
+            (bind["short"], "empty_or_too_short_text"),
+        )
+        return bound(reason, lambda r: F.struct(F.when(r.isNull(), text).alias("text"), r.alias("reason")))
+
+    # the normal form may be a Python function, which a lambda can't hold
     text = squeeze(F.regexp_replace(raw, ANNOTATION, ""))
-    markers = F.lit(False)
-    for m in PROMPT_MARKERS:
-        # what is left of the text has no white space, so a marker with a blank never occurs in it
-        markers = markers | F.contains(F.lower(text), F.lit(m.lower()))
-    reason = first_of(
-        (~is_active_speech(raw), "silence_interval"),
-        (F.lit(reject_overlap) & F.contains(F.lower(raw), F.lit(OVERLAP_TAG)), "overlap_tag"),
-        (text == "", "empty_after_tag_strip"),
-        (markers, "forbidden_prompt_token"),
-        (F.lit(reject_latin) & text.rlike("[A-Za-zＡ-Ｚａ-ｚ]"), "contains_latin_code_switch"),
-        (~text.rlike(CJK), "no_cjk_char"),
-        (F.length(norm(text)) < least, "empty_or_too_short_text"),
-    )
-    return F.struct(F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
+    return bound(F.struct(text.alias("text"), (F.length(norm(text)) < least).alias("short")), judged)
 
 
 def meeting_id(name: Column) -> Column:

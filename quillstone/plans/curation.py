@@ -42,17 +42,21 @@ def candidate_seeds(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", candidate_seed(7, one("1"), F.col("doc_id").cast("string"), one("d"), one("0")).alias("seed"))
 
 
-@query("""SELECT doc_id, CASE WHEN t IS NULL OR trim(t) = '' THEN 'empty_text' WHEN contains(t, 'language Chinese') OR contains(t, '<asr_text>') OR contains(t, '<|') THEN 'text_has_prompt_marker'
-  WHEN regexp_matches(t, '[A-Za-z]') THEN 'text_has_latin' WHEN NOT regexp_matches(t, '[一-鿿]') THEN 'text_not_chinese' END AS reason FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '你好' WHEN 2 THEN '12 3'
-  WHEN 3 THEN '<|x' WHEN 4 THEN '   ' ELSE '你好 a' END AS t FROM documents)""")
+#: A document's whole text, and beside it the same text with a fault or in Chinese characters.
+_MADE = f"""CASE doc_id % 5 WHEN 0 THEN {V.HAN_SQL('text')} WHEN 1 THEN {V.HAN_SQL('text')} || '<|x' WHEN 2 THEN {V.DIGITS_SQL('text')} WHEN 3 THEN {V.BLANKED_SQL('text')} ELSE {V.HAN_SQL('text')} || ' a' END"""
+
+
+@query(f"""SELECT doc_id, made, CASE WHEN {V.BLANK_SQL('t')} THEN 'empty_text' WHEN contains(t, 'language Chinese') OR contains(t, '<asr_text>') OR contains(t, '<|') THEN 'text_has_prompt_marker'
+  WHEN regexp_matches(t, '[A-Za-z]') THEN 'text_has_latin' WHEN NOT regexp_matches(t, '[一-鿿]') THEN 'text_not_chinese' END AS reason
+  FROM (SELECT doc_id, false AS made, text AS t FROM documents UNION ALL SELECT doc_id, true, {_MADE} FROM documents)""")
 def text_problem_reasons(spark, sf_dir):
-    k = F.col("doc_id") % 6
-    t = F.when(k == 0, F.col("text")).when(k == 1, "你好").when(k == 2, "12 3").when(k == 3, "<|x").when(k == 4, "   ").otherwise("你好 a")
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.text_problem(t).alias("reason"))
+    k = F.col("doc_id") % 5
+    t = F.when(k == 0, V.han("text")).when(k == 1, F.concat(V.han("text"), F.lit("<|x"))).when(k == 2, V.digits("text")).when(k == 3, V.blanked("text")).otherwise(F.concat(V.han("text"), F.lit(" a")))
+    return V.beside(V.table(spark, sf_dir, "documents"), t).select("doc_id", "made", T.text_problem(F.col("text")).alias("reason"))
 
 
 _CLASSIFIED = f"""WITH {V.SOURCES}, j AS (SELECT *, CASE WHEN extra THEN 'unknown_field' WHEN NOT regexp_matches(source_id, '^[A-Za-z0-9][A-Za-z0-9._:-]{{0,80}}$') THEN 'bad_source_id' END AS pre,
-  CASE WHEN language <> 'zh' THEN 'language' WHEN trim(text) = '' THEN 'empty_text' WHEN contains(text, '<asr_text>') THEN 'text_has_prompt_marker' WHEN regexp_matches(text, '[A-Za-z]') THEN 'text_has_latin'
+  CASE WHEN language <> 'zh' THEN 'language' WHEN {V.BLANK_SQL('text')} THEN 'empty_text' WHEN contains(text, 'language Chinese') OR contains(text, '<asr_text>') OR contains(text, '<|') THEN 'text_has_prompt_marker' WHEN regexp_matches(text, '[A-Za-z]') THEN 'text_has_latin'
     WHEN NOT regexp_matches(text, '[一-鿿]') THEN 'text_not_chinese' WHEN starts_with(audio, '../') THEN 'unsafe_audio_path' WHEN NOT has_audio THEN 'missing_audio' END AS post FROM sources),
 c AS (SELECT *, CASE WHEN pre IS NOT NULL THEN pre WHEN line > min(line) FILTER (pre IS NULL AND post IS NULL) OVER (PARTITION BY source_id) THEN 'duplicate_source' ELSE post END AS reason FROM j)"""
 
@@ -167,8 +171,8 @@ def full_outer_missing_reasons(spark, sf_dir):
     return joins.missing_either(*_pilot(spark, sf_dir), "utterance_id", "missing_duration", "missing_transcript", "duplicate_duration")
 
 
-@query(_PILOT + """ SELECT coalesce(t.utterance_id, o.utterance_id) AS utterance_id, CASE WHEN o.utterance_id IS NULL THEN 'missing_duration' WHEN t.utterance_id IS NULL THEN 'missing_transcript'
-  WHEN official_split = 'eval' THEN 'bad_official_split' WHEN trim(text) = '' THEN 'empty_text' WHEN contains(text, '<asr_text>') THEN 'text_has_prompt_marker' WHEN regexp_matches(text, '[A-Za-z]') THEN 'text_has_latin'
+@query(_PILOT + f""" SELECT coalesce(t.utterance_id, o.utterance_id) AS utterance_id, CASE WHEN o.utterance_id IS NULL THEN 'missing_duration' WHEN t.utterance_id IS NULL THEN 'missing_transcript'
+  WHEN official_split = 'eval' THEN 'bad_official_split' WHEN {V.BLANK_SQL('text')} THEN 'empty_text' WHEN contains(text, 'language Chinese') OR contains(text, '<asr_text>') OR contains(text, '<|') THEN 'text_has_prompt_marker' WHEN regexp_matches(text, '[A-Za-z]') THEN 'text_has_latin'
   WHEN NOT regexp_matches(text, '[一-鿿]') THEN 'text_not_chinese' WHEN NOT format_ok THEN 'bad_format' WHEN clipped_samples > 0 THEN 'hard_clip' WHEN duration_ms BETWEEN 500 AND 30000 THEN NULL ELSE 'duration_out_of_range' END AS reason
   FROM t FULL JOIN o ON t.utterance_id = o.utterance_id UNION ALL SELECT utterance_id, 'duplicate_duration' FROM dup""")
 def pilot_eligibility(spark, sf_dir):
@@ -192,7 +196,12 @@ def round_robin_target(spark, sf_dir):
     return windows.round_robin(_ranked(spark, sf_dir), "speaker_id", "duration_ms", ["rank", "line"], target=1_500_000).select("line", "turn", "position")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.SOURCES}, k AS (SELECT speaker_id, line, duration_ms, row_number() OVER (PARTITION BY speaker_id ORDER BY sha256('42:' || line || ':pilot'), line) AS i FROM sources WHERE duration_ms IS NOT NULL),
+c AS (SELECT DISTINCT speaker_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS turn, NULL::BIGINT AS line, NULL::BIGINT AS duration_ms, false AS taken FROM k
+  UNION ALL SELECT k.speaker_id, k.i, c.used + CASE WHEN c.used + k.duration_ms <= 30000 THEN k.duration_ms ELSE 0 END, c.turn + CASE WHEN c.used + k.duration_ms <= 30000 THEN 1 ELSE 0 END, k.line, k.duration_ms, c.used + k.duration_ms <= 30000
+  FROM c JOIN k ON k.speaker_id = c.speaker_id AND k.i = c.i + 1),
+p AS (SELECT line, turn, row_number() OVER w AS position, duration_ms, coalesce(sum(duration_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WHERE taken WINDOW w AS (ORDER BY turn, speaker_id))
+SELECT line, turn, position FROM p WHERE before < 900000 AND (SELECT sum(duration_ms) FROM p) >= 900000""")
 def round_robin_capped(spark, sf_dir):
     return windows.round_robin(_ranked(spark, sf_dir), "speaker_id", "duration_ms", ["rank", "line"], target=900_000, cap=30_000).select("line", "turn", "position")
 
@@ -232,11 +241,11 @@ def gap_strip(spark, sf_dir):
 
 
 @query(_PAIRS + """ SELECT scenario, sample_id, position FROM (SELECT *, row_number() OVER (PARTITION BY split, scenario ORDER BY sha256(concat_ws(chr(10), '42', split, scenario, sample_id)), sample_id) AS position
-  FROM pr WHERE reason IS NULL) WHERE position <= 3""")
+  FROM pr WHERE reason IS NULL) WHERE position <= 20""")
 def audit_topk_per_group(spark, sf_dir):
     p = paired(spark, sf_dir).where("bucket = 'pair'")
     rank = keyed(42, F.col("split"), F.col("scenario"), F.col("sample_id"), sep="\n")
-    return windows.top_k_per_group(p, ["split", "scenario"], rank, 3, "sample_id").select("scenario", "sample_id", "position")
+    return windows.top_k_per_group(p, ["split", "scenario"], rank, 20, "sample_id").select("scenario", "sample_id", "position")
 
 
 @query(_PAIRS + " SELECT sample_id FROM pr WHERE reason IS NULL ORDER BY sha256(concat_ws(chr(10), '42', split, sample_id)), sample_id LIMIT 12")

@@ -53,29 +53,47 @@ def fullwidth_latin(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.coalesce(t.rlike(T.FULLWIDTH_LATIN), F.lit(False)).alias("wide"))
 
 
-_MARK = "CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN '<SIL> sil' WHEN 2 THEN ' ' WHEN 3 THEN '<_><space>' WHEN 4 THEN '(sil)' WHEN 5 THEN 'sil ' || text WHEN 6 THEN NULL ELSE '  <sil>  ' END"
+def _both_sql(made):
+    """Rows (doc_id, made, t): each document's text, and beside it what `made` makes of it."""
+    return f"(SELECT doc_id, false AS made, text AS t FROM documents UNION ALL SELECT doc_id, true, {made} FROM documents)"
 
 
-@query(f"SELECT doc_id, coalesce(m <> '' AND NOT regexp_matches(m, '(?i)^(?:\\s|<sil>|\\(sil\\)|sil|<space>|<_>)+$'), false) AS active FROM (SELECT doc_id, regexp_replace({_MARK}, '^\\s+|\\s+$', '', 'g') AS m FROM documents)")
+_ENDS = f"'^[{V.SPACE_SQL}]+|[{V.SPACE_SQL}]+$'"
+_NOT_SILENT = "(?i)^(?:\\s|<sil>|\\(sil\\)|sil|<space>|<_>)*$"
+_WORDS = "regexp_replace(text, '\\S+', '{}', 'g')"
+_MARK = f"""CASE doc_id % 7 WHEN 0 THEN '<SIL> sil' || {V.BLANKED_SQL('text')} WHEN 1 THEN {V.BLANKED_SQL('text')} WHEN 2 THEN {_WORDS.format('<_><space>')} WHEN 3 THEN {_WORDS.format('(sil)')} WHEN 4 THEN {_WORDS.format('sil')} || text
+  WHEN 5 THEN NULL ELSE '  <sil>  ' || {_WORDS.format('Sil')} || ' <sil' END"""
+
+
+@query(f"SELECT doc_id, made, NOT regexp_matches(m, '{_NOT_SILENT}') AS active FROM (SELECT doc_id, made, regexp_replace(coalesce(t, ''), {_ENDS}, '', 'g') AS m FROM {_both_sql(_MARK)})")
 def active_speech(spark, sf_dir):
-    mark = _case(F.col("doc_id") % 8, F.col("text"), "<SIL> sil", " ", "<_><space>", "(sil)", F.concat(F.lit("sil "), "text"), F.lit(None).cast("string"), "  <sil>  ")
-    return _docs(spark, sf_dir).select("doc_id", F.coalesce(T.is_active_speech(mark), F.lit(False)).alias("active"))
+    words = lambda tag: F.regexp_replace("text", r"\S+", tag)
+    mark = _case(
+        F.col("doc_id") % 7, F.concat(F.lit("<SIL> sil"), V.blanked("text")), V.blanked("text"), words("<_><space>"), words("(sil)"), F.concat(words("sil"), "text"),
+        F.lit(None).cast("string"), F.concat(F.lit("  <sil>  "), words("Sil"), F.lit(" <sil")),
+    )
+    return V.beside(_docs(spark, sf_dir), mark).select("doc_id", "made", F.coalesce(T.is_active_speech(F.col("text")), F.lit(False)).alias("active"))
 
 
-_RAW = """CASE doc_id % 11 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '<sil>' WHEN 2 THEN '你好 /OVERLAP 吗' WHEN 3 THEN '<->&`x' WHEN 4 THEN '<asr_' || 'text>你好' WHEN 5 THEN '你好Ａ' WHEN 6 THEN '12，3'
-  WHEN 7 THEN '好。' WHEN 8 THEN '<SIL> 天气 <%> ' || doc_id WHEN 9 THEN '<->&`' ELSE '天地玄黄 ' || doc_id END"""
+_ZH = V.HAN_SQL("text")
+_RAW = f"""CASE doc_id % 10 WHEN 0 THEN '<sil>' || {V.BLANKED_SQL('text')} WHEN 1 THEN {_ZH} || ' /OVERLAP 吗' WHEN 2 THEN '<->&`' || text WHEN 3 THEN {_ZH} || '<asr_text>你好' WHEN 4 THEN {_ZH} || 'Ａ' WHEN 5 THEN {V.DIGITS_SQL('text')}
+  WHEN 6 THEN {_WORDS.format('。')} || '好' WHEN 7 THEN '<SIL> ' || {_ZH} || ' <%> ' || doc_id WHEN 8 THEN {_WORDS.format('<->&`')} ELSE {_ZH} END"""
 
 
-@query(f"""WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents), t AS (SELECT *, regexp_replace(regexp_replace(raw, '<sil>|<\\s*%\\s*>|<->|<\\$>|<#>|<_>|<space>|\\(~\\)|\\(sil\\)|`|&', '', 'gi'), '\\s+', '', 'g') AS t,
-  regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS m FROM r), w AS (SELECT *, CASE WHEN m = '' OR regexp_matches(m, '(?i)^(?:\\s|<sil>|\\(sil\\)|sil|<space>|<_>)+$') THEN 'silence_interval' WHEN contains(lower(raw), '/overlap') THEN 'overlap_tag'
+@query(f"""WITH r AS (SELECT doc_id, made, coalesce(t, '') AS raw FROM {_both_sql(_RAW)}), t AS (SELECT *, regexp_replace(regexp_replace(raw, '<sil>|<\\s*%\\s*>|<->|<\\$>|<#>|<_>|<space>|\\(~\\)|\\(sil\\)|`|&', '', 'gi'), '[{V.SPACE_SQL}]+', '', 'g') AS t,
+  regexp_replace(raw, {_ENDS}, '', 'g') AS m FROM r), w AS (SELECT *, CASE WHEN regexp_matches(m, '{_NOT_SILENT}') THEN 'silence_interval' WHEN contains(lower(raw), '/overlap') THEN 'overlap_tag'
   WHEN t = '' THEN 'empty_after_tag_strip' WHEN contains(lower(t), '<asr_text>') OR contains(t, '<|') THEN 'forbidden_prompt_token' WHEN regexp_matches(t, '[A-Za-zＡ-Ｚａ-ｚ]') THEN 'contains_latin_code_switch'
   WHEN NOT regexp_matches(t, '[一-鿿]') THEN 'no_cjk_char' WHEN length(regexp_replace(lower(t), '[\\p{{P}}\\p{{Z}}\\p{{Cc}}]', '', 'g')) < 2 THEN 'empty_or_too_short_text' END AS reason FROM t)
-SELECT doc_id, CASE WHEN reason IS NULL THEN t END AS cleaned, reason FROM w""")
+SELECT doc_id, made, CASE WHEN reason IS NULL THEN t END AS cleaned, reason FROM w""")
 def transcript_reasons(spark, sf_dir):
-    n = _text("doc_id")
-    raw = _case(F.col("doc_id") % 11, F.coalesce("text", F.lit("")), "<sil>", "你好 /OVERLAP 吗", "<->&`x", "<asr_text>你好", "你好Ａ", "12，3", "好。", F.concat(F.lit("<SIL> 天气 <%> "), n), "<->&`", F.concat(F.lit("天地玄黄 "), n))
-    got = _docs(spark, sf_dir).select("doc_id", T.clean_transcript(raw, norm=T.normalize_fast).alias("c"))
-    return got.select("doc_id", F.col("c.text").alias("cleaned"), F.col("c.reason").alias("reason"))
+    zh, words = V.han("text"), lambda tag: F.regexp_replace("text", r"\S+", tag)
+    raw = _case(
+        F.col("doc_id") % 10, F.concat(F.lit("<sil>"), V.blanked("text")), F.concat(zh, F.lit(" /OVERLAP 吗")), F.concat(F.lit("<->&`"), "text"), F.concat(zh, F.lit("<asr_text>你好")), F.concat(zh, F.lit("Ａ")),
+        V.digits("text"), F.concat(words("。"), F.lit("好")), F.concat(F.lit("<SIL> "), zh, F.lit(" <%> "), _text("doc_id")), words("<->&`"), zh,
+    )
+    both = V.beside(_docs(spark, sf_dir), raw).withColumn("text", F.coalesce("text", F.lit("")))
+    got = both.select("doc_id", "made", T.clean_transcript(F.col("text"), norm=T.normalize_fast).alias("c"))
+    return got.select("doc_id", "made", F.col("c.text").alias("cleaned"), F.col("c.reason").alias("reason"))
 
 
 _NAME = "CASE doc_id % 4 WHEN 0 THEN 'R' || (doc_id % 97) || '_M' || (doc_id % 7) || '_spk' || doc_id || '_x' WHEN 1 THEN '__R1_' || source || '__SPK0' WHEN 2 THEN ' single ' ELSE 'a_' || doc_id END"
@@ -97,13 +115,13 @@ def utterance_speakers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.utterance_speaker(u).alias("speaker"))
 
 
-_SAID = "CASE doc_id % 4 WHEN 0 THEN text || ' <|im_end|>' WHEN 1 THEN 'language X<asr_text> ' || text || '<asr_text>tail <|endoftext|>' WHEN 2 THEN text ELSE '<asr_text>' END"
+_SAID = "CASE doc_id % 4 WHEN 0 THEN text || ' <|im_end|>' WHEN 1 THEN 'language X<asr_text> ' || text || '<asr_text>tail <|endoftext|>' WHEN 2 THEN text ELSE text || '<asr_text>' END"
 
 
 @query(f"""SELECT doc_id, sha256(regexp_replace(CASE WHEN contains(p, '<asr_text>') THEN substr(p, strpos(p, '<asr_text>') + 10) ELSE p END, '^\\s+|\\s+$', '', 'g')) AS said_sha
 FROM (SELECT doc_id, regexp_replace(replace(replace({_SAID}, '<|im_end|>', ''), '<|endoftext|>', ''), '^\\s+|\\s+$', '', 'g') AS p FROM documents)""")
 def generation_texts(spark, sf_dir):
-    raw = _case(F.col("doc_id") % 4, F.concat("text", F.lit(" <|im_end|>")), F.concat(F.lit("language X<asr_text> "), "text", F.lit("<asr_text>tail <|endoftext|>")), F.col("text"), F.lit("<asr_text>"))
+    raw = _case(F.col("doc_id") % 4, F.concat("text", F.lit(" <|im_end|>")), F.concat(F.lit("language X<asr_text> "), "text", F.lit("<asr_text>tail <|endoftext|>")), F.col("text"), F.concat("text", F.lit("<asr_text>")))
     return _docs(spark, sf_dir).select("doc_id", F.sha2(T.generation_text(raw), 256).alias("said_sha"))
 
 
@@ -125,11 +143,15 @@ def decode_stops(spark, sf_dir):
     return A.decode_stops(V.table(spark, sf_dir, "orders").select(_ids().alias("ids")), "ids", 4)
 
 
-@query("""SELECT doc_id, t = '' OR regexp_replace(replace(lower(t), 'ß', 'ss'), '[\\p{P}\\p{Z}\\p{Cc}]', '', 'g') <> t AS punctuated
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'plain' || doc_id ELSE '' END AS t FROM documents)""")
+_PLAIN = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[\\p{{P}}\\p{{Z}}\\p{{Cc}}]', '', 'g')"
+_BARE = f"CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN {_PLAIN.format('text')} ELSE {_PLAIN.format('text')} || '!' END"
+
+
+@query(f"SELECT doc_id, made, t = '' OR {_PLAIN.format('t')} <> t AS punctuated FROM {_both_sql(_BARE)}")
 def punctuated_texts(spark, sf_dir):
-    t = _case(F.col("doc_id") % 3, F.col("text"), F.concat(F.lit("plain"), _text("doc_id")), F.lit(""))
-    return _docs(spark, sf_dir).select("doc_id", T.has_punctuation(t, T.normalize_fast).alias("punctuated"))
+    plain = T.normalize_fast(F.col("text"))
+    made = _case(F.col("doc_id") % 3, "", plain, F.concat(plain, F.lit("!")))
+    return V.beside(_docs(spark, sf_dir), made).select("doc_id", "made", T.has_punctuation(F.col("text"), T.normalize_fast).alias("punctuated"))
 
 
 _PATH = "CASE doc_id % 7 WHEN 0 THEN '../a' || doc_id WHEN 1 THEN '/abs/' || doc_id WHEN 2 THEN 'a\\b' WHEN 3 THEN 'a/..b/' || doc_id WHEN 4 THEN '' WHEN 5 THEN 'a/../b' ELSE source || '/' || doc_id || '.wav' END"
@@ -299,9 +321,9 @@ def builder_rows(spark, sf_dir):
     return manifest.builder_rows(s, "wav")
 
 
-@query(f"""WITH {V.SOURCES} SELECT 'r1' AS schema_version, CASE WHEN regexp_matches(source_id, '^[A-Za-z0-9][A-Za-z0-9._:-]{{0,80}}$') THEN source_id ELSE 'line-' || line END AS sample_id, 'empty_text' AS reason FROM sources WHERE trim(text) = ''""")
+@query(f"""WITH {V.SOURCES} SELECT 'r1' AS schema_version, CASE WHEN regexp_matches(source_id, '^[A-Za-z0-9][A-Za-z0-9._:-]{{0,80}}$') THEN source_id ELSE 'line-' || line END AS sample_id, 'empty_text' AS reason FROM sources WHERE {V.BLANK_SQL('text')}""")
 def reject_rows(spark, sf_dir):
-    return timeline.rejects(V.sources(spark, sf_dir).withColumn("reason", F.when(F.trim("text") == "", "empty_text")), "source_id", "r1")
+    return timeline.rejects(V.sources(spark, sf_dir).withColumn("reason", F.when(T.is_blank(F.col("text")), "empty_text")), "source_id", "r1")
 
 
 @query(f"""WITH {V.INTERVALS} SELECT s || '__' || t AS sample_id, t AS scenario, round(xmax - xmin, 6) AS duration_sec FROM (SELECT *, concat_ws('_', 'alimeeting', meeting, speaker, lpad(round_even(xmin * 100, 0)::BIGINT::VARCHAR, 7, '0'),
@@ -491,17 +513,31 @@ def _parents(m):
     return parent, m.withColumn("micro_cer", F.col("micro_cer") - 0.05)
 
 
-@query(f"WITH {_GATED} SELECT code, scope, round(value, 9) AS value FROM v UNION ALL SELECT 'preference_accuracy', 'preference', 0.5 UNION ALL SELECT 'val_pairs', 'preference', 20")
+_HELD = "d AS (SELECT (pair_id * 7919) % 1000 - (pair_id * 104729) % 1000 AS d FROM preferences WHERE substr(group_id, 2)::BIGINT % 50 = 1)"
+
+
+@query(f"WITH {V.PREFERENCES}, {_HELD}, {_GATED} SELECT code, scope, round(value, 9) AS value FROM v UNION ALL SELECT * FROM (SELECT 'preference_accuracy', 'preference', round((count(*) FILTER (d > 0) + 0.5 * count(*) FILTER (d = 0)) / count(*), 9) AS a FROM d) WHERE NOT (a >= 0.55 AND a > 0.5) UNION ALL SELECT 'val_pairs', 'preference', count(*) FROM d HAVING count(*) < 100")
 def dpo_gate(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    preference = spark.createDataFrame([(0.5, 20)], "accuracy double, pairs long")
+    # a validation split of one customer in fifty
+    held = V.preferences(spark, sf_dir).where("cast(substring(group_id, 2) as long) % 50 = 1")
+    preference = A.preference_accuracy(held.withColumn("d", (F.col("pair_id") * 7919) % 1000 - (F.col("pair_id") * 104729) % 1000), "d").select("accuracy", "pairs")
     return gates.dpo_violations(m, *_parents(m), _LIMITS, preference).withColumn("value", F.round("value", 9))
 
 
-@query(f"WITH {_GATED} SELECT code, scope, round(value, 9) AS value FROM v UNION ALL SELECT 'reference_changed', 'run', 1 UNION ALL SELECT 'raw_kl', 'run', 0.07 UNION ALL SELECT 'reward_drop', 'run', -0.1")
+_RUN = """r AS (SELECT avg(reward - 0.1 * candidate_index) FILTER (candidate_index = 5) - avg(reward) FILTER (candidate_index = 0) AS drop, bool_and(pair_id % 211 <> 7) AS same,
+  avg(((exp(reference_logp[1] - policy_logp[1]) - 1 - (reference_logp[1] - policy_logp[1])) + (exp(reference_logp[2] - policy_logp[2]) - 1 - (reference_logp[2] - policy_logp[2]))) / 2) AS kl FROM preferences)"""
+
+
+@query(f"WITH {V.PREFERENCES}, {_RUN}, {_GATED} SELECT code, scope, round(value, 9) AS value FROM v UNION ALL SELECT 'reference_changed', 'run', 1 FROM r WHERE NOT same UNION ALL SELECT 'raw_kl', 'run', round(kl, 9) FROM r WHERE kl > 0.05 UNION ALL SELECT 'reward_drop', 'run', round(drop, 9) FROM r WHERE drop < -0.02")
 def rl_gate(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    run = spark.createDataFrame([(0.8, 0.7, 0.07, False)], "step0_reward double, reward double, raw_kl double, reference_matched boolean")
+    at = lambda k, c: F.avg(F.when(F.col("candidate_index") == k, c))
+    cached = F.col("ref_chosen_logp") + F.when(F.col("pair_id") % 211 == 7, 0.01).otherwise(0.0)
+    run = V.preferences(spark, sf_dir).agg(
+        at(0, F.col("reward")).alias("step0_reward"), at(5, F.col("reward") - 0.1 * F.col("candidate_index")).alias("reward"),
+        F.avg(maths.k3(F.col("policy_logp"), F.col("reference_logp"))).alias("raw_kl"), F.every(maths.matches_within(F.col("ref_chosen_logp"), cached)["ok"]).alias("reference_matched"),
+    )
     return gates.rl_violations(m, *_parents(m), _LIMITS, run).withColumn("value", F.round("value", 9))
 
 

@@ -100,9 +100,10 @@ def logprob_tolerance(spark, sf_dir):
     return V.preferences(spark, sf_dir).select("pair_id", maths.matches_within(F.col("chosen_logp"), fresh)["ok"].alias("ok"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s <= 0 THEN 0 WHEN s <= 10 THEN s / 10 WHEN s >= 100 THEN 0.1 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 10) / 90)) END, 9)::DOUBLE AS multiplier FROM (SELECT r::DOUBLE::BIGINT AS s FROM range(0, 120) t(r))")
+@query("SELECT o_orderkey, s AS step, round(CASE WHEN s <= 0 THEN 0 WHEN s <= 10 THEN s / 10 WHEN s >= 100 THEN 0.1 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 10) / 90)) END, 9)::DOUBLE AS multiplier FROM (SELECT o_orderkey, o_orderkey % 120 AS s FROM orders)")
 def warmup_cosine(spark, sf_dir):
-    return spark.range(0, 120).select(F.col("id").alias("step"), F.round(maths.lr_multiplier(F.col("id"), 10, 100, 0.1), 9).alias("multiplier"))
+    step = F.col("o_orderkey") % 120
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", step.alias("step"), F.round(maths.lr_multiplier(step, 10, 100, 0.1), 9).alias("multiplier"))
 
 
 @query()

@@ -43,7 +43,11 @@ def stratified_round_robin(spark, sf_dir):
     return taken.select("id", "meeting", "position")
 
 
-@query()
+# a stratum's visit in round t + 1 looks at the rows behind its t-th passing one; it comes if fewer than 130 were taken before it and round t took one
+@query(f"""WITH {V.INTERVALS}, s AS (SELECT id, meeting, passed, sum(passed::INT) OVER (PARTITION BY meeting ORDER BY sha256('42:' || id || ':ood'), id) AS turn FROM intervals),
+p AS (SELECT meeting, turn, row_number() OVER (ORDER BY turn, meeting) AS position FROM s WHERE passed), l AS (SELECT s.id, s.meeting, s.turn, count(p.position) AS ahead FROM s LEFT JOIN p ON p.turn <= s.turn OR (p.turn = s.turn + 1 AND p.meeting < s.meeting)
+  WHERE NOT s.passed GROUP BY ALL)
+SELECT id, meeting FROM l WHERE ahead < 130 AND turn <= (SELECT coalesce(max(turn), 0) FROM p WHERE position <= 130)""")
 def stratified_round_robin_rejects(spark, sf_dir):
     _, lost = windows.stratified_round_robin(V.intervals(spark, sf_dir), "meeting", keyed(42, F.col("id").cast("string"), "ood"), "id", 130)
     return lost.select("id", "meeting")

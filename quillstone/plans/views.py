@@ -16,6 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What Latin letters become, A to Z and a to z alike, so that a document reads as a Chinese transcript.
+LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余" * 2
+
+
+def han(text):
+    """The whole text with Chinese characters for its Latin letters."""
+    return F.translate(text, LATIN, HAN)
+
+
+def digits(text):
+    """The whole text with 7 for its Latin letters."""
+    return F.regexp_replace(text, "[A-Za-z]", "7")
+
+
+def blanked(text):
+    """As many blanks as the text has characters."""
+    return F.regexp_replace(text, "(?s).", " ")
+
+
+def beside(docs: DataFrame, made) -> DataFrame:
+    """Rows (doc_id, made, text): each document's text, and beside it what `made` makes of it."""
+    forms = F.array(F.struct(F.lit(False).alias("made"), F.col("text").alias("text")), F.struct(F.lit(True).alias("made"), made.alias("text")))
+    return docs.select("doc_id", F.explode(forms).alias("_f")).select("doc_id", "_f.made", "_f.text")
+
+
+#: The same in SQL.
+HAN_SQL = f"translate({{}}, '{LATIN}', '{HAN}')".format
+DIGITS_SQL = "regexp_replace({}, '[A-Za-z]', '7', 'g')".format
+BLANKED_SQL = "regexp_replace({}, '.', ' ', 'gs')".format
+#: Unicode white space inside a character class.
+SPACE_SQL = "\\t-\\r\\x{85}\\p{Z}"
+BLANK_SQL = f"(regexp_replace(coalesce({{}}, ''), '[{SPACE_SQL.replace('{', '{{').replace('}', '}}')}]', '', 'g') = '')".format
+
+
 def _pick(i, names):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
 
@@ -68,21 +103,24 @@ SCORED = SAMPLES + """, normed AS (
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as manifest sources: ids that repeat, some of them and some paths and texts bad."""
+    """Documents as manifest sources: ids that repeat, some of them and some paths and texts bad.
+
+    Texts are the documents' own, whole, in Chinese characters; a bad one has its fault beside them.
+    """
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
         i.alias("line"), F.when(i % 53 == 0, "bad id!").otherwise(F.concat(F.lit("u"), (i % 700).cast("string"))).alias("source_id"),
-        F.when(i % 29 == 0, "  ").when(i % 31 == 0, "<asr_text>x").when(i % 37 == 0, "abc").when(i % 41 == 0, "42").otherwise(F.concat(F.lit("天地"), (i % 900).cast("string"))).alias("text"),
+        F.when(i % 29 == 0, blanked("text")).when(i % 31 == 0, F.concat(han("text"), F.lit("<asr_text>x"))).when(i % 37 == 0, F.concat(han("text"), F.lit("abc"))).when(i % 41 == 0, digits("text")).otherwise(han("text")).alias("text"),
         F.when(i % 43 == 0, "en").otherwise("zh").alias("language"), F.when(i % 47 == 0, "../x.wav").otherwise(F.concat(F.lit("wav/"), i.cast("string"), F.lit(".wav"))).alias("audio"),
         (i % 59 != 0).alias("has_audio"), (i % 61 == 0).alias("extra"), F.concat(F.lit("S"), (i % 90).cast("string")).alias("speaker_id"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("audio_sha"), (F.length("text") * 7 % 32000).cast("long").alias("duration_ms"),
     )
 
 
-SOURCES = """sources AS (
+SOURCES = f"""sources AS (
   SELECT doc_id AS line, CASE WHEN doc_id % 53 = 0 THEN 'bad id!' ELSE 'u' || (doc_id % 700) END AS source_id,
-    CASE WHEN doc_id % 29 = 0 THEN '  ' WHEN doc_id % 31 = 0 THEN '<asr_text>x' WHEN doc_id % 37 = 0 THEN 'abc' WHEN doc_id % 41 = 0 THEN '42' ELSE '天地' || (doc_id % 900) END AS text,
+    CASE WHEN doc_id % 29 = 0 THEN {BLANKED_SQL('text')} WHEN doc_id % 31 = 0 THEN {HAN_SQL('text')} || '<asr_text>x' WHEN doc_id % 37 = 0 THEN {HAN_SQL('text')} || 'abc' WHEN doc_id % 41 = 0 THEN {DIGITS_SQL('text')} ELSE {HAN_SQL('text')} END AS text,
     CASE WHEN doc_id % 43 = 0 THEN 'en' ELSE 'zh' END AS language, CASE WHEN doc_id % 47 = 0 THEN '../x.wav' ELSE 'wav/' || doc_id || '.wav' END AS audio,
     doc_id % 59 <> 0 AS has_audio, doc_id % 61 = 0 AS extra, 'S' || (doc_id % 90) AS speaker_id,
     sha256(coalesce(text, '')) AS audio_sha, (length(text) * 7 % 32000)::BIGINT AS duration_ms FROM documents)"""

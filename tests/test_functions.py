@@ -144,3 +144,18 @@ def test_segmentation_by_a_locked_dictionary(spark, tmp_path):
             G.load_dictionary(str(path), version, digest, "1.0")
     rows = spark.createDataFrame([(1, "中国人"), (2, None), (3, "")], "id long, text string")
     assert {r.id: r.words for r in G.segmented(rows, "text", "words", words).collect()} == {1: ["中国人"], 2: None, 3: []}
+
+
+def test_silence_tags_in_any_number(spark):
+    rows = [("sil " * 50_000, False), ("<SIL>(sil)<_> <space>" * 20_000, False), ("<sil " * 3, True), ("sil " * 50_000 + "x", True), ("  sil ", False), ("", False), (None, False)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("want", T.is_active_speech(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_bound_values_and_clean_transcript_on_edges(spark):
+    df = spark.createDataFrame([("好" * 100_000,), ("",), (None,), ("<sil>" * 30_000 + "你好",)], "t string")
+    got = [(r.c.reason, None if r.c.text is None else len(r.c.text)) for r in df.select(T.clean_transcript(F.col("t")).alias("c")).collect()]
+    assert got == [(None, 100_000), ("silence_interval", None), ("silence_interval", None), (None, 2)]
+    fast = [(r.c.reason, None if r.c.text is None else len(r.c.text)) for r in df.select(T.clean_transcript(F.col("t"), norm=T.normalize_fast).alias("c")).collect()]
+    assert fast == got
+    assert [r.x for r in df.select(T.bound(F.length("t"), lambda n: n + n).alias("x")).collect()] == [200_000, 0, None, 300_004]
