@@ -159,3 +159,13 @@ def test_bound_values_and_clean_transcript_on_edges(spark):
     fast = [(r.c.reason, None if r.c.text is None else len(r.c.text)) for r in df.select(T.clean_transcript(F.col("t"), norm=T.normalize_fast).alias("c")).collect()]
     assert fast == got
     assert [r.x for r in df.select(T.bound(F.length("t"), lambda n: n + n).alias("x")).collect()] == [200_000, 0, None, 300_004]
+
+
+def test_word_scores_equal_plain_distances(spark):
+    draw = random.Random(3)
+    rows = [([draw.choice(["to", "too", "be"]) for _ in range(draw.randrange(1, 8))], [draw.choice(["to", "too", "be"]) for _ in range(draw.randrange(8))], i % 5 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "r array<string>, p array<string>, failed boolean")
+    got = df.select("r", "p", "failed", *[c.alias(n) for n, c in S.word_scored(F.col("r"), F.col("p"), F.col("failed")).items()]).collect()
+    for x in got:
+        want = slow_distance(x.r, [] if x.failed else x.p)
+        assert (x.word_edit_count, x.reference_word_count, x.sample_wer) == (want, len(x.r), want / len(x.r))
