@@ -81,3 +81,21 @@ def segmented(rows: DataFrame, text: str, name: str, words: Dictionary) -> DataF
             yield pdf.assign(**{name: [segment(t, shared.value) if isinstance(t, str) else None for t in pdf[text]]})
 
     return rows.mapInPandas(each, schema)
+
+
+def dictionary_of(words: DataFrame, word: str, version: str, most: int = 200_000) -> tuple[Dictionary, str]:
+    """A dictionary of counted words with its digest, of the lines "word count" by word; more than `most` distinct words raise.
+
+    It goes to every task, so its size is checked before anything comes to the driver. Null and blank words, and those with white space, don't count.
+    """
+    from pyspark.sql import functions as F
+
+    counted = words.where(F.col(word).isNotNull() & ~F.col(word).rlike(r"(?U)\s|^$")).groupBy(word).agg(F.count("*").alias("n"))
+    found = counted.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} words")
+    counts = sorted((r[word], r["n"]) for r in found)
+    digest = hashlib.sha256("".join(f"{w} {n}\n" for w, n in counts).encode("utf-8")).hexdigest()
+    total = math.log(max(1, sum(n for _, n in counts)))
+    weights = {w: math.log(n) - total for w, n in counts}
+    return Dictionary(version, weights, max(map(len, weights), default=1), -total), digest

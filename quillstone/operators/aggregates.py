@@ -234,7 +234,7 @@ def generator_slice(seed: int, number: int, n: int) -> np.ndarray:
 
 
 def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: str, refs: str, draws: int = 2000, seed: int = 42, held: int = 1_000_000) -> DataFrame:
-    """(comparison, delta, low, high): the ratio b - a over refs and its 2.5 and 97.5 percentiles.
+    """(comparison, delta, low, high): the ratio b - a over refs, at least one, and its 2.5 and 97.5 percentiles.
 
     Clusters are resampled as `default_rng(seed).integers(0, n, (draws, n))` does, in cluster order, in
     many tasks: the generator's outputs are cut into slices, each made by jumping ahead. What a
@@ -244,7 +244,7 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
     from quillstone.operators.windows import global_index
 
     placed = global_index(sums.select(comparison, cluster, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(refs).cast("double").alias("_r")), [comparison, cluster], "_g")
-    sizes = placed.groupBy(comparison).agg(F.count("*").alias("_n"), F.min("_g").alias("_first"), ratio(F.sum("_b") - F.sum("_a"), F.sum("_r")).alias("delta"))
+    sizes = placed.groupBy(comparison).agg(F.count("*").alias("_n"), F.min("_g").alias("_first"), ratio(F.sum("_b") - F.sum("_a"), F.greatest(F.sum("_r"), F.lit(1.0))).alias("delta"))
     sizes = cut(sizes.withColumn("_wanted", F.col("_n") * draws))
     placed = cut(placed.join(sizes.select(comparison, "_first"), comparison).withColumn("_i", F.col("_g") - F.col("_first")).drop("_g", "_first"))
     # room for what is passed over: at worst every second output, in fact one in 2^32 / n
@@ -297,7 +297,7 @@ def bootstrap_numpy(sums: DataFrame, comparison: str, cluster: str, a: str, b: s
     else:
         met = used.mapInPandas(listed, f"{comparison} {kind}, _draw long, _i long, _m long").join(placed, [comparison, "_i"])
         sums_of = met.select(comparison, "_draw", (F.col("_m") * (F.col("_b") - F.col("_a"))).alias("_d"), (F.col("_m") * F.col("_r")).alias("_rs"))
-    deltas = sums_of.groupBy(comparison, "_draw").agg((F.sum("_d") / F.sum("_rs")).alias("_x"))
+    deltas = sums_of.groupBy(comparison, "_draw").agg((F.sum("_d") / F.greatest(F.sum("_rs"), F.lit(1.0))).alias("_x"))
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = np.percentile(pdf["_x"].to_numpy(), [2.5, 97.5])
