@@ -66,7 +66,7 @@ def cell_rows(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: f
 
 
 def cosine_links(cells: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Rows (id, n, root): for a class and a block, the vectors linked there and one of them.
+    """Rows (id, n, root): for a class and a block, the vectors linked there (0 where it is only told) and one of its component.
 
     All rows of a cell, visitors too, are compared with its home rows, `block` by `block`; cells
     larger than that are cut by a hash of the id, so that no task has more than two blocks.
@@ -96,7 +96,9 @@ def cosine_links(cells: DataFrame, threshold: float, block: int) -> DataFrame:
             i, j = np.nonzero(near)
             held = np.arange(len(ids))
             root = forest(len(ids), np.r_[a[at + i], held], np.r_[b[j], root])
-        return pd.DataFrame({"id": ids[a], "n": n, "root": ids[root[a]]})[n > 0]
+        # a told row may be linked to others only by way of the one that asks, so it is named, too
+        out = pd.DataFrame({"id": ids[np.r_[a, b]], "n": np.r_[n, np.zeros(len(b), np.int64)], "root": ids[root[np.r_[a, b]]]})
+        return out[(out["n"] > 0) | (out["id"] != out["root"])]
 
     return both.groupBy(*key).applyInPandas(each, "id long, n long, root long")
 

@@ -58,6 +58,15 @@ def test_many_cells_and_blocks_lose_no_link(spark):
     assert max(n for n, _ in want.values()) > 40
 
 
+def test_chains_across_blocks(spark):
+    """Links that only a row of another block knows of: one cell, blocks of a few rows."""
+    for seed in range(2):
+        ids = np.random.default_rng(seed).permutation(60).tolist()
+        rows = [(ids[i], [math.cos(0.3 * (i % 15)) if j == 2 * (i // 15) else math.sin(0.3 * (i % 15)) if j == 2 * (i // 15) + 1 else 0.0 for j in range(8)], 1) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        assert table(embeddings.embedding_groups(df, block=6, most_cells=1)) == brute(rows)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
