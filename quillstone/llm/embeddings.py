@@ -37,32 +37,85 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & sound & F.exists(e, lambda x: x != 0))
 
 
-def cell_rows(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Rows (label, dim, cell, home, id, m, embedding): each class at home, and as a visitor in
-    every other cell that may hold a vector within the threshold.
+CELL = ["label", "dim", "cell"]
+ROWS = "label int, dim int, cell string, home boolean, id long, m long, embedding array<double>"
+
+
+def chord_of(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9)
 
-    A vector y of another cell is at least as near that cell's centroid c as its own h is to x,
-    so |x - y| is at least x's distance from the plane between h and c; cells beyond the chord
-    of the threshold can hold no partner. No link is lost at a cell's border.
+
+def visits(x: np.ndarray, c: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): the cells of centroids c that hold unit vectors x or may hold a vector within the chord of them.
+
+    A vector y of another cell is at least as near that cell's centroid as its own, h, is to x,
+    so |x - y| is at least x's distance from the plane between the two; cells beyond the chord
+    can hold no partner. No link is lost at a cell's border.
     """
-    chord = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    schema = "label int, dim int, cell int, home boolean, id long, m long, embedding array<double>"
+    s = x @ c.T
+    home = np.argmax(s, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
+    gap = (s[np.arange(len(s)), home][:, None] - s) / np.where(apart > 0, apart, 1)
+    row, cell = np.nonzero(gap <= chord)
+    return row, cell, cell == home[row]
+
+
+def cell_rows(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Rows (label, dim, cell, home, id, m, embedding): each class at home, and as a visitor in
+    every other cell that may hold a vector within the threshold."""
+    chord = chord_of(threshold)
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                c = shared.value[dim]
-                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                s = unit(x) @ c.T
-                home = np.argmax(s, axis=1)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                gap = (s[np.arange(len(s)), home][:, None] - s) / np.where(apart > 0, apart, 1)
-                row, cell = np.nonzero(gap <= chord)
+                x = unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
+                row, cell, home = visits(x, shared.value[dim], chord)
                 out = part.iloc[row][["label", "dim", "id", "m", "embedding"]].reset_index(drop=True)
-                yield out.assign(cell=cell, home=cell == home[row])[["label", "dim", "cell", "home", "id", "m", "embedding"]]
+                yield out.assign(cell=cell.astype(str), home=home)[["label", "dim", "cell", "home", "id", "m", "embedding"]]
+
+    return classes.mapInPandas(each, ROWS)
 
-    return classes.mapInPandas(each, schema)
+
+def split_cells(cells: DataFrame, threshold: float, block: int, sample: int, most_cells: int) -> DataFrame:
+    """`cells` with every one of more than four blocks of home rows cut by centroids of its own, until none is left or they
+    no longer shrink; what then is still crowded is compared in blocks.
+
+    A cell's centroids come from about `sample` of its home rows, by a hash of the id, one for each block, at most `most_cells`. Its
+    rows, visitors too, meet them a slice of about a block at a time. A row is at home where it was
+    and its nearest centroid says so, and visits the other parts within reach, so no link is lost.
+    """
+    chord, largest, level = chord_of(threshold), float("inf"), 0
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack(pdf.sort_values("id")["embedding"].to_numpy()).astype(np.float64))
+        c = spherical_kmeans(x, int(min(pdf["k"].iloc[0], len(x))))
+        return pdf.iloc[:1][CELL].assign(centroids=[c.tolist()])
+
+    def part(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or own.empty:  # a cell of which no row was drawn stays whole
+            return rows[[*CELL, "home", "id", "m", "embedding"]]
+        x = unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+        row, cell, home = visits(x, np.stack([np.asarray(c, np.float64) for c in own["centroids"].iloc[0]]), chord)
+        out = rows.iloc[row][[*CELL, "home", "id", "m", "embedding"]].reset_index(drop=True)
+        return out.assign(cell=out["cell"] + "/" + cell.astype(str), home=out["home"].to_numpy(bool) & home)
+
+    while True:
+        size = cells.groupBy(*CELL).agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).where(F.col("homes") > 4 * block)
+        size = size.withColumns({"k": F.least(F.ceil(F.col("homes") / block), F.lit(most_cells)).cast("int"), "slices": F.ceil(F.col("rows") / block).cast("int")})
+        size = cut(size)
+        now = size.agg(F.max("homes")).first()[0]
+        if now is None or now > 0.9 * largest:
+            return cells
+        largest, level = now, level + 1
+        inside = cells.join(size, CELL)
+        drawn = inside.where(F.col("home") & (F.pmod(F.xxhash64(F.lit(level), "id"), "homes") < sample))
+        own = drawn.select(*CELL, "id", "embedding", "k").groupBy(*CELL).applyInPandas(fit, "label int, dim int, cell string, centroids array<array<double>>")
+        own = cut(own).join(size, CELL).select(*CELL, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "centroids")
+        met = inside.withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).select(*CELL, "slice", "home", "id", "m", "embedding")
+        parts = met.groupBy(*CELL, "slice").cogroup(own.groupBy(*CELL, "slice")).applyInPandas(part, ROWS)
+        cells = cut(cells.join(size.select(*CELL), CELL, "left_anti").select(*parts.columns).unionByName(parts))
 
 
 def cosine_links(cells: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -110,7 +163,8 @@ def embedding_groups(
 
     Equal vectors of a label are one class with a count, so a group of copies costs one row.
     Centroids come from at most `sample` classes (by a hash of the id), one for each `block`
-    classes of the largest label, at most `most_cells`; every class is assigned and compared.
+    classes of the largest label, at most `most_cells`; cells that are still crowded are cut
+    again in the same way. Every class is assigned and compared.
     A row without label or a sound vector has no link, its own id as component, and is kept.
     Rows without vec_id link and count, but name no component unless another row does. Vectors
     of unequal length are never compared. An empty table gives an empty one.
@@ -127,6 +181,7 @@ def embedding_groups(
         x = unit(np.stack(got["embedding"].to_numpy()).astype(np.float64))
         centroids[dim] = spherical_kmeans(x, int(min(most_cells, max(1, -(-largest // block)), len(x))))
     cells = cut(cell_rows(classes.select("label", "dim", "id", "m", "embedding"), centroids, threshold))
+    cells = split_cells(cells, threshold, block, sample, most_cells)
     found = cut(cosine_links(cells, threshold, block))
     links = found.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -67,6 +67,24 @@ def test_chains_across_blocks(spark):
         assert table(embeddings.embedding_groups(df, block=6, most_cells=1)) == brute(rows)
 
 
+def test_crowded_cells_are_cut_again(spark):
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(30, 12))
+    rows = [(i, (centres[i % 30] + draw.normal(size=12) * (0.15 if i % 2 else 0.6)).tolist(), 1) for i in range(600)]
+    # one direction, different lengths: no centroid can part them
+    rows += [(600 + i, [float(i + 1)] * 12, 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert table(embeddings.embedding_groups(df, block=8, most_cells=3)) == brute(rows)
+    classes = df.selectExpr("label", "12 AS dim", "vec_id AS id", "1L AS m", "embedding").where("label = 1")
+    x = embeddings.unit(np.array([r[1] for r in rows[:600]]))
+    whole = embeddings.cell_rows(classes, {12: embeddings.spherical_kmeans(x, 3)}, 0.93)
+    parts = embeddings.split_cells(whole, 0.93, 8, 200, 3)
+    assert parts.where("home").count() == 600 and parts.where("home").select("id").distinct().count() == 600
+    homes = lambda df: max(r["count"] for r in df.where("home").groupBy("cell").count().collect())
+    assert homes(parts) < homes(whole) / 3
+    assert embeddings.split_cells(whole.limit(0), 0.93, 8, 200, 3).count() == 0
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
