@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources import variants
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,34 +40,61 @@ def frozen(prefix: str, table: dict[str, str], **guards) -> tuple[Rule, ...]:
 
 
 def violations(found: DataFrame, key: str, rules: RuleSet) -> DataFrame:
-    """Rows (key, rule, path) of `leaves(key, path, kind, value, number)` that break a rule.
+    """Rows (key, rule, path) of `leaves(key, path, kind, value, number)` that break a rule; see `violations_in`."""
+    found = variants.together(found, key).where(F.exists("leaves", lambda x: (x["path"] == "$") & (x["kind"] == "object")))
+    at = lambda p: F.get(F.filter("leaves", lambda x: x["path"] == p), F.lit(0))["value"]
+    texts = [at(p) for p in _asked(rules)]
+    return _judged(found.select(key, F.array(*texts).alias("_texts")), key, rules)
+
+
+def violations_in(configs: DataFrame, key: str, text: str, rules: RuleSet) -> DataFrame:
+    """Rows (key, rule, path) of JSON documents that break a rule, each judged in its own row, with no shuffle.
 
-    Numbers are compared as doubles, everything else as text (arrays as their JSON). Guards and rules are
-    small tables and meet the leaves in equi-joins on the path; documents that are malformed are not judged.
+    Numbers are compared as doubles, everything else as text (arrays as their JSON, objects as absent);
+    documents that are malformed, or no objects, are not judged.
     """
-    spark = found.sparkSession
-    plain = lambda c: F.coalesce(F.col(c).try_cast("double").cast("string"), F.col(c))
-    text = F.coalesce(F.col("number").cast("string"), plain("value"))  # null for null, which counts as absent
-    asked = {p for g in rules.guards.values() for p in g} | {r.path for r in rules.rules} | {r.other for r in rules.rules if r.other}
-    docs = found.where("path = '$' AND kind = 'object'").select(key)
-    paths = spark.createDataFrame([(p, rules.defaults.get(p, NULL)) for p in sorted(asked)], "path string, preset string").withColumn("preset", plain("preset"))
-    # a row for every document and asked path: some dozens a document
-    grid = docs.select(key, F.explode(F.array(*[F.lit(p) for p in sorted(asked)])).alias("path")).join(F.broadcast(paths), "path")
-    have = grid.join(found.select(key, "path", text.alias("text")), [key, "path"], "left").select(key, "path", F.coalesce("text", "preset").alias("text"))
-    guards = [(name, p, v) for name, g in rules.guards.items() for p, v in g.items()]
-    holds = have.join(F.broadcast(spark.createDataFrame(guards, "guard string, path string, want string").withColumn("want", plain("want"))), "path")
-    sizes = F.create_map(*[x for name, g in rules.guards.items() for x in (F.lit(name), F.lit(len(g)))])
-    holds = holds.where("text = want").groupBy(key, "guard").agg(F.count("*").alias("n")).where(F.col("n") == sizes[F.col("guard")])
-    held = docs.join(holds.groupBy(key).agg(F.collect_set("guard").alias("held")), key, "left")
-    held = held.select(key, F.coalesce("held", F.array().cast("array<string>")).alias("held"))
-    table = [(r.name, r.path, list(r.values), list(r.when), list(r.unless), r.other) for r in rules.rules]
-    table = F.broadcast(spark.createDataFrame(table, "rule string, path string, allowed array<string>, need array<string>, bar array<string>, other string"))
-    allowed = F.transform("allowed", lambda x: F.coalesce(x.try_cast("double").cast("string"), x))
-    judged = have.join(table, "path").join(held, key)
-    judged = judged.where((F.size(F.array_except("need", "held")) == 0) & ~F.arrays_overlap("bar", "held"))
-    others = have.select(key, F.col("path").alias("other"), F.col("text").alias("other_text"))
-    same = judged.where("other is not null").join(others, [key, "other"]).where((F.col("text") == F.col("other_text")) & (F.col("text") != NULL))
-    return judged.where("other is null").where(~F.array_contains(allowed, F.col("text"))).select(key, "rule", "path").unionByName(same.select(key, "rule", "path"))
+    at = {p: "$" + "".join(f"['{part}']" for part in p.split(".")) for p in _asked(rules)}
+    is_object = F.col(text).rlike(r"^[ \t\r\n]*\{")
+    v = F.when(is_object, F.try_parse_json(F.col(text)))
+    rows = configs.select(key, v.alias("_v")).select(key, "_v", F.array(*[F.try_variant_get("_v", p, "string") for p in at.values()]).alias("_texts"))
+    # a text that begins like an object may be a string's: only then is its value looked at again
+    is_object = lambda t, p: t.startswith("{") & F.schema_of_variant(F.try_variant_get("_v", p, "variant")).startswith("OBJECT")
+    texts = F.zip_with("_texts", F.array(*map(F.lit, at.values())), lambda t, p: F.when(is_object(t, p), None).otherwise(t))
+    return _judged(rows.where("_v is not null").select(key, texts.alias("_texts")), key, rules)
+
+
+def _asked(rules: RuleSet) -> list[str]:
+    return sorted({p for g in rules.guards.values() for p in g} | {r.path for r in rules.rules} | {r.other for r in rules.rules if r.other})
+
+
+def _judged(rows: DataFrame, key: str, rules: RuleSet) -> DataFrame:
+    """Rows (key, rule, path) of documents (key, _texts), which have a text or null for each asked path."""
+    # a failing cast costs an exception, so only what begins like a number is tried
+    number = lambda x: F.when(x.rlike(r"^[\x00- ]*[-+]?(?:[.0-9]|(?i:inf|nan))"), x.try_cast("double"))
+    plain = lambda x: F.coalesce(number(x).cast("string"), x)
+    asked = _asked(rules)
+    preset = F.array(*[plain(F.lit(rules.defaults.get(p, NULL))) for p in asked])
+    rows = rows.select(key, F.zip_with("_texts", preset, lambda t, d: F.coalesce(plain(t), d)).alias("_have"))
+    number_of = {p: F.lit(i) for i, p in enumerate(asked)}
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    guards = [F.struct(F.lit(n).alias("guard"), F.array(*[F.struct(number_of[p].alias("at"), plain(F.lit(v)).alias("want")) for p, v in g.items()]).alias("all")) for n, g in rules.guards.items()]
+    holds = lambda g: F.forall(g["all"], lambda c: F.get("_have", c["at"]) == c["want"])
+    held = F.transform(F.filter(F.array(*guards), holds), lambda g: g["guard"]) if guards else texts(())
+    table = F.array(*[
+        F.struct(
+            F.lit(r.name).alias("rule"), F.lit(r.path).alias("path"), number_of[r.path].alias("at"), number_of.get(r.other, F.lit(None).cast("int")).alias("other"),
+            F.array(*[plain(F.lit(v)) for v in r.values]).cast("array<string>").alias("allowed"), texts(r.when).alias("need"), texts(r.unless).alias("bar"),
+        ) for r in rules.rules
+    ])
+
+    def broken(r):
+        text = F.get("_have", r["at"])
+        same = (text == F.get("_have", r["other"])) & (text != NULL)
+        bad = F.when(r["other"].isNotNull(), same).otherwise(~F.array_contains(r["allowed"], text))
+        return F.forall(r["need"], lambda g: F.array_contains("_held", g)) & ~F.exists(r["bar"], lambda g: F.array_contains("_held", g)) & bad
+
+    found = F.filter(table, broken)
+    return rows.select(key, "_have", held.alias("_held")).select(key, F.inline(F.transform(found, lambda r: F.struct(r["rule"].alias("rule"), r["path"].alias("path")))))
 
 
 def duck_violations(docs: str, rules: RuleSet) -> str:

@@ -75,8 +75,14 @@ DATA_DOC = _object(
 )
 
 
+def dealt(rows, key: str):
+    """`rows` over all tasks: small in bytes and long in the parsing, they aren't left to the few tasks that read them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def documents(spark, sf_dir, doc: str):
-    return V.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS k").selectExpr("id", f"{doc} AS doc")
+    """A document of each order; the orders' keys alone are dealt out, documents are made in place."""
+    return dealt(V.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id"), "id").selectExpr("id", "id AS k").selectExpr("id", f"{doc} AS doc")
 
 
 def _docs(doc: str) -> str:
@@ -85,12 +91,12 @@ def _docs(doc: str) -> str:
 
 @query(R.duck_violations(_docs(RL_DOC), R.rl_rules(RL_PARENT)))
 def rl_config_violations(spark, sf_dir):
-    return R.violations(variants.leaves(documents(spark, sf_dir, RL_DOC), "id", "doc"), "id", R.rl_rules(RL_PARENT))
+    return R.violations_in(documents(spark, sf_dir, RL_DOC), "id", "doc", R.rl_rules(RL_PARENT))
 
 
 @query(R.duck_violations(_docs(DPO_DOC), R.dpo_rules(DPO_PARENT)))
 def dpo_config_violations(spark, sf_dir):
-    return R.violations(variants.leaves(documents(spark, sf_dir, DPO_DOC), "id", "doc"), "id", R.dpo_rules(DPO_PARENT))
+    return R.violations_in(documents(spark, sf_dir, DPO_DOC), "id", "doc", R.dpo_rules(DPO_PARENT))
 
 
 _TREE = """tree AS (SELECT docs.id, substr(j.fullkey, 3) AS path, j.type, j.value FROM docs, json_tree(docs.doc) j WHERE j.fullkey NOT LIKE '%[%' AND j.fullkey <> '$')"""
@@ -111,13 +117,13 @@ UNION ALL SELECT o.id, s.path, 'missing' FROM objects o JOIN schema s ON o.path
   LEFT JOIN tree t ON t.id = o.id AND t.path = s.path WHERE t.path IS NULL""")
 def data_config_problems(spark, sf_dir):
     """A closed schema over configurations; the generated ones end in an unknown member."""
-    return variants.schema_problems(variants.leaves(documents(spark, sf_dir, DATA_DOC), "id", "doc"), "id", R.DATA_SCHEMA)
+    return variants.schema_problems_in(variants.folded(documents(spark, sf_dir, DATA_DOC), "id", "doc"), "id", R.DATA_SCHEMA)
 
 
 @query("SELECT event_id, substr(j.fullkey, 3) AS path, j.value::VARCHAR AS value FROM events, json_tree(events.props) j WHERE j.fullkey <> '$'")
 def config_leaves(spark, sf_dir):
     """The members of every event's properties."""
-    found = variants.leaves(V.table(spark, sf_dir, "events").select("event_id", "props"), "event_id", "props")
+    found = variants.leaves(dealt(V.table(spark, sf_dir, "events").select("event_id", "props"), "event_id"), "event_id", "props")
     return found.where("path <> '$'").select("event_id", "path", "value")
 
 

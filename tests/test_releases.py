@@ -184,3 +184,19 @@ def test_rules_between_fields(spark):
     docs = ['{"size":10.0,"a":{"b":2}}', '{"size":1e1,"a":{"b":3},"x":1}', '{"size":9,"x":null}', '{"size":9,"x":"","p":"s","q":"s"}', '{"p":"s","q":"t"}', "{}", "bad"]
     got = sorted((r.id, r.rule) for r in R.violations(variants.leaves(spark.createDataFrame(list(enumerate(docs)), "id long, doc string"), "id", "doc"), "id", rules).collect())
     assert got == [(1, "one"), (3, "differ"), (3, "no")]
+
+
+def test_documents_are_judged_in_their_own_rows(spark, tmp_path):
+    rules = R.RuleSet((R.Rule("one", "a.b", ("1", "2"), ("big",)), R.Rule("no", "x", (R.NULL,), (), ("big",)), R.Rule("differ", "p", other="q")), {"big": {"size": "10", "kind": "k"}}, {"kind": "k"})
+    docs = [
+        '{"size":10.0,"a":{"b":2}}', '{"size":1e1,"a":{"b":3},"x":1}', '{"size":9,"x":null}', '{"size":9,"x":"","p":"s","q":"s"}', '{"p":"s","q":"t"}', "{}", "bad", None, '["{"]', ' \n{"x":{"y":1}}', '{"x":"{"}',
+        '{"p":{"q":1},"q":{"q":1}}', '{"p":"{1","q":"{1"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    made = R.violations_in(df, "id", "doc", rules)
+    assert sorted((r.id, r.rule) for r in made.collect()) == sorted((r.id, r.rule) for r in R.violations(variants.leaves(df, "id", "doc"), "id", rules).collect()) == [(1, "one"), (3, "differ"), (3, "no"), (10, "no"), (12, "differ")]
+    deep = '{"{":"}{\\"{","a":' * 6 + "[{}]" + "}" * 6
+    df = spark.createDataFrame([(0, deep), (1, "{" * 50)], "id long, doc string")
+    assert sorted((r.id, r.path) for r in variants.leaves(df, "id", "doc").collect()) == sorted([(0, "$"), (1, "$")] + [(0, "a." * k + m) for k in range(6) for m in ("{", "a")])
+    for plan in (made, variants.folded(df, "id", "doc"), variants.schema_problems_in(variants.folded(df, "id", "doc"), "id", R.INFER_SCHEMA)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
