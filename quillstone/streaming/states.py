@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,10 @@ from pyspark.sql.types import StructType
 
 from quillstone.shared import scratch
 
-STATE = "visits long, invalid long, consecutive long, entered long, last timestamp_ntz, last_id long"
+#: Parts of the runs whose states are kept together, fixed for the life of a checkpoint.
+SHARDS = 128
+#: One entry a run in each; `last` in microseconds.
+STATE = "run array<string>, seen array<long>, invalid array<long>, consecutive array<long>, entered array<long>, last array<long>, last_id array<long>"
 VISIT = "run string, id long, visit long, consecutive long, window_id long, place long, flush boolean, invalid_rate double, late boolean"
 
 
@@ -39,38 +43,63 @@ def tail(spark: SparkSession, path: str, schema: StructType, per_trigger: int =
 def visit_states(visits: DataFrame, k: int, signal_only: bool = False, check_at: int = 100) -> DataFrame:
     """Rows of VISIT for a stream `visits(run string, id long, at timestamp_ntz, kind)` of kinds signal, zero and invalid.
 
-    One state a run lives through all batches: how many visits it had, how many in a row had no
+    Each run has a state through all batches: how many visits it had, how many in a row had no
     signal (a signal sets this to 0, an invalid visit leaves it), and which window of `k` groups is being filled.
     Invalid visits never enter a window, those without signal only if not `signal_only`; `flush` marks the visit
     that fills a window, and a window never filled has none. At visit `check_at` the invalid share is given.
     Rows are taken by (at, id) within a batch; a row that sorts before one already taken is given as late and
-    changes nothing, so a batch that comes again doesn't count twice.
+    changes nothing, so a batch that comes again doesn't count twice. The states of a shard's runs, which
+    their names' hashes deal out, are one Spark state of parallel arrays, so its rows are counted together.
     """
+    counts = ["seen", "invalid", "consecutive", "entered"]
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, invalid, consecutive, entered, last, last_id = state.get if state.exists else (0, 0, 0, 0, None, None)
-        last = None if last is None else pd.Timestamp(last)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
-        for at, i, kind in zip(rows["at"], rows["id"].tolist(), rows["kind"]):
-            if last is not None and (at, i) <= (last, last_id):
-                out.append((key[0], i, None, None, None, None, False, None, True))
-                continue
-            last, last_id, seen = at, i, seen + 1
-            window = place = None
-            if kind == "invalid":
-                invalid += 1
-            else:
-                consecutive = 0 if kind == "signal" else consecutive + 1
-                if kind == "signal" or not signal_only:
-                    window, place, entered = entered // k, entered % k + 1, entered + 1
-            rate = invalid / seen if seen == check_at else None
-            out.append((key[0], i, seen, consecutive, window, place, place == k, rate, False))
-        state.update((seen, invalid, consecutive, entered, None if last is None else last.to_pydatetime(), last_id))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in VISIT.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("visit", "consecutive", "window_id", "place")})
-
-    return visits.groupBy("run").applyInPandasWithState(each, VISIT, STATE, "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["run", "at", "id"], kind="stable", ignore_index=True)
+        held = state.get if state.exists else ([],) * 7
+        old = pd.DataFrame({c: list(v) for c, v in zip(["run", *counts, "last", "last_id"], held)}).astype({c: "int64" for c in [*counts, "last", "last_id"]})
+        code, runs = pd.factorize(rows["run"], use_na_sentinel=False)
+        place = pd.Index(old["run"]).get_indexer(runs)
+        known = place >= 0
+        before = {c: np.where(known, old[c].to_numpy()[place] if len(old) else 0, 0) for c in [*counts, "last", "last_id"]}
+        at, ids, kind = rows["at"].to_numpy("datetime64[us]").astype("int64"), rows["id"].to_numpy("int64"), rows["kind"].to_numpy()
+        mine = {c: v[code] for c, v in before.items()}
+        again = np.zeros(len(rows), bool)
+        again[1:] = (code[1:] == code[:-1]) & (at[1:] == at[:-1]) & (ids[1:] == ids[:-1])
+        late = again | known[code] & ((at < mine["last"]) | (at == mine["last"]) & (ids <= mine["last_id"]))
+        new = ~late
+        first = np.r_[True, code[1:] != code[:-1]]
+        start = np.flatnonzero(first)[code]
+
+        def so_far(flag):
+            """How many rows of the run have `flag`, up to each row."""
+            total = np.cumsum(flag)
+            return total - (total[start] - flag[start])
+
+        invalid, signal = new & (kind == "invalid"), new & (kind == "signal")
+        enters = signal if signal_only else new & ~invalid
+        seen, bad, entered = mine["seen"] + so_far(new), mine["invalid"] + so_far(invalid), mine["entered"] + so_far(enters)
+        zeros = so_far(new & ~invalid & ~signal)
+        # zeros of the run up to its last signal; before its first one the zeros of earlier batches count, too
+        at_signal = np.maximum.accumulate(np.where(signal, np.arange(len(rows)), -1))
+        since = at_signal >= start
+        consecutive = np.where(since, zeros - zeros[at_signal], mine["consecutive"] + zeros)
+        nth = entered - 1
+        flag = lambda v, keep: pd.Series(v, dtype="Int64").where(keep)
+        yield pd.DataFrame({
+            "run": rows["run"], "id": ids, "visit": flag(seen, new), "consecutive": flag(consecutive, new), "window_id": flag(nth // k, enters), "place": flag(nth % k + 1, enters),
+            "flush": enters & (nth % k + 1 == k), "invalid_rate": np.where(new & (seen == check_at), bad / np.maximum(seen, 1), None), "late": late,
+        }).astype({"invalid_rate": "float64"})
+        end = np.r_[np.flatnonzero(first)[1:] - 1, len(rows) - 1]
+        # a run's last row that is not late, else its state before
+        top = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))[end]
+        some = top >= np.flatnonzero(first)
+        now = {c: v[end] for c, v in zip(counts, (seen, bad, consecutive, entered))} | {"last": np.where(some, at[top], before["last"]), "last_id": np.where(some, ids[top], before["last_id"])}
+        kept = old[~np.isin(np.arange(len(old)), place)]
+        whole = pd.concat([kept, pd.DataFrame({"run": runs, **now})], ignore_index=True)
+        state.update(tuple(whole[c].tolist() for c in ["run", *counts, "last", "last_id"]))
+
+    shards = visits.withColumn("_shard", F.pmod(F.xxhash64("run"), F.lit(SHARDS)).cast("int"))
+    return shards.groupBy("_shard").applyInPandasWithState(each, VISIT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def visit_table(visits: DataFrame, k: int, signal_only: bool = False, check_at: int = 100) -> DataFrame:

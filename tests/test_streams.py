@@ -136,3 +136,15 @@ def test_count_windows_by_epoch(spark):
             assert sorted(got.pop((e, w))) == ids[3 * w : 3 * w + 3]
     assert not got
     assert windows.count_windows(df, ["id"], 3, epoch="e", keep_tail=False).count() == 6 + 6 + 6
+
+
+@pytest.mark.parametrize("signal_only", [False, True])
+def test_runs_of_a_shard_share_one_state(spark, signal_only, monkeypatch):
+    monkeypatch.setattr(states, "SHARDS", 3)
+    draw = random.Random(5)
+    rows = [(f"r{draw.randrange(40)}", i, START + timedelta(minutes=draw.randrange(30)), draw.choice(["signal", "zero", "zero", "invalid"])) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    stream, out, state = states.replayed(df, "at", "run", "shards")
+    states.to_end(states.visit_states(stream, 3, signal_only, 9), out, state)
+    assert _rows(spark.read.parquet(out)) == _rows(states.visit_table(df, 3, signal_only, 9))
+    assert spark.read.format("statestore").load(state).count() <= 3
