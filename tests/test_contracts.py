@@ -162,3 +162,12 @@ def test_token_counts(spark):
         tokenizing.token_counts(rows, "t", "n", path, "no such token")
     with pytest.raises(segment.LockError):
         tokenizing.token_counts(rows, "t", "n", path, "<|endoftext|>", sha256="0")
+
+
+def test_token_counts_of_many_texts_keep_their_rows(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [None if i % 5 == 0 else "" if i % 7 == 0 else f"word {i} <|endoftext|> \U0001f600é " * (i % 4 + 1) for i in range(3 * tokenizing.TOGETHER + 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    plain = tokenizing._loaded(path)
+    want = {i: None if t is None else 1 + len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.i: r.n for r in tokenizing.token_counts(rows, "t", "n", path, "<|endoftext|>").collect()} == want
