@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import rangecoder
+from quillstone.llm import wording
 from quillstone.llm.common import lean, running_total, scratch
+from quillstone.llm.wording import spread
 
 #: A single blank between two characters that aren't white space always begins a piece of the
 #: byte-level pre-tokenizer, so the parts between such blanks are encoded on their own.
 BORDER = r"(?<=\S)(?= \S)"
+#: White space but the blank.
+WHITE = [chr(n) for n in range(0x3001) if chr(n).isspace() and n != 0x20]
+#: Ids of a frame, about.
+FRAME = 1 << 22
 
 
 def border(tokenizer) -> re.Pattern:
@@ -41,52 +46,143 @@ def loaded(path: str):
     return Tokenizer.from_file(path)
 
 
+def regular(text: str) -> bool:
+    """Whether each blank of a text stands between two characters that aren't white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return False
+    return not any(c in text and (c + " " in text or " " + c in text) for c in WHITE)
+
+
+class Numbers(dict):
+    """Numbers from 0 for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts by a tokenizers file; each distinct part is encoded once and remembered.
 
-    At most `most` parts are remembered; beyond that the memory starts anew.
+    About `most` parts are remembered; beyond that those go that came once only, or all, if that isn't enough.
+    A part's key is itself without its first blank; that of a text's first part is a blank and the part.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer = loaded(path)
         self.border = border(self.tokenizer)
+        self.plain = self.border.pattern == BORDER
+        self.bytes = self._bytes() if self.plain else None
         self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # parts, with the blank that they follow
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _add(self, parts: list[str]) -> None:
+        self._keep([], np.zeros(0, np.int64))
+
+    def _bytes(self) -> np.ndarray | None:
+        """How many bytes of text each id stands for; None if the file's tokens don't tell."""
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.pre_tokenizer.add_prefix_space:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, n in vocabulary.items():
+            out[n] = len(token)  # a byte is one character there
+        for n, added in self.tokenizer.get_added_tokens_decoder().items():
+            out[n] = len(added.content.encode())
+        return out
+
+    def _keep(self, keys: list[str], at: np.ndarray) -> None:
+        """Remember the parts numbered `at` alone, whose keys are given."""
+        if len(keys):
+            size = self.size[at]
+            self.flat, self.start, self.size = spread(self.flat, self.start, self.size, at), np.cumsum(size) - size, size
+        else:
+            self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.uses = Numbers(zip(keys, range(len(keys)))), np.zeros(len(keys), np.int64)
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > self.most
+
+    def forget(self) -> None:
+        """Forget parts; their numbers are dealt anew."""
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > self.most // 2:
+            often = often[:0]
+        keys = list(self.known) if len(often) else []
+        self._keep([keys[n] for n in often], often)
+
+    def _one_by_one(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
-        start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum()))])
+        return np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum())), size
+
+    def _in_a_row(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in one call: parts that begin at a border and end before one make a text with borders between them."""
+        whole = "".join(parts)
+        ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) if whole.isascii() else np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        reach = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(reach, ends)
+        if len(reach) != last[-1] + 1 or not np.array_equal(reach[last], ends):
+            return self._one_by_one(parts)
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _add(self, keys: list[str]) -> None:
+        parts = [k[1:] if k[0] == " " else " " + k for k in keys]
+        # a text's first part has no border before it, and its last may end in white space
+        alone = np.fromiter((self.bytes is None or k[0] == " " or k[-1].isspace() for k in keys), bool, len(keys))
+        size = np.zeros(len(keys), np.int64)
+        coded = []
+        for those, way in ((alone, self._one_by_one), (~alone, self._in_a_row)):
+            if those.any():
+                ids, size[those] = way([parts[n] for n in np.flatnonzero(those)])
+                coded.append((ids, those))
+        start = np.zeros(len(keys), np.int64)
+        at = len(self.flat)
+        for ids, those in coded:
+            start[those] = at + np.cumsum(size[those]) - size[those]
+            at += len(ids)
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in coded)])
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
 
+    def _keys(self, text: str) -> list[str]:
+        if self.plain and regular(text):
+            keys = text.split(" ")
+            keys[0] = " " + keys[0]
+            return keys
+        first, *more = self.border.split(text)
+        return [" " + first, *(p[1:] for p in more)]
+
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' parts in a row, and how many each text has."""
+        before, number = len(self.known), self.known.__getitem__
+        each = [[*map(number, self._keys(t))] if t else [] for t in texts]
+        if len(self.known) > before:
+            self._add(list(islice(self.known, before, None)))
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        at = np.fromiter(chain.from_iterable(each), np.int64, int(n.sum()))
+        uses = np.bincount(at, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return at, n
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        if len(self.known) > self.most:
-            self._forget()
-        cut = [self.border.split(t) if t else [] for t in texts]
-        parts = list(chain.from_iterable(cut))
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self._add(new)
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        size = self.size[at]
-        ids = self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        ends = np.cumsum(np.r_[0, size])[np.cumsum(np.array([0, *map(len, cut)]))]
-        return ids, np.diff(ends)
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame: int = rangecoder.BLOCK) -> None:
+        if self.full:
+            self.forget()
+        at, n = self.parts(texts)
+        return spread(self.flat, self.start, self.size, at), sums(self.size[at], n)
+
+
+def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of runs of n[0], n[1], ... values."""
+    return np.diff(np.cumsum(np.r_[0, values])[np.cumsum(np.r_[0, n])])
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame: int = FRAME) -> None:
     """Write the ids of `docs(doc_id, text)` to `path` in ascending doc_id order (null last).
 
     Rows are dealt by range of doc_id, equal ids by a hash of the text and then of the row's place.
-    A shard (one task's rows) is written as frames: about `frame` ids of whole documents, range
-    coded in blocks, with the documents' ids and sizes. A frame is one row of a Parquet
+    A shard (one task's rows) is written as frames: about `frame` ids of whole documents, by the parts
+    that they repeat and range coded in blocks, with the documents' ids and sizes. A frame is one row of a Parquet
     dataset, which Spark commits task by task, so a lost executor costs its own shard only.
     Null texts count as empty and have the end id alone.
     """
@@ -97,16 +193,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
         shard = TaskContext.get().partitionId()
-        ids: list[np.ndarray] = []
+        ats: list[np.ndarray] = []
         docs_in: list = []
-        sizes: list[int] = []
+        sizes: list[np.ndarray] = []
         held = number = 0
 
         def flush() -> pd.DataFrame:
             nonlocal held, number
-            whole = np.concatenate(ids)
-            row = pd.DataFrame({"shard": [shard], "frame": [number], "doc_ids": [list(docs_in)], "sizes": [list(sizes)], "n_ids": [len(whole)], "payload": [rangecoder.pack(whole)]})
-            ids.clear(), docs_in.clear(), sizes.clear()
+            payload = wording.pack(np.concatenate(ats), encoder.flat, encoder.start, encoder.size, end_id)
+            row = pd.DataFrame({"shard": [shard], "frame": [number], "doc_ids": [list(docs_in)], "sizes": [np.concatenate(sizes)], "n_ids": [held], "payload": [payload]})
+            ats.clear(), docs_in.clear(), sizes.clear()
             held, number = 0, number + 1
             return row
 
@@ -119,16 +215,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
                 while to < len(texts) and chars < 500_000:
                     chars += len(texts[to])
                     to += 1
-                got, counts = encoder(texts[at:to])
-                ends = np.cumsum(counts)
-                whole = np.insert(got.astype(np.int64), ends, end_id)
-                for key, part in zip(keys[at:to], np.split(whole, (ends + np.arange(1, len(ends) + 1))[:-1])):
-                    ids.append(part)
-                    docs_in.append(key)
-                    sizes.append(len(part))
-                    held += len(part)
-                    if held >= frame:
+                if encoder.full:  # a frame's parts have the numbers of one memory
+                    if docs_in:
                         yield flush()
+                    encoder.forget()
+                got, n = encoder.parts(texts[at:to])
+                size = sums(encoder.size[got], n) + 1
+                ats.append(np.insert(got, np.cumsum(n), -1))
+                docs_in += keys[at:to]
+                sizes.append(size)
+                held += int(size.sum())
+                if held >= frame:
+                    yield flush()
                 at = to
         if docs_in:
             yield flush()
@@ -147,7 +245,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard, number, keys, sizes, payload in zip(pdf["shard"], pdf["frame"], pdf["doc_ids"], pdf["sizes"], pdf["payload"]):
-                ids = rangecoder.unpack(payload).astype("<u4")
+                ids = wording.unpack(payload)
                 ends = np.cumsum(np.asarray(sizes, np.int64))
                 begins = ends - np.asarray(sizes, np.int64)
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends)]
