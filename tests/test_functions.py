@@ -169,3 +169,27 @@ def test_word_scores_equal_plain_distances(spark):
     for x in got:
         want = slow_distance(x.r, [] if x.failed else x.p)
         assert (x.word_edit_count, x.reference_word_count, x.sample_wer) == (want, len(x.r), want / len(x.r))
+
+
+def test_short_cuts_of_text_rules_agree_with_the_whole_patterns(spark):
+    draw = random.Random(6)
+    pieces = ["sil", "SIL", "ſil", "<sil>", "(Sil)", "<space>", "<_>", "(", ">", "s", "e", " ", "\n", "\t", "　", "\x85", "\x1c", "你", "K", "x", "< %\n>", "(~)", "<$>", "&", "`", "/OverLap", "<ASR_text>", "<|"]
+    rows = [(None,), ("",)] + [("".join(draw.choice(pieces[: draw.choice((13, 20, 28))]) for _ in range(draw.randrange(1, 7))),) for _ in range(3000)]
+    t = F.col("t")
+    squeezed = F.regexp_replace(t, r"(?U)\s+", "")
+    blank = t.isNull() | (squeezed == "")
+    bare = F.regexp_replace(t, r"(?i)<sil>|<\s*%\s*>|<->|<\$>|<#>|<_>|<space>|\(~\)|\(sil\)|`|&", "")
+    pairs = [
+        (T.squeeze(t), squeezed), (T.is_blank(t), blank), (F.regexp_replace(t, T.ANNOTATION, ""), bare),
+        (T.is_active_speech(t), ~blank & (F.regexp_replace(T.strip(t), T.SILENCE_MARK, "") != "")),
+        (T.has_folded(t, "/overlap"), F.contains(F.lower(t), F.lit("/overlap"))), (T.normalize_fast(t), F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"[\p{P}\p{Z}\p{Cc}]", "")),
+        (T.clean_transcript(t, norm=T.normalize_fast), T.clean_transcript(t, norm=lambda x: T.normalize_fast(x))),
+    ]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.where(~F.forall(F.array(*[a.eqNullSafe(b) for a, b in pairs]), lambda same: same)).collect() == []
+
+
+def test_a_transcript_is_stripped_once_and_normalised_last(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(T.clean_transcript(F.col("t"), norm=T.normalize_fast).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.ANNOTATION) == 1 and plan.count("\\p{Cc}") == 1
