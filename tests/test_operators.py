@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
 from quillstone.functions.hashing import keyed
 from quillstone.operators import aggregates as A
 from quillstone.operators import gates, joins, manifest, pairs, windows
@@ -257,3 +258,27 @@ def test_strip_status(spark):
     assert pairs.strip_status(rows, "new", ["old"], 1) == "passed" and pairs.strip_status(rows, "new", ["old"], 2) == "insufficient_data"
     with pytest.raises(ValueError, match="frozen"):
         pairs.strip_status(rows, "old", ["old"], 1)
+
+
+def test_cross_split_works_its_rows_out_once_and_agrees_with_plain_python(spark):
+    draw = random.Random(7)
+    rows = [(f"u{n:03}", draw.choice([None, "a", "b", "c"]), draw.choice([None, "x", "y", "z", "w"]), draw.choice(["train", "val"])) for n in range(120)]
+    df = spark.createDataFrame(rows, "source_id string, speaker_id string, text string, split string").withColumn("text", F.regexp_replace("text", "worked out", ""))
+    out = windows.drop_cross_split(df, [("speaker_id", "speaker"), ("text", "text")])
+    assert "worked out" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want, first = {}, {}
+    for at, why in ((1, "speaker"), (2, "text")):
+        for row in rows:
+            if want.get(row[0]) is None:
+                want[row[0]] = why if first.setdefault((at, row[at]), row[3]) != row[3] else None
+    got = out.collect()
+    assert out.columns == [*df.columns, "reason"] and len(got) == len(rows)
+    assert {r.source_id: r.reason for r in got} == want and len(set(want.values())) == 3
+
+
+def test_a_filter_on_a_text_problem_works_the_text_out_once(spark):
+    df = spark.createDataFrame([("你好",), (None,), ("x",)], "t string").select(F.regexp_replace("t", "worked out", "").alias("t"))
+    found = df.where(T.text_problem(F.col("t")).isNull())
+    assert [r.t for r in found.collect()] == ["你好"]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().split("Filter ")[1].count("worked out") <= 1
