@@ -4,8 +4,8 @@ A frame's commonest parts make its book, commonest first, and the range coder's
 work on whole parts. A part that isn't in the book has symbol 0 and its ids follow apart,
 deflated like the book.
 
-Layout, little-endian: "QWD1", uint32 crc32 of the ids as uint32, four uint32 lengths, then the sizes
-(uint32) and ids (uint16) of the book, those of the parts that aren't in it, and the coder's blocks.
+Layout, little-endian: "QWD2", uint32 crc32 of the four tables, four uint32 lengths, then the deflated tables: the sizes
+(uint32) and ids (uint16) of the book, and those of the parts that aren't in it; then the coder's blocks, each with its own checksum.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quillstone.llm import rangecoder
 
-MAGIC = b"QWD1"
+MAGIC = b"QWD2"
 #: Parts that are spread at once.
 TOGETHER = 1 << 16
 
@@ -34,6 +35,14 @@ def spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray
     return out
 
 
+def joined(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for runs that lie in `flat` one after the other; Arrow copies each whole."""
+    ends = np.cumsum(np.r_[0, size]) * flat.itemsize
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+    got = runs.take(pa.array(at))
+    return np.frombuffer(got.buffers()[2] or b"", flat.dtype, int(size[at].sum()))
+
+
 def pack(at: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray, end_id: int) -> bytes:
     """The ids of the parts `at`, where -1 is the end id alone; ValueError if an id is 65536 or more."""
     start, size = np.r_[start, len(flat)], np.r_[size, 1]  # -1 is the last one, too
@@ -48,10 +57,9 @@ def pack(at: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray,
     symbol[book] = np.arange(1, len(book) + 1)
     coded = symbol[at]
     rare = at[coded == 0]
-    crc = 0
-    for some in range(0, len(at), TOGETHER):
-        crc = zlib.crc32(spread(flat, start, size, at[some : some + TOGETHER]).astype("<u4").tobytes(), crc)
-    tables = [zlib.compress(x, 1) for n in (book, rare) for x in (size[n].astype("<u4").tobytes(), spread(flat, start, size, n).astype("<u2").tobytes())]
+    tables = [x for n in (book, rare) for x in (size[n].astype("<u4").tobytes(), spread(flat, start, size, n).astype("<u2").tobytes())]
+    crc = zlib.crc32(b"".join(tables))
+    tables = [zlib.compress(x, 1) for x in tables]
     return MAGIC + struct.pack("<5I", crc, *map(len, tables)) + b"".join(tables) + rangecoder.pack(coded)
 
 
@@ -65,6 +73,8 @@ def unpack(data: bytes) -> np.ndarray:
         sizes, ids, rare_sizes, rare_ids = (zlib.decompress(data[a:b]) for a, b in zip(cuts, cuts[1:]))
     except zlib.error as e:
         raise ValueError("a frame's table is damaged") from e
+    if zlib.crc32(b"".join((sizes, ids, rare_sizes, rare_ids))) != crc:
+        raise ValueError("a frame's checksum differs")
     n_book = len(sizes) // 4
     size = np.frombuffer(sizes + rare_sizes, "<u4").astype(np.int64)
     flat = np.frombuffer(ids + rare_ids, "<u2")
@@ -73,7 +83,4 @@ def unpack(data: bytes) -> np.ndarray:
     at = np.where(rare, n_book - 1 + np.cumsum(rare), symbol - 1)
     if len(at) and at.max() >= len(size) or len(flat) != size.sum():
         raise ValueError("a frame's tables differ from its blocks")
-    out = spread(flat, np.cumsum(size) - size, size, at).astype("<u4")
-    if zlib.crc32(out.tobytes()) != crc:
-        raise ValueError("a frame's checksum differs")
-    return out
+    return joined(flat.astype("<u4"), size, at)

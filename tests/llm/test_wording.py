@@ -66,3 +66,68 @@ def test_forgetting_keeps_the_parts_that_came_again():
     assert encoder.full
     assert encoder(["again again again again"])[0].tolist() == first
     assert list(encoder.known)[0] == "again" and len(encoder.known) <= 3
+
+
+def searched(encoder, monkeypatch):
+    """How many texts an encoder hands to the tokenizer's search for pieces, as they come."""
+    calls, plain = [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, batch, **more):
+            calls.extend(batch)
+            return plain.encode_batch_fast(batch, **more)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    return calls, plain
+
+
+def test_many_new_words_are_merged_without_a_search_for_pieces(monkeypatch):
+    draw = np.random.default_rng(3)
+    words = ["".join(draw.choice(list("abcdeéßж"), 9)) + mark for mark in ("", ",", ".\nThe", "-12", '".') for _ in range(500)]
+    texts = ["a " + " ".join(words)]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    calls, plain = searched(encoder, monkeypatch)
+    assert encoder(texts)[0].tolist() == plain.encode(texts[0], add_special_tokens=False).ids
+    assert calls == ["a"]
+
+
+def test_parts_whose_pieces_are_open_go_to_the_tokenizer(monkeypatch):
+    words = [f"plain{chr(97 + n % 26)}{n}" for n in range(1500)]
+    odd = ["don't", "'sun", "x'est", "a\n\nb", "—dash", "٣x", "x\xa0y", "end<|endoftext|>", "😀", "a\t\tb", "x\x85", "’s", "e\u0301"]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    calls, plain = searched(encoder, monkeypatch)
+    text = "a " + " ".join(words + odd)
+    assert encoder([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert "plain" not in "".join(calls) and "don't" in "".join(calls)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000.,'\"_<|>éж中😀1٣²-–—’endoftextsrvl\u0301")), max_size=6))
+def test_merging_gives_the_tokenizers_ids(texts):
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    encoder.MANY = 1
+    ids, counts = encoder(texts)
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in whole]
+    assert ids.tolist() == [i for w in whole for i in w]
+
+
+def test_a_worker_keeps_its_memory_between_tasks(spark, tmp_path):
+    assert tokens.memory(tokens.tokenizer_path()) is tokens.memory(tokens.tokenizer_path())
+    texts = [(n, f"number {n} of many\nand more") for n in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    a, b = (sorted(map(tuple, tokens.token_output(docs, path=str(tmp_path / name)).collect())) for name in "ab")
+    assert a == b and len(a) == 300
+
+
+def test_contexts_of_order_2_tell_whose_they_are():
+    model = rangecoder.Model()
+    one, two, x = (np.array([n], np.int32) for n in (7, 9, 1234))
+    model.predict(one, two)
+    model.place(x)
+    model.learn(x, 1, 0)
+    model.predict(one, two)
+    assert model.ids[2].tolist() == [1234] and model.count.tolist() == [1]
+    model.second[model.at] ^= 1 << 23
+    model.predict(one, two)
+    assert model.count.tolist() == [0]
