@@ -31,13 +31,18 @@ def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     def run(batches: Iterator) -> Iterator:
         yield from each(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system now."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def running_total(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], prefix: str = "before_") -> DataFrame:
     """Add `before_<name>`: the sum of each expression over all rows that sort earlier.
 

@@ -288,7 +288,7 @@ def decode(n: int, crc: int, used: np.ndarray, coded: np.ndarray) -> np.ndarray:
             at[need] += 1
             coder.shift(need)
         model.learn(got, live, s)
-    ids = x[2:].T.reshape(-1)[:n].astype(np.int64)
+    ids = x[2:].T.astype(np.uint16).reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block's checksum differs")
     return ids
@@ -302,4 +302,4 @@ def pack(ids: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids of `pack`; raises ValueError where a block's checksum fails."""
-    return np.concatenate([np.zeros(0, np.int64), *(decode(*block) for block in parse(data))])
+    return np.concatenate([np.zeros(0, np.uint16), *(decode(*block) for block in parse(data))])

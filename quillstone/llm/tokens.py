@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import wording
-from quillstone.llm.common import lean, running_total, scratch
+from quillstone.llm.common import lean, release, running_total, scratch
 from quillstone.llm.wording import spread
 
 #: A single blank or line feed between two characters that aren't white space always begins a piece of the
@@ -29,7 +30,11 @@ WIDE_WHITE = [int.from_bytes(chr(n).encode()) for n in range(0x80, 0x3001) if ch
 #: Ids of a frame, about.
 FRAME = 1 << 22
 #: Bytes of text that are cut at once.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
+#: Parts that a worker remembers between tasks.
+KEPT = 1 << 14
+#: Rows of a batch that Spark hands to a task's worker: it holds one whole, and so does the executor.
+ROWS = 1000
 #: A frame's row.
 FRAMES = pa.schema(
     [("shard", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())]
@@ -178,13 +183,19 @@ class Encoder:
     def full(self) -> bool:
         return len(self.known) > self.most
 
-    def forget(self) -> None:
-        """Forget parts; their numbers are dealt anew."""
+    def forget(self, most: int | None = None) -> None:
+        """Forget parts, with `most` all but the commonest so many; their numbers are dealt anew."""
         often = np.flatnonzero(self.uses > 1)
-        if len(often) > self.most // 2:
+        if most is not None and len(often) > most:
+            often = np.sort(often[np.argpartition(self.uses[often], -most)[-most:]])
+        elif len(often) > self.most // 2:
             often = often[:0]
         keys = list(self.known) if len(often) else []
-        self._keep([keys[n] for n in often], often)
+        # new strings side by side: a few old ones here and there would keep the memory of all
+        kept = pa.array([keys[n] for n in often], pa.large_string())
+        del keys
+        self.known = {}
+        self._keep(kept.to_pylist(), often)
 
     def _one_by_one(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -278,14 +289,14 @@ class Encoder:
         coded = each.dictionary_encode()
         before, distinct = len(self.known), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         keys = [(p[1:] if p[0] == " " else p) if p[0] in " \n" and p[1:] and not p[1].isspace() else " " + p for p in distinct]
-        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int32, len(keys))
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = before + np.arange(len(new))
             fresh = [keys[n] for n in new.tolist()]
             self.known.update(zip(fresh, range(before, before + len(new))))
             self._add(fresh)
-        at = number[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.int64)
+        at = number[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.int32)
         uses = np.bincount(at, minlength=len(self.known))
         uses[: len(self.uses)] += self.uses
         self.uses = uses
@@ -310,6 +321,19 @@ def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.diff(np.cumsum(np.r_[0, values])[np.cumsum(np.r_[0, n])])
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs begun inside send at most so many rows at once to Arrow functions."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame: int = FRAME) -> None:
     """Write the ids of `docs(doc_id, text)` to `path` in ascending doc_id order (null last).
 
@@ -333,9 +357,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
-            payload = wording.pack(np.concatenate(ats), encoder.flat, encoder.start, encoder.size, end_id)
+            at = np.concatenate(ats)
+            ats.clear()
+            release()  # what cutting and encoding left, before a frame's tables are laid beside it
+            payload = wording.pack(at, encoder.flat, encoder.start, encoder.size, end_id)
             row = [[shard], [number], [pa.concat_arrays(docs_in)], [np.concatenate(sizes)], [held], [payload]]
-            ats.clear(), docs_in.clear(), sizes.clear()
+            docs_in.clear(), sizes.clear()
             held, number = 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, FRAMES.types)], schema=FRAMES)
 
@@ -360,10 +387,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
                 at = to
         if docs_in:
             yield flush()
-        encoder.forget()  # a waiting worker holds the parts that came again, and no others
+        encoder.forget(KEPT)  # a waiting worker holds the commonest parts, and no others
 
     schema = "shard int, frame int, doc_ids array<long>, sizes array<long>, n_ids long, payload binary"
-    rows.mapInArrow(lean(each), schema).write.mode("errorifexists").option("compression", "none").parquet(path)
+    with batches_of(docs.sparkSession, ROWS):
+        rows.mapInArrow(lean(each), schema).write.mode("errorifexists").option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -39,23 +39,35 @@ def joined(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The same for runs that lie in `flat` one after the other; Arrow copies each whole."""
     ends = np.cumsum(np.r_[0, size]) * flat.itemsize
     runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
-    got = runs.take(pa.array(at))
-    return np.frombuffer(got.buffers()[2] or b"", flat.dtype, int(size[at].sum()))
+    some = [at[k : k + TOGETHER] for k in range(0, len(at), TOGETHER)]
+    lengths = [int(size[n].sum()) for n in some]
+    out, to = np.empty(sum(lengths), flat.dtype), 0
+    for n, k in zip(some, lengths):
+        out[to : to + k] = np.frombuffer(runs.take(pa.array(n)).buffers()[2] or b"", flat.dtype, k)
+        to += k
+    return out
 
 
 def pack(at: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray, end_id: int) -> bytes:
     """The ids of the parts `at`, where -1 is the end id alone; ValueError if an id is 65536 or more."""
-    start, size = np.r_[start, len(flat)], np.r_[size, 1]  # -1 is the last one, too
+    start, size = np.r_[start, len(flat)], np.r_[size, 1]  # -1 is the last one
     flat = np.r_[flat, end_id]
     if len(at) and (flat.max() >= rangecoder.IDS or flat.min() < 0):
         raise ValueError(f"ids must be from 0 to {rangecoder.IDS - 1}")
-    at = np.where(at < 0, len(size) - 1, at)
-    count = np.bincount(at, minlength=len(size))
+    # a frame has millions of parts: numpy widens those of a portion only
+    some = [slice(k, k + TOGETHER) for k in range(0, len(at), TOGETHER)]
+    count = np.zeros(len(size), np.int64)
+    for k in some:
+        seen = np.bincount(at[k] + 1)
+        count[: len(seen) - 1] += seen[1:]
+        count[-1] += seen[0]
     book = np.flatnonzero(count > 1)
     book = book[np.argsort(-count[book], kind="stable")][: rangecoder.IDS - 1]
-    symbol = np.zeros(len(size), np.int64)
+    symbol = np.zeros(len(size), np.uint16)
     symbol[book] = np.arange(1, len(book) + 1)
-    coded = symbol[at]
+    coded = np.empty(len(at), np.uint16)
+    for k in some:
+        coded[k] = symbol[at[k]]
     rare = at[coded == 0]
     tables = [x for n in (book, rare) for x in (size[n].astype("<u4").tobytes(), spread(flat, start, size, n).astype("<u2").tobytes())]
     crc = zlib.crc32(b"".join(tables))
@@ -80,7 +92,10 @@ def unpack(data: bytes) -> np.ndarray:
     flat = np.frombuffer(ids + rare_ids, "<u2")
     symbol = rangecoder.unpack(data[cuts[-1] :])
     rare = symbol == 0
-    at = np.where(rare, n_book - 1 + np.cumsum(rare), symbol - 1)
+    at = symbol.astype(np.int32)
+    at -= 1
+    at[rare] = np.arange(n_book, n_book + np.count_nonzero(rare), dtype=np.int32)
+    del symbol, rare
     if len(at) and at.max() >= len(size) or len(flat) != size.sum():
         raise ValueError("a frame's tables differ from its blocks")
     return joined(flat.astype("<u4"), size, at)

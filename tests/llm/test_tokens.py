@@ -1,6 +1,8 @@
+import gc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -106,3 +108,38 @@ def test_edges(spark, tmp_path):
     assert not any(by.values())
     assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got]])[:-1].tolist()
     assert tokens.token_output(docs.limit(0)).count() == 0
+
+
+def test_batches_are_small_while_tokens_are_written_and_the_session_is_as_before(spark):
+    def each(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 100, 1, 1)
+    before = spark.conf.get(key)
+    with tokens.batches_of(spark, 30):
+        assert [r.n for r in rows.mapInArrow(each, "n long").collect()] == [30, 30, 30, 10]
+        with tokens.batches_of(spark, 50):
+            assert spark.conf.get(key) == "30"
+    assert spark.conf.get(key) == before
+
+
+def test_a_waiting_worker_holds_few_words(spark, tmp_path):
+    words = " ".join(f"w{n}" for n in range(40_000))
+    docs = spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string")
+    tokens.write_tokens(docs.coalesce(1), str(tmp_path / "ids"), tokens.tokenizer_path())
+
+    def each(batches):
+        held = [len(x.known) for x in gc.get_objects() if isinstance(x, tokens.Encoder)]
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max(held, default=0)], pa.int64())], ["n"])
+
+    assert max(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(each, "n long").collect()) <= tokens.KEPT < 40_000
+
+
+def test_the_commonest_words_stay():
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["x " + "often rarely " * 3 + "often " * 5 + "once"]
+    before = encoder(texts)[0].tolist()
+    encoder.forget(1)
+    assert list(encoder.known) == ["often"] and encoder(texts)[0].tolist() == before

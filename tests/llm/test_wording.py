@@ -1,3 +1,6 @@
+import struct
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -131,3 +134,33 @@ def test_contexts_of_order_2_tell_whose_they_are():
     model.second[model.at] ^= 1 << 23
     model.predict(one, two)
     assert model.count.tolist() == [0]
+
+
+def test_a_frame_takes_few_bytes_a_part_beside_it(monkeypatch):
+    n = 2_000_000
+    at = np.random.default_rng(1).integers(-1, 1000, n).astype(np.int32)
+    flat = np.arange(1000, dtype=np.int32)
+    monkeypatch.setattr(rangecoder, "pack", lambda ids: b"")
+    tracemalloc.start()
+    try:
+        wording.pack(at, flat, np.arange(1000), np.ones(1000, np.int64), 2)
+        assert tracemalloc.get_traced_memory()[1] < 8 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_frame_is_read_back_in_few_bytes_a_part():
+    n = 1_000_000
+    at = np.random.default_rng(2).integers(-1, 1000, n)
+    packed = wording.pack(at, np.arange(1000, dtype=np.int32), np.arange(1000), np.ones(1000, np.int64), 2)
+    symbols = rangecoder.unpack(packed[sum(struct.unpack_from("<4I", packed, 8)) + 24 :])
+    assert symbols.dtype == np.uint16
+    tracemalloc.start()
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(rangecoder, "unpack", lambda data: symbols)
+            ids = wording.unpack(packed)
+        assert tracemalloc.get_traced_memory()[1] < 20 * n
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(ids, np.where(at < 0, 2, at))
